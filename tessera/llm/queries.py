@@ -5,13 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, language_id, quality_rules, simhash, substring_dedup, toxicity, url_filter
+from tessera.llm import decontamination, language_id, license_scan, mixing, quality_rules, simhash, substring_dedup, toxicity, url_filter, warc
 
 #: Fixed by the contract of op6.
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 
+#: Part of all tokens that the mix is to hold, and its targets by language and topic.
+MIX_SHARE = 0.5
+MIX_LANGUAGES = {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.15}
+MIX_TOPICS = {"prose": 0.8, "brief": 0.1, "table": 0.05, "markup": 0.03, "shout": 0.02}
+
+
+def mix_targets(counted: DataFrame) -> dict[str, dict[str, float]]:
+    return {"source": mixing.softened(counted, "source", 0.7), "lang": MIX_LANGUAGES, "topic": MIX_TOPICS}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,10 +44,27 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files source/thousands/tens/name; the first of each ten is named LICENSE."""
+    at = lambda width: F.floor(F.col("doc_id") / width).cast("string")
+    name = F.when(F.col("doc_id") % 10 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = _table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", at(1000), at(10), name).alias("path"), "text")
+    return license_scan.scan(files).select("doc_id", "path", "license", F.round("score", 6).alias("score"), "origin", "license_dir")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(counted := mixing.token_counts(_table(spark, sf_dir, "documents")), mix_targets(counted), share=MIX_SHARE)
+
+
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = warc.resolve_revisits(warc.records_from_pages(_table(spark, sf_dir, "pages")))
+    return resolved.withColumn("headers", F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -86,9 +114,28 @@ r AS (SELECT page_id, host, path,
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r"""
 
 
+_OP8 = r"""
+WITH c AS (SELECT page_id, url, md5(coalesce(html, '')) AS body,
+  regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages),
+k AS (SELECT page_id, url AS raw, body,
+  regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), '^.*@', ''), ':(80|443)$', ''), '^www[.]', '')
+  || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS base,
+  list_sort(list_filter(string_split(regexp_extract(rest, '[?](.*)$', 1), '&'),
+    lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(utm_[a-z]+|fbclid|gclid|ref|sessionid|phpsessid)='))) AS q FROM c),
+u AS (SELECT page_id, raw, body, base || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM k),
+r AS (SELECT url, page_id, body, lpad(page_id::VARCHAR, 12, '0') || '-a' AS rid, make_timestamp((1700000000 + page_id * 3600) * 1000000) AS ts FROM u),
+v AS (SELECT url, page_id, lpad(page_id::VARCHAR, 12, '0') || '-b' AS record_id, body AS tag, 1 AS d, make_timestamp((1700000000 + page_id * 3600 + 86400) * 1000000) AS ts FROM u
+  UNION ALL SELECT url, page_id, lpad(page_id::VARCHAR, 12, '0') || '-c', md5(coalesce(raw, '')), 2, make_timestamp((1700000000 + page_id * 3600 + 172800) * 1000000) FROM u),
+b AS (SELECT v.record_id, arg_max(r.rid, r.ts) AS response_id, arg_max(r.body, r.ts) AS body FROM v JOIN r ON r.url = v.url AND r.ts < v.ts GROUP BY 1),
+o AS (SELECT v.record_id, v.url, v.ts, b.response_id, v.d, b.body, CASE WHEN b.response_id IS NULL THEN 'missing' WHEN b.body = v.tag THEN 'resolved' ELSE 'mismatch' END AS outcome
+  FROM v LEFT JOIN b USING (record_id))
+SELECT record_id, url, ts, response_id, outcome, CASE WHEN outcome = 'resolved' THEN body END AS digest,
+  CASE WHEN outcome = 'resolved' THEN 'content-type=text/html;date=' || d || ';etag=' || CASE WHEN d = 1 THEN 'W/' ELSE '' END || '"' || body || '"' END AS headers FROM o"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_toxicity, op4_quality_rules, op6_url_filter, op9_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_toxicity, op4_quality_rules, op5_license_scan, op6_url_filter, op7_mixing, op8_warc_revisits, op9_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1, "op4_quality_rules": _OP4, "op6_url_filter": _OP6}
+    return {"op1_substring_dedup": _OP1, "op4_quality_rules": _OP4, "op6_url_filter": _OP6, "op8_warc_revisits": _OP8}
