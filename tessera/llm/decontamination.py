@@ -180,15 +180,8 @@ def _counting(items: Items, table: np.ndarray):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, rare: int = RARE, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, item_id, score, start_word, end_word, n_seeds) for each document and item that align.
-
-    ``score`` is the alignment score over that of a whole exact copy; pairs from ``threshold`` on
-    are returned, once for each row of ``docs``. Null and empty texts and items match nothing.
-    Items shorter than ``seed_words`` are their own seed. Repeated items count once, repeated rows
-    as they come; other columns are ignored. Empty tables give an empty result.
-    """
-    spark, found = docs.sparkSession, None
+def _prepared(docs: DataFrame, benchmark: DataFrame, seed_words: int, rare: int, block_bytes: int) -> Iterator[tuple[Items, np.ndarray]]:
+    """Each block of items with the seeds that are rare in ``docs``, and the sorted seeds."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
     for block in _blocks(benchmark, block_bytes):
         items = Items(seed_words)
@@ -204,7 +197,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WOR
         limits = [max(rare, sorted(x)[len(x) // 2]) if x else rare for x in own]
         kept = {h: [(k, q) for k, q in places if frequency.get(h, 0) <= limits[k]] for h, places in items.seeds.items()}
         items.seeds = {h: places for h, places in kept.items() if places and frequency.get(h, 0)}
-        table = np.sort(np.array(list(items.seeds), dtype=np.uint64))
+        yield items, np.sort(np.array(list(items.seeds), dtype=np.uint64))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, rare: int = RARE, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, item_id, score, start_word, end_word, n_seeds) for each document and item that align.
+
+    ``score`` is the alignment score over that of a whole exact copy; pairs from ``threshold`` on
+    are returned, once for each row of ``docs``. Null and empty texts and items match nothing.
+    Items shorter than ``seed_words`` are their own seed. Repeated items count once, repeated rows
+    as they come; other columns are ignored. Empty tables give an empty result.
+    """
+    spark, found = docs.sparkSession, None
+    for items, table in _prepared(docs, benchmark, seed_words, rare, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], items=items, table=table) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -219,9 +224,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WOR
     return found if found is not None else spark.createDataFrame([], "doc_id long, item_id long, score double, start_word long, end_word long, n_seeds long")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose text aligns with no benchmark item, columns as they are."""
-    key = F.xxhash64("doc_id", F.col("text"))
-    keyed = docs.select(key.alias("doc_id"), "text")
-    leaks = find_leaks(keyed, benchmark, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, key == F.col("_leak"), "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, rare: int = RARE, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` whose text aligns with no benchmark item, with all columns as they are."""
+    kept, at = docs, docs.columns.index("text")
+    for items, table in _prepared(docs, benchmark, seed_words, rare, block_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], items=items, table=table) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = [not matches(items, table, t, threshold) for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        kept = kept.mapInArrow(run, docs.schema)
+    return kept

@@ -82,8 +82,8 @@ def softened(docs: DataFrame, column: str, power: float) -> dict[str, float]:
     return {k: v / sum(raw.values()) for k, v in raw.items()}
 
 
-def token_counts(docs: DataFrame, topic: Column | None = None) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens): words stand for tokens, null marginals are ``~other``."""
+def token_counts(docs: DataFrame, topic: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens, ``keep``...): words stand for tokens, null marginals are ``~other``."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     marginal = lambda c: F.coalesce(c.cast("string"), F.lit(OTHER))
     return docs.select(
@@ -92,6 +92,7 @@ def token_counts(docs: DataFrame, topic: Column | None = None) -> DataFrame:
         marginal(F.col("lang")).alias("lang"),
         marginal(topic if topic is not None else topic_of(F.col("text"))).alias("topic"),
         F.size(words).cast("long").alias("n_tokens"),
+        *[F.col(c) for c in keep],
     )
 
 

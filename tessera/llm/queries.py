@@ -45,10 +45,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files source/thousands/tens/name; the first of each ten is named LICENSE."""
-    at = lambda width: F.floor(F.col("doc_id") / width).cast("string")
-    name = F.when(F.col("doc_id") % 10 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    files = _table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", at(1000), at(10), name).alias("path"), "text")
+    """Documents as files source/two-hundreds/name; the first twenty of each 200 are named LICENSE."""
+    name = F.when(F.col("doc_id") % 200 < 20, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 200).cast("string"), name)
+    files = _table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
     return license_scan.scan(files).select("doc_id", "path", "license", F.round("score", 6).alias("score"), "origin", "license_dir")
 
 
