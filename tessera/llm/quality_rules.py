@@ -115,9 +115,10 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def order_rules(stats: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, cost in seconds, share rejected) on at most ``sample_rows`` rows, best rule first."""
-    sample = stats.limit(sample_rows).persist()
+def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
+    """(rule, cost in seconds, share rejected) on about ``sample_rows`` rows, best rule first."""
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    sample = base_statistics(docs.sample(share, seed=17)).persist()
     try:
         total = max(1, sample.count())
         measured = []
@@ -130,7 +131,7 @@ def order_rules(stats: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_R
     return sorted(measured, key=lambda x: (-x[2] / max(x[1], 1e-9), x[0].name))
 
 
-def cascade(rules: list[Rule], otherwise: Column | None = None) -> Column:
+def cascade(rules: list[Rule]) -> Column:
     """Name of the first rule that rejects, else null; later rules are not evaluated."""
     chain = None
     for rule in rules:
@@ -146,8 +147,8 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = S
     of a result column is replaced.
     """
     made = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept")
-    stats = base_statistics(docs.drop(*made))
-    ordered = order_rules(stats, rules if rules is not None else default_rules(), sample_rows)
-    judged = stats.withColumn("base_failed", base_failed())
+    docs = docs.drop(*made)
+    ordered = order_rules(docs, rules if rules is not None else default_rules(), sample_rows)
+    judged = base_statistics(docs).withColumn("base_failed", base_failed())
     judged = judged.withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade([r for r, _, _ in ordered])))
     return judged.withColumn("kept", F.col("rejected_by").isNull())
