@@ -8,13 +8,14 @@ D = {0, 1, 4, 14, 16} is a difference cover modulo 21: for any two word position
 a shift s < 21 with both (i + s) mod 21 and (j + s) mod 21 in D. Two equal windows that start at i
 and j therefore share the 15 words from i + s on, and only runs of 15 words that start at cover
 positions need to be hashed: 5 of 21 positions. Where such an anchor occurs twice, the windows
-around it are candidates; a candidate extends to a match when the whole window, by a 96-bit
+around it are candidates; a candidate extends to a match when the whole window, by an 80-bit
 digest of its bytes, occurs twice.
 
 Both rounds look for repeated keys the same way. A map task resolves the keys that occur more
-than once in a batch by itself and sends each key once, so a key that a third of all documents
-hold reaches its reducer a few times per task. Keys are then sorted, and a streaming pass emits
-the places of those that meet another. No group is ever held in memory, and nothing is broadcast.
+than once among up to a million by itself and sends each key once, so a key that a third of all
+documents hold reaches its reducer a few times per task. Keys travel in packed blocks to buckets
+by their hash; the number of buckets follows the bytes of text, so a bucket is of bounded size. A
+bucket emits the places of the keys that meet another. Nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -36,10 +37,48 @@ PERIOD = 21
 COVER = (0, 1, 4, 14, 16)
 ANCHOR = WINDOW - PERIOD + 1
 
-_SENT = pa.schema([("hit", pa.bool_()), ("h", pa.int64()), ("v", pa.int32()), ("k", pa.int64()), ("d", pa.int64()), ("pos", pa.int32()), ("known", pa.bool_())])
-_SENT_DDL = "hit boolean, h long, v int, k long, d long, pos int, known boolean"
-_HIT_DDL = "k long, d long, pos int"
-_FLUSH = 400_000
+_SENT_DDL = "bucket int, hit boolean, blob binary"
+_HIT_DDL = "k long, d long, hits array<int>"
+_FLUSH = 1_000_000
+#: Bytes of text for each bucket of keys; a reducer holds the keys of one bucket at a time.
+BUCKET_BYTES = 16_000_000
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Byte planes, which compress better than whole numbers."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _unplanes(raw: memoryview, kind: str, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, n).T).view(kind).reshape(n)
+
+
+#: Columns of a blob's entries: key, more key, whether its places are known, document, position.
+_KINDS = ("<u8", "<i2", "|u1", "<u4", "<i4")
+
+
+def _write_blob(docs: np.ndarray, h: np.ndarray, v: np.ndarray, known: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bytes:
+    """Entries in the order of h, whose differences are stored. ``docs`` has rows (k, d)."""
+    used, local = np.unique(doc, return_inverse=True)
+    table = np.ascontiguousarray(docs[used])
+    columns = (np.diff(h, prepend=np.uint64(0)), v, known.astype(np.uint8), local.astype(np.uint32), pos)
+    body = np.array([len(used), len(h)], dtype="<i8").tobytes() + _planes(table.reshape(-1)) + b"".join(_planes(np.ascontiguousarray(c.astype(t))) for c, t in zip(columns, _KINDS, strict=True))
+    return zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def _read_blob(blob: bytes) -> tuple[np.ndarray, ...]:
+    """(k, d, h, v, known, pos) of a blob's entries."""
+    raw = memoryview(zstandard.ZstdDecompressor().decompress(blob))
+    n_docs, n = np.frombuffer(raw[:16], dtype="<i8").tolist()
+    at = 16 + 16 * n_docs
+    table, columns = _unplanes(raw[16:at], "<i8", 2 * n_docs).reshape(n_docs, 2), []
+    for kind in _KINDS:
+        size = np.dtype(kind).itemsize * n
+        columns.append(_unplanes(raw[at : at + size], kind, n))
+        at += size
+    h, v, known, local, pos = columns
+    return table[local, 0], table[local, 1], np.cumsum(h, dtype=np.uint64), v, known.astype(bool), pos
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,30 +97,54 @@ def _cover_positions(n: int) -> np.ndarray:
 
 
 def _digests(joined: bytes, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(64 bits, 32 bits) of the words [p, p + length) for every p in ``at``."""
+    """Two digests, of 64 and 16 bits, of the words [p, p + length) for every p in ``at``.
+
+    Anchors only propose candidates, so 48 bits do for them; windows decide by 80 bits.
+    """
     digest = xxhash.xxh3_128_digest
     raw = b"".join([digest(joined[s:e]) for s, e in zip(starts[at].tolist(), ends[at + length - 1].tolist(), strict=True)])
     cells = np.frombuffer(raw, dtype="<i8").reshape(-1, 2)
-    return cells[:, 0], cells[:, 1].astype(np.int32)
+    h = cells[:, 0].view(np.uint64)
+    if length < WINDOW:
+        return h >> np.uint64(16), np.zeros(len(h), dtype=np.int16)
+    return h, cells[:, 1].astype(np.int16)
+
+
+def _dealt(bucket: np.ndarray, docs: np.ndarray, h: np.ndarray, v: np.ndarray, known: np.ndarray, doc: np.ndarray, pos: np.ndarray, take: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, blob) of the entries in ``take``, whose order stays."""
+    at = np.flatnonzero(take)
+    at = at[np.argsort(bucket[at], kind="stable")]
+    for part in np.split(at, np.flatnonzero(np.diff(bucket[at])) + 1) if len(at) else []:
+        yield int(bucket[part[0]]), _write_blob(docs, h[part], v[part], known[part], doc[part], pos[part])
 
 
-def _send(h: np.ndarray, v: np.ndarray, k: np.ndarray, d: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+def _send(buckets: int, h: np.ndarray, v: np.ndarray, docs: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
     """Keys met once here are asked about; of the others all places are hits, and one announces the key."""
     order = np.lexsort((v, h))
-    h, v, k, d, pos = (x[order] for x in (h, v, k, d, pos))
+    h, v, doc, pos = (x[order] for x in (h, v, doc, pos))
     same = (h[1:] == h[:-1]) & (v[1:] == v[:-1])
     first = np.append(True, ~same)
     known = np.append(same, False) | ~first
-    # a hit's key only spreads rows over tasks
-    cols = [np.concatenate([a[first], b[known]]) for a, b in ((np.zeros(len(h), bool), np.ones(len(h), bool)), (h, k), (v, np.zeros_like(v)), (k, k), (d, d), (pos, pos), (known, known))]
-    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, _SENT, strict=True)], schema=_SENT)
+    rows: list[tuple] = []
+    # hits pass through the exchange too, dealt by document, so that one pass serves both
+    rows += [(n, False, blob) for n, blob in _dealt(h % np.uint64(buckets), docs, h, v, known, doc, pos, first)]
+    zeros = np.zeros_like(h), np.zeros_like(v)
+    rows += [(n, True, blob) for n, blob in _dealt(docs[doc, 0].view(np.uint64) % np.uint64(buckets), docs, *zeros, known, doc, pos, known)]
+    cols = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["bucket", "hit", "blob"])
 
 
-def _keys(batches: Iterator[pa.RecordBatch], places: Callable[[int, dict], np.ndarray], length: int) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], buckets: int, places: Callable[[int, dict], np.ndarray], length: int) -> Iterator[pa.RecordBatch]:
     """Digests of ``length`` words at the chosen places of each text, a bounded number at a time."""
     expand = zstandard.ZstdDecompressor()
     held: list[tuple[np.ndarray, ...]] = []
+    docs: list[tuple[int, int]] = []
     size = 0
+
+    def flush() -> pa.RecordBatch:
+        h, v, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        return _send(buckets, h, v, np.array(docs, dtype=np.int64), doc, pos)
+
     for batch in batches:
         rows = batch.to_pydict()
         for i, body in enumerate(rows["body"]):
@@ -92,18 +155,18 @@ def _keys(batches: Iterator[pa.RecordBatch], places: Callable[[int, dict], np.nd
             joined, starts, ends = spans(words)
             for lo in range(0, len(at), _FLUSH):
                 part = at[lo : lo + _FLUSH]
-                h, v = _digests(joined, starts, ends, part, length)
-                held.append((h, v, np.full(len(part), rows["k"][i]), np.full(len(part), rows["d"][i]), part.astype(np.int32)))
+                docs.append((rows["k"][i], rows["d"][i]))
+                held.append((*_digests(joined, starts, ends, part, length), np.full(len(part), len(docs) - 1), part.astype(np.int32)))
                 size += len(part)
                 if size >= _FLUSH:
-                    yield _send(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held, size = [], 0
+                    yield flush()
+                    held, docs, size = [], [], 0
     if held:
-        yield _send(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield flush()
 
 
-def _anchor_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _keys(batches, lambda n, _: _cover_positions(n), ANCHOR)
+def _anchor_keys(buckets: int) -> Callable:
+    return lambda batches: _keys(batches, buckets, lambda n, _: _cover_positions(n), ANCHOR)
 
 
 def _windows_around(n: int, row: dict) -> np.ndarray:
@@ -115,36 +178,75 @@ def _windows_around(n: int, row: dict) -> np.ndarray:
     return np.flatnonzero(np.cumsum(change)[: max(0, n - WINDOW + 1)] > 0)
 
 
-def _window_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _keys(batches, _windows_around, WINDOW)
-
+def _window_keys(buckets: int) -> Callable:
+    return lambda batches: _keys(batches, buckets, _windows_around, WINDOW)
+
+
+def _meet(buckets: int) -> Callable:
+    """Places whose key meets another, dealt by document. Rows come sorted by bucket; one bucket's keys are held at a time."""
+
+    def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[tuple[int, bytes]]:
+        k, d, h, v, known, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((v, h))
+        h, v = h[order], v[order]
+        same = (h[1:] == h[:-1]) & (v[1:] == v[:-1])
+        out = order[(np.append(False, same) | np.append(same, False)) & ~known[order]]
+        k, d, pos = k[out], d[out], pos[out]
+        zeros = np.zeros(len(k), dtype=np.uint64), np.zeros(len(k), dtype=np.int16), np.zeros(len(k), dtype=bool)
+        yield from _dealt(k.view(np.uint64) % np.uint64(buckets), np.stack([k, d], axis=1), *zeros, np.arange(len(k)), pos, np.ones(len(k), dtype=bool))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        current = None
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
+        for batch in batches:
+            for bucket, hit, blob in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if hit:
+                    yield pack([(bucket, blob)])
+                    continue
+                if held and bucket != current:
+                    yield pack(list(flush(held)))
+                    held = []
+                current = bucket
+                held.append(_read_blob(blob))
+        if held:
+            yield pack(list(flush(held)))
+
+    return run
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, d, hits), a row for each document with hits. Rows come sorted by bucket, of which one is held at a time."""
+    held: list[tuple[np.ndarray, ...]] = []
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places whose key meets another. Rows come sorted by (hit, h, v); a run may span batches."""
-    before: tuple | None = None  # key of the last row, whether its place is still to be emitted, its place
+    def flush() -> pa.RecordBatch:
+        k, d, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((pos, d, k))
+        k, d, pos = k[order], d[order], pos[order]
+        # a place that repeated rows share counts once
+        new = np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (pos[1:] != pos[:-1])) if len(k) else np.zeros(0, dtype=bool)
+        k, d, pos = k[new], d[new], pos[new]
+        first = np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])) if len(k) else np.zeros(0, dtype=bool)
+        offsets = np.append(np.flatnonzero(first), len(k)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(k[first]), pa.array(d[first]), pa.ListArray.from_arrays(offsets, pa.array(pos.astype(np.int32)))], names=["k", "d", "hits"])
+
+    current = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        hit, known = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 6))
-        h, v, k, d, pos = (np.asarray(batch.column(c)) for c in (1, 2, 3, 4, 5))
-        same = (h[1:] == h[:-1]) & (v[1:] == v[:-1]) & ~hit[1:] & ~hit[:-1]
-        met = np.append(False, same) | np.append(same, False)
-        key = (bool(hit[0]), int(h[0]), int(v[0]))
-        extra: list[tuple[int, int, int]] = []
-        if before is not None and before[0] == key and not key[0]:
-            met[0] = True
-            if before[1]:
-                extra.append(before[2])
-        out = hit | (met & ~known)
-        before = ((bool(hit[-1]), int(h[-1]), int(v[-1])), not (out[-1] or known[-1]), (int(k[-1]), int(d[-1]), int(pos[-1])))
-        cols = [np.concatenate([np.array([x[c] for x in extra], dtype=y.dtype), y[out]]) for c, y in enumerate((k, d, pos))]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k", "d", "pos"])
-
-
-def _repeated(sent: DataFrame) -> DataFrame:
+        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if held and bucket != current:
+                yield flush()
+                held = []
+            current = bucket
+            k, d, _, _, _, pos = _read_blob(blob)
+            held.append((k, d, pos))
+    if held:
+        yield flush()
+
+
+def _repeated(sent: DataFrame, buckets: int) -> DataFrame:
     """(k, d, hits): for each row of the corpus, the positions whose key occurs elsewhere."""
-    met = sent.repartition("h").sortWithinPartitions("hit", "h", "v").mapInArrow(_meet, _HIT_DDL)
-    return met.repartition("k", "d").groupBy("k", "d").agg(F.collect_set("pos").alias("hits"))
+    met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(buckets), "bucket int, blob binary")
+    return met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_gather, _HIT_DDL)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +263,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = np.cumsum(gone)[: len(words)] == 0
             kept = b" ".join([words[i] for i in np.flatnonzero(keep)]) if hits else b" ".join(words)
             removed = int(len(words) - keep.sum())
-            out.append((doc_id, len(words), removed, hashlib.sha256(kept).hexdigest(), kept))
+            out.append((doc_id, len(words), removed, hashlib.sha256(kept).hexdigest(), kept if removed else expand.decompress(body)))
         names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         cols = list(zip(*out, strict=True)) or [()] * 5
@@ -171,7 +273,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text, and the columns in ``carry``) per row.
 
-    A null or blank text has no words and keeps the empty text. Texts of fewer than ``WINDOW``
+    kept_text is the text as it was if nothing is removed, else the kept words joined by one
+    space; kept_sha256 is that of the joined words in either case. A null text has no words and
+    comes back empty. Texts of fewer than ``WINDOW``
     words lose nothing. Repeated rows are documents of their own: of two equal rows with a whole
     window, both lose it. A null doc_id is allowed and returned. Columns other than doc_id, text
     and ``carry`` are ignored, so their names cannot clash. No rows in, no rows out.
@@ -184,10 +288,12 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         *[F.col(c).alias(f"_{i}") for i, c in enumerate(carry)],
     )
-    anchors = _repeated(named.select("k", "d", "body").mapInArrow(_anchor_keys, _SENT_DDL))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(1, size // BUCKET_BYTES)
+    anchors = _repeated(named.select("k", "d", "body").mapInArrow(_anchor_keys(buckets), _SENT_DDL), buckets)
     key_types = "k long, d long, body binary"
     candidates = named.select("k", "d", "body").mapInArrow(_pack, key_types).join(anchors, ["k", "d"])
-    matches = _repeated(candidates.mapInArrow(_window_keys, _SENT_DDL))
+    matches = _repeated(candidates.mapInArrow(_window_keys(buckets), _SENT_DDL), buckets)
     carried = ", ".join(f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     whole = named.mapInArrow(_pack, f"{key_types}, doc_id long" + (f", {carried}" if carried else ""))
     joined = whole.join(matches, ["k", "d"], "left").select("doc_id", "body", "hits", *[f"_{i}" for i in range(len(carry))])
