@@ -31,6 +31,9 @@ _IRI, _BLANK = r"<([^<>\"{}|^`\\\x00-\x20]*(?:\\u[0-9A-Fa-f]{4}[^<>]*)?)>", r"_:
 _LINE = rf'^\s*(?:{_IRI}|{_BLANK})\s*<([^<>]*)>\s*(?:{_IRI}|{_BLANK}|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^<>]*)>)?)\s*(?:<([^<>]*)>)?\s*\.\s*(?:#.*)?$'
 
 
+_MARK = "\x01"
+
+
 def _unescaped(v: Column) -> Column:
     """Escapes by way of a JSON string, whose escapes are a superset of the lines' short ones."""
     as_json = F.regexp_replace(F.regexp_replace(v, r"\\'", "'"), r"\\U0000([0-9A-Fa-f]{4})", r"\\u$1")
@@ -41,18 +44,22 @@ def _unescaped(v: Column) -> Column:
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Quads of N-Triples or N-Quads lines with a ``model_id``; comments and blank lines give nothing, broken ones raise."""
     text = F.col(column)
-    part = lambda i: F.nullif(F.regexp_extract(text, _LINE, i), F.lit(""))
-    real = lines.where(~F.trim(text).rlike(r"^(#.*)?$"))
-    checked = real.withColumn(column, F.when(text.rlike(_LINE), text).otherwise(F.raise_error(F.concat(F.lit("not a statement: "), F.substring(text, 1, 200))).cast("string")))
-    is_literal = text.rlike(rf'^\s*(?:{_IRI}|{_BLANK})\s*<[^<>]*>\s*"')
+    blank = F.trim(text).rlike(r"^(#.*)?$")
+    # one pass of the expression gives all parts, set apart by a control character
+    parts = F.split(F.regexp_replace(text, _LINE, _MARK + _MARK.join(f"${i}" for i in range(1, 10))), _MARK)
+    cut = lines.where(~blank).select("model_id", text.alias("_text"), parts.alias("_p"))
+    wrong = F.raise_error(F.concat(F.lit("not a statement: "), F.substring("_text", 1, 200)))
+    cut = cut.withColumn("_p", F.when(F.size("_p") == 10, F.col("_p")).otherwise(wrong.cast("array<string>")))
+    part = lambda i: F.nullif(F.col("_p")[i], F.lit(""))
     lang = F.lower(part(7))
+    datatype = F.when(lang.isNotNull(), LANG_STRING).otherwise(F.coalesce(part(8), F.lit(XSD_STRING)))
     o = (
-        F.when(is_literal, term(_unescaped(F.regexp_extract(text, _LINE, 6)), "literal", F.when(lang.isNotNull(), LANG_STRING).otherwise(F.coalesce(part(8), F.lit(XSD_STRING))), lang))
-        .when(part(4).isNotNull(), term(_unescaped(part(4)), "iri"))
-        .otherwise(term(part(5), "bnode"))
+        F.when(part(4).isNotNull(), term(_unescaped(part(4)), "iri"))
+        .when(part(5).isNotNull(), term(part(5), "bnode"))
+        .otherwise(term(_unescaped(F.col("_p")[6]), "literal", datatype, lang))
     )
     s = F.when(part(1).isNotNull(), term(_unescaped(part(1)), "iri")).otherwise(term(part(2), "bnode"))
-    return from_terms(checked, s, part(3), o, part(9))
+    return from_terms(cut, s, part(3), o, part(9))
 
 
 def parse_line_contents(contents: DataFrame) -> DataFrame:
