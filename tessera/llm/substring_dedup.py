@@ -110,10 +110,10 @@ def _digests(joined: bytes, starts: np.ndarray, ends: np.ndarray, at: np.ndarray
     return h, cells[:, 1].astype(np.int16)
 
 
-def _dealt(bucket: np.ndarray, docs: np.ndarray, h: np.ndarray, v: np.ndarray, known: np.ndarray, doc: np.ndarray, pos: np.ndarray, take: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(bucket, blob) of the entries in ``take``, whose order stays."""
+def _dealt(bucket: np.ndarray, docs: np.ndarray, h: np.ndarray, v: np.ndarray, known: np.ndarray, doc: np.ndarray, pos: np.ndarray, take: np.ndarray, by_place: bool = False) -> Iterator[tuple[int, bytes]]:
+    """(bucket, blob) of the entries in ``take``, in their order or, which packs hits better, by place."""
     at = np.flatnonzero(take)
-    at = at[np.argsort(bucket[at], kind="stable")]
+    at = at[np.lexsort((pos[at], doc[at], bucket[at]))] if by_place else at[np.argsort(bucket[at], kind="stable")]
     for part in np.split(at, np.flatnonzero(np.diff(bucket[at])) + 1) if len(at) else []:
         yield int(bucket[part[0]]), _write_blob(docs, h[part], v[part], known[part], doc[part], pos[part])
 
@@ -129,7 +129,7 @@ def _send(buckets: int, h: np.ndarray, v: np.ndarray, docs: np.ndarray, doc: np.
     # hits pass through the exchange too, dealt by document, so that one pass serves both
     rows += [(n, False, blob) for n, blob in _dealt(h % np.uint64(buckets), docs, h, v, known, doc, pos, first)]
     zeros = np.zeros_like(h), np.zeros_like(v)
-    rows += [(n, True, blob) for n, blob in _dealt(docs[doc, 0].view(np.uint64) % np.uint64(buckets), docs, *zeros, known, doc, pos, known)]
+    rows += [(n, True, blob) for n, blob in _dealt(docs[doc, 0].view(np.uint64) % np.uint64(buckets), docs, *zeros, known, doc, pos, known, by_place=True)]
     cols = list(zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["bucket", "hit", "blob"])
 
@@ -191,9 +191,13 @@ def _meet(buckets: int) -> Callable:
         h, v = h[order], v[order]
         same = (h[1:] == h[:-1]) & (v[1:] == v[:-1])
         out = order[(np.append(False, same) | np.append(same, False)) & ~known[order]]
-        k, d, pos = k[out], d[out], pos[out]
+        places = np.lexsort((pos[out], d[out], k[out]))
+        k, d, pos = (x[out][places] for x in (k, d, pos))
+        if not len(k):
+            return
+        first = np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))
         zeros = np.zeros(len(k), dtype=np.uint64), np.zeros(len(k), dtype=np.int16), np.zeros(len(k), dtype=bool)
-        yield from _dealt(k.view(np.uint64) % np.uint64(buckets), np.stack([k, d], axis=1), *zeros, np.arange(len(k)), pos, np.ones(len(k), dtype=bool))
+        yield from _dealt(k.view(np.uint64) % np.uint64(buckets), np.stack([k, d], axis=1)[first], *zeros, np.cumsum(first) - 1, pos, np.ones(len(k), dtype=bool), by_place=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
