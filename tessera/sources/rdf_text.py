@@ -47,16 +47,16 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     blank = F.trim(text).rlike(r"^(#.*)?$")
     # one pass of the expression gives all parts, set apart by a control character
     parts = F.split(F.regexp_replace(text, _LINE, _MARK + _MARK.join(f"${i}" for i in range(1, 10))), _MARK)
-    cut = lines.where(~blank).select("model_id", text.alias("_text"), parts.alias("_p"))
+    cut = lines.where(~blank).select("model_id", text.alias("_text"), blank.alias("_blank"), parts.alias("_p"))
     wrong = F.raise_error(F.concat(F.lit("not a statement: "), F.substring("_text", 1, 200)))
-    cut = cut.withColumn("_p", F.when(F.size("_p") == 10, F.col("_p")).otherwise(wrong.cast("array<string>")))
-    part = lambda i: F.nullif(F.col("_p")[i], F.lit(""))
+    cut = cut.withColumn("_p", F.when(F.col("_blank") | (F.size("_p") == 10), F.col("_p")).otherwise(wrong.cast("array<string>")))
+    part = lambda i: F.nullif(F.get("_p", F.lit(i)), F.lit(""))
     lang = F.lower(part(7))
     datatype = F.when(lang.isNotNull(), LANG_STRING).otherwise(F.coalesce(part(8), F.lit(XSD_STRING)))
     o = (
         F.when(part(4).isNotNull(), term(_unescaped(part(4)), "iri"))
         .when(part(5).isNotNull(), term(part(5), "bnode"))
-        .otherwise(term(_unescaped(F.col("_p")[6]), "literal", datatype, lang))
+        .otherwise(term(_unescaped(F.get("_p", F.lit(6))), "literal", datatype, lang))
     )
     s = F.when(part(1).isNotNull(), term(_unescaped(part(1)), "iri")).otherwise(term(part(2), "bnode"))
     return from_terms(cut, s, part(3), o, part(9))
