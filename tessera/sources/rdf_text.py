@@ -47,7 +47,8 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     blank = F.trim(text).rlike(r"^(#.*)?$")
     # one pass of the expression gives all parts, set apart by a control character
     parts = F.split(F.regexp_replace(text, _LINE, _MARK + _MARK.join(f"${i}" for i in range(1, 10))), _MARK)
-    cut = lines.where(~blank).select("model_id", text.alias("_text"), blank.alias("_blank"), parts.alias("_p"))
+    # exploding an array of one keeps filters above from repeating the work
+    cut = lines.where(~blank).select("model_id", text.alias("_text"), blank.alias("_blank"), F.explode(F.array(parts)).alias("_p"))
     wrong = F.raise_error(F.concat(F.lit("not a statement: "), F.substring("_text", 1, 200)))
     cut = cut.withColumn("_p", F.when(F.col("_blank") | (F.size("_p") == 10), F.col("_p")).otherwise(wrong.cast("array<string>")))
     part = lambda i: F.nullif(F.get("_p", F.lit(i)), F.lit(""))
