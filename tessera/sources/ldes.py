@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from tessera.operators.closure import reach, subgraph
 from tessera.operators.quads import COLUMNS
@@ -296,9 +296,6 @@ class LdesDataSource(DataSource):
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
         return LdesStream(dict(self.options))
 
-    def streamReader(self, schema) -> DataSourceStreamReader:
-        raise NotImplementedError
-
 
 # the structure of a stream
 
