@@ -127,7 +127,7 @@ def scan(files: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold:
     """
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"at most {MAX_TEMPLATES} templates are compared at once")
-    files = files.drop("license", "score", "origin", "license_dir")
+    files = files.drop("license", "score", "origin", "license_dir", "__own", "__dir", "__holder", "__given")
     vocabulary = sorted({t for text in templates.values() for t in terms_of(text)})
     known, other, vectors = _weights(templates, *document_frequencies(files.select("text"), vocabulary))
     needed = r"(?<![a-z0-9])(" + "|".join(heaviest_terms(vectors, threshold)) + r")(?![a-z0-9])"
@@ -138,25 +138,25 @@ def scan(files: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold:
     lines = F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike(needed))
     notices = F.when(F.lower(text).rlike(needed), F.concat(lines, F.when(named, F.array(text)).otherwise(F.array().cast("array<string>"))))
     best = F.array_max(F.transform(notices, lambda x: best_match(x, known, other, vectors)))
-    own = files.withColumn("_own", best).withColumn("_dir", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", r"/[^/]*$", "")).when(F.col("path").isNotNull(), ""))
-    own = own.withColumn("_own", F.when(F.col("_own.score") >= threshold, F.col("_own")))
+    own = files.withColumn("__own", best).withColumn("__dir", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", r"/[^/]*$", "")).when(F.col("path").isNotNull(), ""))
+    own = own.withColumn("__own", F.when(F.col("__own.score") >= threshold, F.col("__own")))
 
-    holders = own.where(named & F.col("_own").isNotNull()).groupBy(F.col("_dir").alias("holder")).agg(F.max("_own").alias("given"))
+    holders = own.where(named & F.col("__own").isNotNull()).groupBy(F.col("__dir").alias("__holder")).agg(F.max("__own").alias("__given"))
     holders = stash(holders, "license-dirs")
-    wanting = own.where(F.col("_own").isNull() & F.col("_dir").isNotNull()).select("_dir").distinct()
-    parts = F.split("_dir", "/")
+    wanting = own.where(F.col("__own").isNull() & F.col("__dir").isNotNull()).select("__dir").distinct()
+    parts = F.split("__dir", "/")
     ancestors = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    above = wanting.select("_dir", F.explode(F.array_distinct(ancestors)).alias("holder")).join(holders, "holder")
-    nearest = above.groupBy("_dir").agg(F.max(F.struct(F.char_length("holder").alias("n"), "holder", "given")).alias("m"))
-    nearest = stash(nearest.select("_dir", F.col("m.holder").alias("holder"), F.col("m.given").alias("given")), "license-nearest")
+    above = wanting.select("__dir", F.explode(F.array_distinct(ancestors)).alias("__holder")).join(holders, "__holder")
+    nearest = above.groupBy("__dir").agg(F.max(F.struct(F.char_length("__holder").alias("n"), "__holder", "__given")).alias("m"))
+    nearest = stash(nearest.select("__dir", F.col("m.__holder").alias("__holder"), F.col("m.__given").alias("__given")), "license-nearest")
 
-    joined = own.join(nearest, "_dir", "left")
-    found = F.coalesce("_own", "given")
-    origin = F.when(F.col("_own").isNotNull(), "own").when(F.col("given").isNotNull(), "inherited").otherwise("none")
+    joined = own.join(nearest, "__dir", "left")
+    found = F.coalesce("__own", "__given")
+    origin = F.when(F.col("__own").isNotNull(), "own").when(F.col("__given").isNotNull(), "inherited").otherwise("none")
     return joined.select(
         *files.columns,
         found["license"].alias("license"),
         F.coalesce(found["score"], F.lit(0.0)).alias("score"),
         origin.alias("origin"),
-        F.when(F.col("_own").isNotNull(), F.col("_dir")).otherwise(F.col("holder")).alias("license_dir"),
+        F.when(F.col("__own").isNotNull(), F.col("__dir")).otherwise(F.col("__holder")).alias("license_dir"),
     )

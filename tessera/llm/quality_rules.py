@@ -94,7 +94,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
 
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     stats = _let(words_of(text), lambda w: _let(lines, lambda x: counts(w, x)))
-    return docs.withColumn("_q", stats).select("*", *[F.col(f"_q.{n}").alias(n) for n in names]).drop("_q")
+    return docs.withColumn("__q", stats).select("*", *[F.col(f"__q.{n}").alias(n) for n in names]).drop("__q")
 
 
 def base_failed() -> Column:
@@ -147,7 +147,7 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = S
     of a result column is replaced.
     """
     made = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept")
-    docs = docs.drop(*made)
+    docs = docs.drop(*made, "__q")
     ordered = order_rules(docs, rules if rules is not None else default_rules(), sample_rows)
     judged = base_statistics(docs).withColumn("base_failed", base_failed())
     judged = judged.withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade([r for r, _, _ in ordered])))
