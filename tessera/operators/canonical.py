@@ -107,3 +107,11 @@ def member_hashes(quads: DataFrame) -> DataFrame:
     named = quads.groupBy("model_id").agg(F.count_distinct(F.when(F.col("s_kind") == "iri", F.col("s"))).alias("n"), F.min(F.when(F.col("s_kind") == "iri", F.col("s"))).alias("member_id"))
     checked = named.withColumn("member_id", F.when(F.col("n") == 1, F.col("member_id")).otherwise(F.raise_error(F.concat(F.lit("a member needs one named subject, found "), F.col("n").cast("string"))).cast("string")))
     return model_hashes(quads).join(checked.select("model_id", "member_id"), "model_id")
+
+
+def route_changed(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The models of ``after`` that differ from those of ``before``, and those that are isomorphic to them:
+    the routes of a transformer that found something to do, and of one that didn't."""
+    old, new = model_hashes(before), model_hashes(after)
+    same = new.join(old, ["model_id", "hash"], "left_semi").select("model_id")
+    return after.join(same, "model_id", "left_anti").select(*after.columns), after.join(same, "model_id", "left_semi").select(*after.columns)

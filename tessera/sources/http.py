@@ -159,7 +159,7 @@ def connector_executor(execute: Executor, public_url: str, connector_url: str, t
     held = {"token": ""}
 
     def run(request: Request) -> Response:
-        url = request.url.replace(public_url, connector_url, 1)
+        url = request.url.replace(public_url, connector_url, 1) if public_url else request.url
         for attempt in range(2):
             if not held["token"]:
                 held["token"] = token()
@@ -173,8 +173,21 @@ def connector_executor(execute: Executor, public_url: str, connector_url: str, t
     return run
 
 
+def connector_token(execute: Executor, options: Mapping[str, str]) -> str:
+    """Start a transfer and fetch its token: POST connector.transfer to connector.transfer-url, then GET connector.token-url."""
+    if url := options.get("connector.transfer-url"):
+        got = execute(Request(url, "POST", {"Content-Type": "application/json"}, options.get("connector.transfer", "{}").encode()))
+        if not 200 <= got.status < 300:
+            raise OSError(f"the transfer was refused: {got.status}")
+    got = execute(Request(options["connector.token-url"]))
+    if got.status != 200:
+        raise OSError(f"no token: status {got.status}")
+    answer = json.loads(got.body)
+    return answer.get("authCode") or answer["token"]
+
+
 def executor_from(options: Mapping[str, str]) -> Executor:
-    """An executor by flat options: auth.type, retries.*, rate-limit.*; retries(rate limit(request))."""
+    """An executor by flat options: auth.type, connector.*, retries.*, rate-limit.*; retries(rate limit(request))."""
     run = urllib_executor(float(options.get("timeout", TIMEOUT_SECONDS)))
     kind = options.get("auth.type", "NO_AUTH").upper()
     if kind == "API_KEY":
@@ -183,6 +196,9 @@ def executor_from(options: Mapping[str, str]) -> Executor:
         run = with_client_credentials(run, options["auth.token-endpoint"], options["auth.client-id"], options["auth.client-secret"], options.get("auth.scope"))
     elif kind != "NO_AUTH":
         raise ValueError(f"unknown auth.type {kind}")
+    if options.get("connector.token-url"):
+        plain = run
+        run = connector_executor(plain, options.get("connector.public-url", ""), options.get("connector.url", ""), lambda: connector_token(plain, options), options.get("connector.header", "Authorization"))
     if options.get("rate-limit.enabled", "false").lower() == "true":
         run = with_rate_limit(run, int(options.get("rate-limit.limit", 500)), float(options.get("rate-limit.period", 60)))
     if options.get("retries.enabled", "true").lower() == "true":

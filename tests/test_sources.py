@@ -4,7 +4,7 @@ import threading
 import pytest
 
 from tessera.functions import geo
-from tessera.operators import canonical, geojson, versions
+from tessera.operators import canonical, enrich, geojson, versions
 from tessera.operators.quads import SCHEMA
 from tessera.plans import rml
 from tessera.sinks import stores, text
@@ -264,3 +264,42 @@ def test_http_out(spark, server):
     assert state["posted"] == b"hello"
     with pytest.raises(Exception, match="answered 405|answered 501|answered 404|answered"):
         stores.http_out(rows, "http://127.0.0.1:9/none", "text/plain", {"retries.enabled": "false"}, continue_on_fail=False).collect()
+
+
+def test_connector_fetches_tokens_again():
+    tokens, seen = iter(["old", "new"]), []
+
+    def fake(r):
+        if r.url == "http://token":
+            return client.Response(200, {}, b'{"authCode": "%s"}' % next(tokens).encode())
+        if r.url == "http://transfer":
+            return client.Response(200, {}, b"{}")
+        seen.append((r.url, r.headers["Authorization"]))
+        return client.Response(403 if r.headers["Authorization"] == "old" else 200, {}, b"")
+
+    options = {"connector.transfer-url": "http://transfer", "connector.token-url": "http://token"}
+    run = client.connector_executor(fake, "http://public", "http://connector", lambda: client.connector_token(fake, options))
+    got = run(client.Request("http://public/page"))
+    assert got.status == 200 and got.url == "http://public/page" and seen == [("http://connector/page", "old"), ("http://connector/page", "new")]
+
+
+def test_enrichment_by_http(spark):
+    rows = [("m1", None, "http://e/a", "iri", "http://e/url", "http://x/1", "literal", None, None), ("m2", None, "http://e/a", "iri", "http://e/url", "http://x/bad", "literal", None, None)]
+
+    def fetch(method, url, body, headers):
+        return (200, "text/turtle", "<http://e/a> <http://e/new> 1 .") if url.endswith("1") and method == "GET" else (500, "", "")
+
+    got = enrich.http_enrich(spark.createDataFrame(rows, SCHEMA), fetch, "http://e/url").collect()
+    assert sorted((r.model_id, r.p) for r in got) == [("m1", "http://e/new"), ("m1", "http://e/url"), ("m2", "http://e/url")]
+
+
+def test_routes(spark):
+    rows = [(m, None, "http://e/a", "iri", "http://e/p", "1", "literal", None, None) for m in ("m1", "m2")]
+    q = spark.createDataFrame(rows, SCHEMA)
+    changed, same = canonical.route_changed(q, q.replace("m1", "m1").withColumn("o", canonical.F.when(canonical.F.col("model_id") == "m1", "2").otherwise(canonical.F.col("o"))))
+    assert [r.model_id for r in changed.collect()] == ["m1"] and [r.model_id for r in same.collect()] == ["m2"]
+
+
+def test_times_keep_the_wall_clock(spark):
+    rows = [("m", None, "http://e/a", "iri", "http://e/t", "2024-01-01T10:00:00+05:00", "literal", None, None)]
+    assert str(versions.timestamps(spark.createDataFrame(rows, SCHEMA), "http://e/t").first().ts) == "2024-01-01 10:00:00"
