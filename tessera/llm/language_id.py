@@ -23,6 +23,7 @@ MAX_LANGUAGES = 200
 LANDMARKS = 192
 RIDGE = 1e-3
 BATCH = 128
+CHUNK = 1 << 20
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
 
 
@@ -33,7 +34,14 @@ def has_letter(text: str | None) -> bool:
 def presence(text: str | None) -> np.ndarray:
     """0/1 over all hashed n-grams of the lower-cased text; anything but letters counts as a space."""
     out = np.zeros(sum(WIDTHS), dtype=np.uint8)
-    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    text = text or ""
+    for lo in range(0, len(text), CHUNK):  # chunks overlap, so every n-gram lies in one
+        _mark(text[lo : lo + CHUNK + len(WIDTHS) - 1], out)
+    return out
+
+
+def _mark(text: str, out: np.ndarray) -> None:
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
     letters = (codes >= 0xAA) | ((codes >= 97) & (codes <= 122))
     codes = np.where(letters, codes, 32).astype(np.uint32)
     at = 0
@@ -45,7 +53,6 @@ def presence(text: str | None) -> np.ndarray:
                 mixed ^= mixed >> np.uint32(15)
             out[at + mixed % np.uint32(width)] = 1
         at += width
-    return out
 
 
 def scaled(rows: np.ndarray) -> np.ndarray:

@@ -84,33 +84,34 @@ def softened(docs: DataFrame, column: str, power: float) -> dict[str, float]:
 
 def token_counts(docs: DataFrame, topic: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, ``keep``...): words stand for tokens, null marginals are ``~other``."""
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    trimmed = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    n_words = F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+")))
     marginal = lambda c: F.coalesce(c.cast("string"), F.lit(OTHER))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         marginal(F.col("source")).alias("source"),
         marginal(F.col("lang")).alias("lang"),
         marginal(topic if topic is not None else topic_of(F.col("text"))).alias("topic"),
-        F.size(words).cast("long").alias("n_tokens"),
+        n_words.cast("long").alias("n_tokens"),
         *[F.col(c) for c in keep],
     )
 
 
-def mix(counted: DataFrame, targets: Mapping[str, Mapping[str, float]], share: float, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(counted: DataFrame, targets: Mapping[str, Mapping[str, float]], share: float, seed: int = 7, keep: tuple[str, ...] = (), summary: DataFrame | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, weight, probability, sampled, ``keep``...) for every row.
 
     ``counted`` is of the form of ``token_counts``; ``targets`` gives shares for some or all of
-    source, lang and topic; ``share`` is the part of all tokens to expect in the sample. Values
+    source, lang and topic; ``share`` is the part of all tokens to expect in the sample. ``summary``, if
+    given, holds the same rows without texts, from which cells are summed. Values
     without a target count as one value, ``~other``, and are drawn only where it has a target or
     the marginal has none at all. Rows without tokens have weight and probability 0. Rows with the
     same doc_id are drawn alike; null ids draw alike too. No rows in, no rows out.
     """
     listed = [targets.get(m, {}) for m in MARGINALS]
-    folded = counted
-    for m, t in zip(MARGINALS, listed, strict=True):
-        folded = folded.withColumn(f"_{m}", F.when(F.col(m).isin(*t), F.col(m)).otherwise(OTHER) if t else F.lit(OTHER))
-    keys = [f"_{m}" for m in MARGINALS]
-    rows = folded.where("n_tokens > 0").groupBy(*keys).agg(F.sum("n_tokens").alias("n")).limit(MAX_CELLS + 1).collect()
+    fold = {f"_{m}": F.when(F.col(m).isin(*t), F.col(m)).otherwise(OTHER) if t else F.lit(OTHER) for m, t in zip(MARGINALS, listed, strict=True)}
+    folded = counted.withColumns(fold)
+    keys = list(fold)
+    rows = (summary if summary is not None else counted).withColumns(fold).where("n_tokens > 0").groupBy(*keys).agg(F.sum("n_tokens").alias("n")).limit(MAX_CELLS + 1).collect()
     if len(rows) > MAX_CELLS:
         raise ValueError("the targets make too many cells")
     out = ("doc_id", *MARGINALS, "n_tokens", "weight", "probability", "sampled", *keep)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, language_id, license_scan, mixing, quality_rules, simhash, substring_dedup, toxicity, url_filter, warc
+from tessera.llm.storage import stash
 
 #: Fixed by the contract of op6.
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -57,7 +58,8 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(counted := mixing.token_counts(_table(spark, sf_dir, "documents")), mix_targets(counted), share=MIX_SHARE)
+    counted = stash(mixing.token_counts(_table(spark, sf_dir, "documents")), "token-counts")
+    return mixing.mix(counted, mix_targets(counted), share=MIX_SHARE)
 
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
