@@ -6,6 +6,7 @@ whatever their case and without regard to - and _.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Mapping
@@ -377,13 +378,36 @@ class Pipeline:
             self.query.stop()
 
 
-class Manager:
-    """The pipelines of one application, by name."""
+def read_definition(path: str) -> dict:
+    """A pipeline's definition from JSON, or from YAML where its parser is installed."""
+    with open(path, encoding="utf-8") as f:
+        body = f.read()
+    if path.endswith(".json"):
+        return json.loads(body)
+    try:
+        import yaml
+    except ImportError as e:
+        raise ValueError(f"{path}: YAML needs PyYAML; JSON can always be read") from e
+    return yaml.safe_load(body)
 
-    def __init__(self, spark: SparkSession, checkpoints: str):
-        self.spark, self.checkpoints, self.pipelines = spark, checkpoints, {}
 
-    def create(self, raw: Mapping[str, Any]) -> Pipeline:
+class Manager:
+    """The pipelines of one application, by name. With ``saved`` their definitions are kept as files,
+    from which a later application starts."""
+
+    def __init__(self, spark: SparkSession, checkpoints: str, saved: str | None = None):
+        self.spark, self.checkpoints, self.saved, self.pipelines = spark, checkpoints, saved, {}
+
+    def restore(self) -> list[str]:
+        """Create the pipelines of the saved definitions; names that exist already are left alone."""
+        made = []
+        for file in sorted(os.listdir(self.saved)) if self.saved and os.path.isdir(self.saved) else []:
+            raw = read_definition(os.path.join(self.saved, file))
+            if raw.get("name") not in self.pipelines:
+                made.append(self.create(raw, save=False).name)
+        return made
+
+    def create(self, raw: Mapping[str, Any], save: bool = True) -> Pipeline:
         p = Pipeline.parse(raw)
         if p.name in self.pipelines:
             raise ValueError(f"pipeline {p.name} exists")
@@ -391,6 +415,10 @@ class Manager:
             for s in steps:
                 find(registry, s.name)
         self.pipelines[p.name] = p
+        if self.saved and save:
+            os.makedirs(self.saved, exist_ok=True)
+            with open(os.path.join(self.saved, f"{p.name}.json"), "w", encoding="utf-8") as f:
+                json.dump(raw, f, indent=2)
         return p
 
     def start(self, name: str) -> StreamingQuery:
@@ -408,6 +436,8 @@ class Manager:
             return False
         if p.status is not Status.STOPPED:
             p.stop()
+        if self.saved and os.path.exists(file := os.path.join(self.saved, f"{name}.json")):
+            os.remove(file)
         return True
 
     def statuses(self) -> dict[str, str]:

@@ -88,10 +88,13 @@ class Compiler:
             return self.bound(df, ends)
         if self.graph is not None and self.graph[0] == "var":
             raise SparqlError("property paths inside GRAPH ?variable are not supported")
-        return self.bound(self.path(p), [(s, F.col("a")), (o, F.col("b"))])
+        if p[0] in ("star", "plus") and s[0] not in ("iri", "lit") and o[0] in ("iri", "lit"):  # walk from the known end
+            return self.bound(self.path((p[0], ("inv", p[1])), X.constant(o)), [(o, F.col("a")), (s, F.col("b"))])
+        start = X.constant(s) if s[0] in ("iri", "lit") else None
+        return self.bound(self.path(p, start), [(s, F.col("a")), (o, F.col("b"))])
 
-    def path(self, p: tuple) -> DataFrame:
-        """(model_id, a, b): the pairs of a path."""
+    def path(self, p: tuple, start: Column | None = None) -> DataFrame:
+        """(model_id, a, b): the pairs of a path; a closure is walked from ``start`` alone, if given."""
         tag = p[0]
         if tag == "iri":
             return self.source().where(F.col("p") == p[1]).select("model_id", subject().alias("a"), obj().alias("b"))
@@ -116,16 +119,20 @@ class Compiler:
                 parts.append(self.source().where(~F.col("p").isin(*p[2])).select("model_id", obj().alias("a"), subject().alias("b")))
             return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         pairs = self.path(p[1])
+        edges = pairs.select("model_id", F.col("a").alias("src"), F.col("b").alias("dst"))
         src = self.source()
-        nodes = src.select("model_id", subject().alias("start")).unionByName(src.select("model_id", obj().alias("start"))).distinct()
+        if start is not None:  # a given end matches itself, in the graph or not
+            nodes, pairs = self.models.select("model_id", start.alias("start")), pairs.where(F.col("a") == start)
+        else:
+            nodes = src.select("model_id", subject().alias("start")).unionByName(src.select("model_id", obj().alias("start"))).distinct()
         itself = nodes.select("model_id", F.col("start").alias("a"), F.col("start").alias("b"))
         if tag == "opt":
             return pairs.unionByName(itself).distinct()
-        edges = pairs.select("model_id", F.col("a").alias("src"), F.col("b").alias("dst"))
         if tag == "star":
             return reach(edges, nodes).select("model_id", F.col("start").alias("a"), F.col("node").alias("b"))
-        ends = reach(edges, edges.select("model_id", F.col("dst").alias("start")).distinct())
-        first = edges.withColumnRenamed("dst", "start").join(ends.select("model_id", "start", "node"), ["model_id", "start"])
+        leaving = pairs.select("model_id", F.col("a").alias("src"), F.col("b").alias("start"))
+        ends = reach(edges, leaving.select("model_id", "start").distinct())
+        first = leaving.join(ends.select("model_id", "start", "node"), ["model_id", "start"])
         return first.select("model_id", F.col("src").alias("a"), F.col("node").alias("b")).distinct()
 
     # joins

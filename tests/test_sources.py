@@ -303,3 +303,11 @@ def test_routes(spark):
 def test_times_keep_the_wall_clock(spark):
     rows = [("m", None, "http://e/a", "iri", "http://e/t", "2024-01-01T10:00:00+05:00", "literal", None, None)]
     assert str(versions.timestamps(spark.createDataFrame(rows, SCHEMA), "http://e/t").first().ts) == "2024-01-01 10:00:00"
+
+
+def test_tables_by_jdbc(spark):
+    url, driver = "jdbc:derby:memory:out;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2)], "k string, n int")
+    stores.rdb_out(rows.limit(1), url, "t", driver)
+    stores.rdb_out(rows, url, "t", driver, ignore_duplicates=True, keys=["k"])
+    assert sorted((r.k or r.K, r.n) for r in spark.read.jdbc(url, "t", properties=driver).toDF("k", "n").collect()) == [("a", 1), ("b", 2)]

@@ -33,6 +33,8 @@ def run(quads, text, model="m1"):
         ("SELECT (COUNT(*) AS ?n) { ?s ex:absent ?o }", [("0",)]),
         ("SELECT ?e { ex:a ex:next* ?e }", [("http://e/a",), ("http://e/b",), ("http://e/c",)]),
         ("SELECT ?e { ex:a ex:next+ ?e }", [("http://e/a",), ("http://e/b",), ("http://e/c",)]),
+        ("SELECT ?s { ?s ex:next+ ex:b }", [("http://e/a",), ("http://e/b",), ("http://e/c",)]),
+        ("SELECT ?s { ?s ex:in* ex:g1 }", [("http://e/g1",)]),
         ("SELECT ?e { ex:a ex:next? ?e }", [("http://e/a",), ("http://e/b",)]),
         ("SELECT ?e { ex:a ^ex:next/ex:p ?e }", [("10",)]),
         ("SELECT ?p { ex:a !(ex:p|ex:next) ?p }", [("x",)]),

@@ -78,6 +78,10 @@ def test_settings_and_registry(spark, tmp_path):
         m.create(config(tmp_path, "other") | {"outputs": [{"name": "Nothing"}]})
     with pytest.raises(ValueError, match="name"):
         Pipeline.parse({"name": "-", "input": {"name": "x"}, "outputs": [{"name": "y"}]})
+    kept = Manager(spark, str(tmp_path), str(tmp_path / "saved"))
+    kept.create(config(tmp_path, "kept"))
+    later = Manager(spark, str(tmp_path), str(tmp_path / "saved"))
+    assert later.restore() == ["kept"] and later.delete("kept") and Manager(spark, "", str(tmp_path / "saved")).restore() == []
     assert m.statuses() == {"copy": "INIT"} and m.delete("copy") and not m.delete("copy")
     assert "LdesClient" in catalog()["inputs"] and "RmlAdapter" in catalog()["adapters"]
 
