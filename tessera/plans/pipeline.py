@@ -117,8 +117,10 @@ def component(registry: dict, name: str) -> Callable:
 
 
 def find(registry: dict, name: str) -> Callable:
-    """Components go by their name, with or without a namespace before a colon."""
+    """Components go by their name, with or without a namespace before a colon or a prefix."""
     short = name.rpartition(":")[2]
+    if short not in registry:
+        short = next((n for n in sorted(registry) if short.endswith(n)), short)
     if short not in registry:
         raise ValueError(f"unknown component {name}; known: {', '.join(sorted(registry))}")
     return registry[short]
@@ -251,7 +253,7 @@ def _kafka(q: DataFrame, s: Settings) -> None:
     stores.kafka_rows(text.serialise(q, mime), mime, q, s.get("key-property-path")).write.format("kafka").option("kafka.bootstrap.servers", s.need("bootstrap-servers")).option("topic", s.need("topic")).save()
 
 
-@component(OUTPUTS, "LdioRdbOut")
+@component(OUTPUTS, "RdbOut")
 def _rdb(q: DataFrame, s: Settings) -> None:
     stores.rdb_out(stores.select_rows(q, s.text("sparql-select-query")), s.need("jdbc-url"), s.need("table-name"), s.below("jdbc-properties"), s.flag("ignore-duplicate-key-exception"), s.list("keys"))
 

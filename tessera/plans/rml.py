@@ -25,21 +25,23 @@ from tessera.operators.closure import subgraph
 from tessera.operators.quads import COLUMNS, as_set, from_terms, literal, term, union
 from tessera.plans.sparql import graphs_to_models
 from tessera.sources.rdf_text import parse_turtle
-from tessera.vocabulary import LANG_STRING, RDF, RDF_TYPE, XSD_STRING
+from tessera.vocabulary import LANG_STRING, RDF_TYPE, XSD_STRING
 
 RML, RR, QL, FNML, FNO = "http://semweb.mmlab.be/ns/rml#", "http://www.w3.org/ns/r2rml#", "http://semweb.mmlab.be/ns/ql#", "http://semweb.mmlab.be/ns/fnml#", "https://w3id.org/function/ontology#"
-LDI = "https://opengis.net/def/function/ldi#"
-
-#: FnO functions by IRI: parameter IRIs in order, and the expression.
+#: FnO functions by local name, whatever the namespace: local names of the parameters in order, and the expression.
 FUNCTIONS: dict[str, tuple[tuple[str, ...], Callable[..., Column]]] = {
-    LDI + "replace": ((LDI + "content", LDI + "target", LDI + "replacement"), functions.replace),
-    LDI + "toWkt": ((LDI + "coordinates", LDI + "wktType"), functions.to_wkt),
-    LDI + "epochToIso8601": ((LDI + "epoch",), functions.epoch_to_iso8601),
+    "replace": (("content", "target", "replacement"), functions.replace),
+    "toWkt": (("coordinates", "wktType"), functions.to_wkt),
+    "epochToIso8601": (("epoch",), functions.epoch_to_iso8601),
 }
 
 
-def register_function(iri: str, parameters: tuple[str, ...], expression: Callable[..., Column]) -> None:
-    FUNCTIONS[iri] = (parameters, expression)
+def local_name(iri: str) -> str:
+    return re.split(r"[#/]", iri)[-1]
+
+
+def register_function(name: str, parameters: tuple[str, ...], expression: Callable[..., Column]) -> None:
+    FUNCTIONS[name] = (parameters, expression)
 
 
 @dataclass
@@ -155,10 +157,6 @@ class Mapping:
 # logical rows: (model_id, row, r0, r1, ...), each reference an array of strings
 
 
-def _json_steps(path: str) -> list[str]:
-    return [s for s in re.split(r"\[\*\]\.?|\.\*\.?", path.strip()) if s not in ("",)] if ("[*]" in path or ".*" in path) else [path.strip()]
-
-
 def _json_rows(contents: DataFrame, iterator: str | None, references: list[str]) -> DataFrame:
     path = iterator or "$"
     rows = contents.select("model_id", F.try_parse_json("content").alias("_v"), F.lit("").alias("_row"))
@@ -237,7 +235,7 @@ class Compiler:
         if m.kind == "reference":
             return F.col(columns[m.value])
         if m.kind == "function":
-            name, arguments = m.value
+            name, arguments = local_name(m.value[0]), {local_name(k): v for k, v in m.value[1].items()}
             if name not in FUNCTIONS:
                 raise ValueError(f"unknown function {name}")
             parameters, f = FUNCTIONS[name]

@@ -311,3 +311,12 @@ def test_tables_by_jdbc(spark):
     stores.rdb_out(rows.limit(1), url, "t", driver)
     stores.rdb_out(rows, url, "t", driver, ignore_duplicates=True, keys=["k"])
     assert sorted((r.k or r.K, r.n) for r in spark.read.jdbc(url, "t", properties=driver).toDF("k", "n").collect()) == [("a", 1), ("b", 2)]
+
+
+def test_mapping_functions_go_by_local_name(spark):
+    f = """@prefix rr: <http://www.w3.org/ns/r2rml#> . @prefix rml: <http://semweb.mmlab.be/ns/rml#> . @prefix ql: <http://semweb.mmlab.be/ns/ql#> . @prefix ex: <http://e/> .
+    @prefix fnml: <http://semweb.mmlab.be/ns/fnml#> . @prefix fno: <https://w3id.org/function/ontology#> . @prefix f: <http://any/ns#> .
+    ex:M rml:logicalSource [ rml:referenceFormulation ql:CSV ] ; rr:subjectMap [ rr:template "http://e/{id}" ] ; rr:predicateObjectMap [ rr:predicate ex:w ; rr:objectMap [ fnml:functionValue [
+      rr:predicateObjectMap [ rr:predicate fno:executes ; rr:objectMap [ rr:constant f:toWkt ] ] , [ rr:predicate f:coordinates ; rr:objectMap [ rml:reference "c" ] ] , [ rr:predicate f:wktType ; rr:objectMap [ rr:constant "POINT" ] ] ] ] ] ."""
+    rows = spark.createDataFrame([("m", "id,c\n1,4.5 51\n2,\n")], "model_id string, content string")
+    assert [r.o for r in rml.apply_mapping(rows, f).collect()] == ["<http://www.opengis.net/def/crs/OGC/1.3/CRS84>POINT(4.5 51)"]

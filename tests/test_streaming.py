@@ -39,7 +39,7 @@ def test_stream_equals_batch(spark, tmp_path, name):
 def config(tmp_path, name="copy"):
     return {
         "name": name,
-        "input": {"name": "Ldio:ArchiveFileIn", "config": {"archive-root-dir": str(tmp_path / "in")}, "adapter": {"name": "Ldio:RdfAdapter"}},
+        "input": {"name": "Any:ArchiveFileIn", "config": {"archive-root-dir": str(tmp_path / "in")}, "adapter": {"name": "Any:RdfAdapter"}},
         "transformers": [
             {"name": "SparqlConstructTransformer", "config": {"query": "CONSTRUCT { ?s <http://e/renamed> ?o } WHERE { ?s <http://e/p> ?o }"}},
             {"name": "SkolemisationTransformer", "config": {"skolem-domain": "http://d"}},
