@@ -28,7 +28,7 @@ SEED_WORDS = 3
 RARE = 20
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, 1
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 2_000_000
 _TOKEN = re.compile(r"\w+")
 _MIX = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
