@@ -104,6 +104,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   OR 10 * len(list_distinct(ws)) < n_words) AS kept
 FROM b"""
 
+_TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: x <> '')"
+_OP5 = f"""
+WITH t(name, body) AS (VALUES {", ".join(f"('{n}', '{b}')" for n, b in license_scan.TEMPLATES.items())}),
+tt AS (SELECT name, term, count(*) AS c FROM (SELECT name, unnest({_TOKENS.format("body")}) AS term FROM t) GROUP BY ALL),
+v AS (SELECT DISTINCT term FROM tt),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, source || '/' || (doc_id // 200) AS dir, doc_id % 200 < 20 AS named,
+      source || '/' || (doc_id // 200) || '/' || CASE WHEN doc_id % 200 < 20 THEN 'LICENSE' ELSE doc_id || '.txt' END AS path FROM documents),
+n AS (SELECT count(*) AS n FROM d),
+df AS (SELECT term, count(DISTINCT r) AS df FROM (SELECT r, unnest({_TOKENS.format("text")}) AS term FROM d) JOIN v USING (term) GROUP BY term),
+idf AS (SELECT term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS w FROM v LEFT JOIN df USING (term) CROSS JOIN n),
+vec AS (SELECT name, term, c * w / sqrt(sum(c * w * c * w) OVER (PARTITION BY name)) AS x FROM tt JOIN idf USING (term)),
+units AS (SELECT r, unnest(string_split(text, chr(10))) AS u FROM d UNION ALL SELECT r, text FROM d WHERE named),
+ut AS (SELECT u, term, count(*) AS c FROM (SELECT u, unnest({_TOKENS.format("u")}) AS term FROM (SELECT DISTINCT u FROM units)) GROUP BY ALL),
+uw AS (SELECT u, term, c * coalesce(w, ln(1 + n) + 1) AS x FROM ut LEFT JOIN idf USING (term) CROSS JOIN n),
+norm AS (SELECT u, sqrt(sum(x * x)) AS nn FROM uw GROUP BY u),
+dot AS (SELECT u, name, sum(uw.x * vec.x) AS s FROM uw JOIN vec USING (term) GROUP BY u, name),
+best AS (SELECT u, arg_max(name, s) AS license, max(s) / any_value(nn) AS score FROM dot JOIN norm USING (u) GROUP BY u),
+own AS (SELECT r, arg_max(license, score) AS license, max(score) AS score FROM units JOIN best USING (u) WHERE score >= 0.8 GROUP BY r),
+h AS (SELECT dir AS holder, arg_max(license, score) AS license, max(score) AS score FROM d JOIN own USING (r) WHERE named GROUP BY dir),
+near AS (SELECT dir, arg_max(holder, length(holder)) AS holder FROM (SELECT DISTINCT dir FROM d) JOIN h ON dir = holder OR starts_with(dir, holder || '/') GROUP BY dir)
+SELECT doc_id, path, coalesce(own.license, h.license) AS license, round(coalesce(own.score, h.score, 0.0), 6) AS score,
+  CASE WHEN own.r IS NOT NULL THEN 'own' WHEN h.holder IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN own.r IS NOT NULL THEN d.dir ELSE h.holder END AS license_dir
+FROM d LEFT JOIN own USING (r) LEFT JOIN near USING (dir) LEFT JOIN h ON h.holder = near.holder"""
+
 _OP6 = r"""
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -140,4 +165,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1, "op4_quality_rules": _OP4, "op6_url_filter": _OP6, "op8_warc_revisits": _OP8}
+    return {"op1_substring_dedup": _OP1, "op4_quality_rules": _OP4, "op5_license_scan": _OP5, "op6_url_filter": _OP6, "op8_warc_revisits": _OP8}
