@@ -1,28 +1,5 @@
-"""Shared storage for intermediate tables that must survive lost executors."""
+"""Intermediate tables in the folder that the cluster shares."""
 
-from __future__ import annotations
+from tessera.storage import shared_dir, stash
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one is set only where none is."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_dir", "stash"]
