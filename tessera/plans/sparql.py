@@ -93,6 +93,42 @@ class Compiler:
         start = X.constant(s) if s[0] in ("iri", "lit") else None
         return self.bound(self.path(p, start), [(s, F.col("a")), (o, F.col("b"))])
 
+    def stars(self, triples: list) -> list[list]:
+        """Triples in groups of one subject variable and fixed predicates; other triples stand alone."""
+        out: dict = {}
+        for n, (s, p, o) in enumerate(triples):
+            fixed = s[0] in ("var", "bnode") and p[0] == "iri" and o != s and (self.graph is None or self.graph[0] == "iri")
+            taken = o[0] in ("var", "bnode") and any(o == other for _, _, other in out.get(s, []))
+            key = s if fixed and not taken else n
+            out.setdefault(key, []).append((s, p, o))
+        return list(out.values())
+
+    def star(self, triples: list) -> Solutions:
+        """Several patterns on one subject: one scan and one grouping by subject in place of joins.
+
+        A model is a set, so the objects of a predicate can be gathered as sets; their product is
+        what joining the patterns gives. One subject's statements are gathered: models are messages, of bounded size.
+        """
+        s = triples[0][0]
+        wanted, sets = F.lit(False), []
+        for i, (_, p, o) in enumerate(triples):
+            match = F.col("p") == p[1]
+            if o[0] in ("iri", "lit"):
+                match = match & (F.col("o") == o[1]) & (obj() == X.constant(o))
+            wanted = wanted | match
+            sets.append(F.collect_set(F.when(match, obj())).alias(f"_o{i}"))
+        df = self.source().where(F.col("p").isin(*{p[1] for _, p, _ in triples})).where(wanted)
+        df = df.groupBy("model_id", "s", "s_kind").agg(*sets)
+        for i in range(len(triples)):
+            df = df.where(F.size(f"_o{i}") > 0)
+        name = lambda node: node[1] if node[0] == "var" else f"_:{node[1]}"
+        out, names = df.withColumn(f"?{name(s)}", subject()), [name(s)]
+        for i, (_, _, o) in enumerate(triples):
+            if o[0] in ("var", "bnode"):
+                out = out.withColumn(f"?{name(o)}", F.explode(f"_o{i}"))
+                names.append(name(o))
+        return Solutions(out.select("model_id", *[F.col(f"`?{n}`") for n in names]), frozenset(names), frozenset(names))
+
     def path(self, p: tuple, start: Column | None = None) -> DataFrame:
         """(model_id, a, b): the pairs of a path; a closure is walked from ``start`` alone, if given."""
         tag = p[0]
@@ -180,8 +216,8 @@ class Compiler:
         for e in elements:
             tag = e[0]
             if tag == "bgp":
-                for s, p, o in e[1]:
-                    now = add(self.triple(s, p, o))
+                for part in self.stars(e[1]):
+                    now = add(self.star(part) if len(part) > 1 else self.triple(*part[0]))
             elif tag == "group":
                 now = add(self.group(e[1]))
             elif tag == "union":
