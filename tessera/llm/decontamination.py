@@ -1,11 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are maximal runs of word characters, lower-cased. Every n-gram of an item is a possible
-seed; a first pass counts, over all documents, how many hold it. An item keeps its rare seeds,
-those in at most ``RARE`` documents, and in any case the rarer half, so items that many documents
-copy stay searchable. A second pass looks the seeds up in every document, cuts the region around
-each hit's diagonal, and aligns region and item word by word. A bound from shared words skips
-alignments that can't reach the threshold, so no match is lost to it.
+seed; a first pass counts, over all documents, how many hold it. A second pass looks all seeds up
+in every document, cuts the region around each hit's diagonal, and aligns region and item word by
+word, regions with the rarest seeds first. Rarity only orders the work: no seed that occurs is left
+out, however many documents hold it. A bound from shared words, of the document and then of the
+region, skips alignments that can't reach the threshold, so no match is lost to it.
 
 Items are sent to the executors in blocks of bounded size; a benchmark beyond one block is
 searched block by block. Nothing else is broadcast, and no document is shuffled.
@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEED_WORDS = 3
-RARE = 20
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, 1
 BLOCK_BYTES = 2_000_000
@@ -47,6 +46,8 @@ class Items:
     words: list[np.ndarray] = field(default_factory=list)
     vocabulary: dict[str, int] = field(default_factory=dict)
     seeds: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
+    frequency: dict[int, int] = field(default_factory=dict)
+    distinct: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def add(self, item_id: int, text: str | None) -> None:
         found = tokens(text)
@@ -55,6 +56,7 @@ class Items:
         codes = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in found], dtype=np.int64)
         self.ids.append(item_id)
         self.words.append(codes)
+        self.distinct.append(np.unique(codes, return_counts=True))
         for q, h in enumerate(self.hashes(codes, min(self.n, len(codes))).tolist()):
             self.seeds.setdefault(h, []).append((len(self.ids) - 1, q))
 
@@ -119,31 +121,37 @@ def align(region: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _regions(places: list[tuple[int, int]], length: int, n_words: int) -> list[tuple[int, int]]:
-    """Merged word ranges around the diagonals of (position, item position) hits."""
+def _regions(places: list[tuple[int, int, int]], length: int, n_words: int) -> list[tuple[int, int]]:
+    """Merged word ranges around the diagonals of (position, item position, frequency) hits, those with the rarest hits first."""
     slack = max(4, length // 4)
-    spans = sorted((max(0, p - q - slack), min(n_words, p - q + length + slack)) for p, q in places)
+    spans = sorted({(max(0, p - q - slack), min(n_words, p - q + length + slack), f) for p, q, f in places})
     out = [spans[0]]
-    for s, e in spans[1:]:
+    for s, e, f in spans[1:]:
         # copies in a row stay apart: only nearly the same diagonal is merged
         if s - out[-1][0] <= 2 * slack and e - out[-1][0] <= 2 * (length + 2 * slack):
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
+            out[-1] = (out[-1][0], max(e, out[-1][1]), min(f, out[-1][2]))
         else:
-            out.append((s, e))
-    return out
+            out.append((s, e, f))
+    return [(s, e) for s, e, _ in sorted(out, key=lambda r: (r[2], r[0]))]
 
 
 def matches(items: Items, table: np.ndarray, text: str | None, threshold: float) -> list[tuple[int, float, int, int, int]]:
     """(item id, score, start word, end word, seeds met) of each item that aligns with the text."""
     codes = items.codes(text)
-    by_item: dict[int, list[tuple[int, int]]] = {}
+    by_item: dict[int, list[tuple[int, int, int]]] = {}
     for p, h in items.hits(codes, table):
         for k, q in items.seeds[h]:
-            by_item.setdefault(k, []).append((p, q))
+            by_item.setdefault(k, []).append((p, q, items.frequency[h]))
+    if not by_item:
+        return []
+    held = np.bincount(codes[codes >= 0], minlength=len(items.vocabulary))
     out = []
     for k, places in sorted(by_item.items()):
         item, best = items.words[k], (0, 0, 0)
         need = threshold * MATCH * len(item)
+        values, times = items.distinct[k]
+        if MATCH * int(np.minimum(held[values], times).sum()) < need:
+            continue
         counted = Counter(item.tolist())
         for s, e in _regions(places, len(item), len(codes)):
             shared = (Counter(codes[s:e].tolist()) & counted).total()
@@ -180,8 +188,8 @@ def _counting(items: Items, table: np.ndarray):
     return run
 
 
-def _prepared(docs: DataFrame, benchmark: DataFrame, seed_words: int, rare: int, block_bytes: int) -> Iterator[tuple[Items, np.ndarray]]:
-    """Each block of items with the seeds that are rare in ``docs``, and the sorted seeds."""
+def _prepared(docs: DataFrame, benchmark: DataFrame, seed_words: int, block_bytes: int) -> Iterator[tuple[Items, np.ndarray]]:
+    """Each block of items with the seeds that occur in ``docs`` and their frequencies, and the sorted seeds."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
     for block in _blocks(benchmark, block_bytes):
         items = Items(seed_words)
@@ -189,18 +197,12 @@ def _prepared(docs: DataFrame, benchmark: DataFrame, seed_words: int, rare: int,
             items.add(item_id, text)
         table = np.sort(np.array(list(items.seeds), dtype=np.uint64))
         counts = texts.mapInArrow(_counting(items, table), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-        frequency = {r["seed"] & _MASK: r["n"] for r in counts}
-        own: list[list[int]] = [[] for _ in items.ids]
-        for h, places in items.seeds.items():
-            for k, _ in places:
-                own[k].append(frequency.get(h, 0))
-        limits = [max(rare, sorted(x)[len(x) // 2]) if x else rare for x in own]
-        kept = {h: [(k, q) for k, q in places if frequency.get(h, 0) <= limits[k]] for h, places in items.seeds.items()}
-        items.seeds = {h: places for h, places in kept.items() if places and frequency.get(h, 0)}
+        items.frequency = {r["seed"] & _MASK: r["n"] for r in counts}
+        items.seeds = {h: places for h, places in items.seeds.items() if h in items.frequency}
         yield items, np.sort(np.array(list(items.seeds), dtype=np.uint64))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, rare: int = RARE, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word, n_seeds) for each document and item that align.
 
     ``score`` is the alignment score over that of a whole exact copy; pairs from ``threshold`` on
@@ -209,7 +211,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WOR
     as they come; other columns are ignored. Empty tables give an empty result.
     """
     spark, found = docs.sparkSession, None
-    for items, table in _prepared(docs, benchmark, seed_words, rare, block_bytes):
+    for items, table in _prepared(docs, benchmark, seed_words, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], items=items, table=table) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -224,10 +226,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WOR
     return found if found is not None else spark.createDataFrame([], "doc_id long, item_id long, score double, start_word long, end_word long, n_seeds long")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, rare: int = RARE, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` whose text aligns with no benchmark item, with all columns as they are."""
     kept, at = docs, docs.columns.index("text")
-    for items, table in _prepared(docs, benchmark, seed_words, rare, block_bytes):
+    for items, table in _prepared(docs, benchmark, seed_words, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], items=items, table=table) -> Iterator[pa.RecordBatch]:
             for batch in batches:
