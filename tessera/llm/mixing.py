@@ -76,10 +76,27 @@ def probabilities(weights: np.ndarray, tokens: np.ndarray, budget: float) -> np.
 
 
 def softened(docs: DataFrame, column: str, power: float) -> dict[str, float]:
-    """Targets in proportion to a power of the observed tokens, for the ``MAX_VALUES`` largest values."""
-    sums = docs.groupBy(column).agg(F.sum("n_tokens").alias("n")).orderBy(F.desc("n"), column).limit(MAX_VALUES).collect()
-    raw = {r[column]: float(r["n"]) ** power for r in sums if r["n"]}
-    return {k: v / sum(raw.values()) for k, v in raw.items()}
+    """Targets in proportion to a power of the observed tokens: one for each of the ``MAX_VALUES``
+    largest values, and the sum of those of all others, and of null, for ``~other``."""
+    value = F.coalesce(F.col(column).cast("string"), F.lit(OTHER))
+    sums = docs.groupBy(value.alias("v")).agg(F.sum("n_tokens").alias("n")).where("n > 0")
+    raw = {r["v"]: float(r["n"]) ** power for r in sums.orderBy(F.desc("n"), "v").limit(MAX_VALUES).collect()}
+    if len(raw) == MAX_VALUES:
+        rest = sums.where(~F.col("v").isin(*raw)).agg(F.sum(F.pow(F.col("n").cast("double"), F.lit(power)))).first()[0]
+        if rest:
+            raw[OTHER] = raw.get(OTHER, 0.0) + rest
+    total = sum(raw.values())
+    return {k: v / total for k, v in raw.items()}
+
+
+def with_rest(targets: Mapping[str, float], docs: DataFrame, column: str) -> dict[str, float]:
+    """``targets``, scaled to leave ``~other`` the share of the tokens that values without a target hold."""
+    listed = F.coalesce(F.col(column).isin(*targets), F.lit(False))
+    total, rest = docs.agg(F.sum("n_tokens"), F.sum(F.when(~listed, F.col("n_tokens")))).first()
+    if not total or not rest or OTHER in targets:
+        return dict(targets)
+    scale = (1 - rest / total) / sum(targets.values())
+    return {k: v * scale for k, v in targets.items()} | {OTHER: rest / total}
 
 
 def token_counts(docs: DataFrame, topic: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -21,7 +21,7 @@ MIX_TOPICS = {"prose": 0.8, "brief": 0.1, "table": 0.05, "markup": 0.03, "shout"
 
 
 def mix_targets(counted: DataFrame) -> dict[str, dict[str, float]]:
-    return {"source": mixing.softened(counted, "source", 0.7), "lang": MIX_LANGUAGES, "topic": MIX_TOPICS}
+    return {"source": mixing.softened(counted, "source", 0.7), "lang": mixing.with_rest(MIX_LANGUAGES, counted, "lang"), "topic": MIX_TOPICS}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
