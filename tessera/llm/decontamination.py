@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.arrow import map_batches
+
 SEED_WORDS = 3
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, 1
@@ -196,7 +198,7 @@ def _prepared(docs: DataFrame, benchmark: DataFrame, seed_words: int, block_byte
         for item_id, text in block:
             items.add(item_id, text)
         table = np.sort(np.array(list(items.seeds), dtype=np.uint64))
-        counts = texts.mapInArrow(_counting(items, table), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
+        counts = texts.transform(map_batches, _counting(items, table), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
         items.frequency = {r["seed"] & _MASK: r["n"] for r in counts}
         items.seeds = {h: places for h, places in items.seeds.items() if h in items.frequency}
         yield items, np.sort(np.array(list(items.seeds), dtype=np.uint64))
@@ -221,7 +223,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WOR
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "item_id", "score", "start_word", "end_word", "n_seeds"])
 
         ddl = "doc_id long, item_id long, score double, start_word long, end_word long, n_seeds long"
-        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ddl)
+        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_batches, run, ddl)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], "doc_id long, item_id long, score double, start_word long, end_word long, n_seeds long")
 
@@ -236,5 +238,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WOR
                 clean = [not matches(items, table, t, threshold) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        kept = kept.mapInArrow(run, docs.schema)
+        kept = kept.transform(map_batches, run, docs.schema)
     return kept

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.arrow import map_batches
+
 WIDTHS = (256, 2048, 4096, 4096)
 PER_LANGUAGE = 400
 MAX_LANGUAGES = 200
@@ -117,7 +119,7 @@ def train(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE,
         return None
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_language / r["count"]))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(20)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = rows.where(draw < share[F.col("lang")]).mapInArrow(_presence_rows, "doc_id long, lang string, bits binary")
+    sample = rows.where(draw < share[F.col("lang")]).transform(map_batches, _presence_rows, "doc_id long, lang string, bits binary")
     got = sorted(sample.limit(4 * per_language * len(counts)).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"]))
     if not got:
         return None
@@ -145,7 +147,7 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) ->
                     langs[lo + i], scores[lo + i] = model.languages[b], min(1.0, max(0.0, s))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*kept, F.col("text").cast("string").alias("_text")).mapInArrow(run, ddl)
+    return docs.select(*kept, F.col("text").cast("string").alias("_text")).transform(map_batches, run, ddl)
 
 
 def identify(docs: DataFrame, folds: int = 4, held_fold: int = 2) -> DataFrame:

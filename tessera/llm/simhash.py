@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.arrow import map_batches
 from tessera.llm.components import connected_components
 from tessera.llm.storage import stash
 from tessera.llm.words import spans, split_words
@@ -62,7 +63,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): the fingerprint of each row's text as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("body")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("body")).transform(map_batches, _fingerprints, "doc_id long, fp long")
 
 
 # The Hamming code of length 31: position j (1..31) has syndrome j, and a word's syndrome is the
@@ -166,7 +167,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _met(members: DataFrame) -> DataFrame:
-    return members.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_compare, "a long, b long")
+    return members.repartition("anchor", "part").sortWithinPartitions("anchor", "part").transform(map_batches, _compare, "a long, b long")
 
 
 def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -174,7 +175,7 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
 
     ``distinct`` has one column ``fp`` of different values.
     """
-    spread = distinct.mapInArrow(_replicas, "anchor long, fp long, home boolean")
+    spread = distinct.transform(map_batches, _replicas, "anchor long, fp long, home boolean")
     crowds = stash(spread.groupBy("anchor").count().where(F.col("count") > crowd).select("anchor"), "crowds")
     other = F.when(F.col("anchor") < F.lit(1 << 31), F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp")).bitwiseAND(F.lit(0xFFFFFFFF))
     quarter = lambda q: F.shiftrightunsigned(other, 8 * q).bitwiseAND(F.lit(255)) + F.lit(256 * q)

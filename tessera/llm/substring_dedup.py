@@ -30,6 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.arrow import map_batches
 from tessera.llm.words import spans, split_words
 
 WINDOW = 35
@@ -249,8 +250,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _repeated(sent: DataFrame, buckets: int) -> DataFrame:
     """(k, d, hits): for each row of the corpus, the positions whose key occurs elsewhere."""
-    met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(buckets), "bucket int, blob binary")
-    return met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_gather, _HIT_DDL)
+    met = sent.repartition("bucket").sortWithinPartitions("bucket").transform(map_batches, _meet(buckets), "bucket int, blob binary")
+    return met.repartition("bucket").sortWithinPartitions("bucket").transform(map_batches, _gather, _HIT_DDL)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,13 +295,13 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     )
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(1, size // BUCKET_BYTES)
-    anchors = _repeated(named.select("k", "d", "body").mapInArrow(_anchor_keys(buckets), _SENT_DDL), buckets)
+    anchors = _repeated(named.select("k", "d", "body").transform(map_batches, _anchor_keys(buckets), _SENT_DDL), buckets)
     key_types = "k long, d long, body binary"
-    candidates = named.select("k", "d", "body").mapInArrow(_pack, key_types).join(anchors, ["k", "d"])
-    matches = _repeated(candidates.mapInArrow(_window_keys(buckets), _SENT_DDL), buckets)
+    candidates = named.select("k", "d", "body").transform(map_batches, _pack, key_types).join(anchors, ["k", "d"])
+    matches = _repeated(candidates.transform(map_batches, _window_keys(buckets), _SENT_DDL), buckets)
     carried = ", ".join(f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    whole = named.mapInArrow(_pack, f"{key_types}, doc_id long" + (f", {carried}" if carried else ""))
+    whole = named.transform(map_batches, _pack, f"{key_types}, doc_id long" + (f", {carried}" if carried else ""))
     joined = whole.join(matches, ["k", "d"], "left").select("doc_id", "body", "hits", *[f"_{i}" for i in range(len(carry))])
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text binary" + (f", {carried}" if carried else "")
-    cut = joined.mapInArrow(_cut, ddl)
+    cut = joined.transform(map_batches, _cut, ddl)
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256", F.col("kept_text").cast("string").alias("kept_text"), *[F.col(f"_{i}").alias(c) for i, c in enumerate(carry)])

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.arrow import map_batches
 from tessera.llm.storage import stash
 
 POSITIVES = 4000
@@ -108,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, positives: int
     if not sizes.get(True) or not sizes.get(False):
         return None
     np_, nu = sizes[True], sizes[False]
-    words = sample.mapInArrow(_word_rows, "word string, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    words = sample.transform(map_batches, _word_rows, "word string, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     rate_p, rate_u = (F.col("p") + 0.5) / (np_ + 1), (F.col("u") + 0.5) / (nu + 1)
     z = (rate_p - rate_u) / F.sqrt(rate_u * (1 - rate_u) / np_ + 1e-12)
     best = words.where((F.col("p") >= LEAST_POSITIVES) & (F.abs(z) >= LEAST_Z)).orderBy(F.desc(F.abs(z)), "word").limit(features).select("word").collect()
@@ -125,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, positives: int
                 bits.append(np.packbits(row).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary()), batch.column(2)], names=["doc_id", "bits", "positive"])
 
-    bounded = sample.mapInArrow(vectors, "doc_id long, bits binary, positive boolean").limit(4 * (positives + unlabelled))
+    bounded = sample.transform(map_batches, vectors, "doc_id long, bits binary, positive boolean").limit(4 * (positives + unlabelled))
     got = sorted(bounded.collect(), key=lambda r: (r["positive"], r["doc_id"], bytes(r["bits"])))
     x = np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in got), dtype=np.uint8).reshape(len(got), -1), axis=1)[:, : len(vocabulary)].astype(np.float32)
     is_p = np.array([r["positive"] for r in got])
@@ -144,7 +145,7 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) ->
             scores = _sigmoid(margins) if len(texts) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return docs.select(*[F.col(c) for c in keep], F.col("text").cast("string").alias("_text")).mapInArrow(run, ddl)
+    return docs.select(*[F.col(c) for c in keep], F.col("text").cast("string").alias("_text")).transform(map_batches, run, ddl)
 
 
 def fold_of(folds: int = 5) -> Column:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.arrow import map_batches
 from tessera.llm.storage import stash
 
 # Header fields that a 304 must not change in a stored response (RFC 9111, 3.2;
@@ -200,5 +201,5 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     A file is read by one task and must fit in its memory, as crawl archives of about 1 GB do.
     """
     ddl = "record_id string, url string, date string, kind string, status int, headers map<string,string>, body binary"
-    parsed = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parsed, ddl)
+    parsed = spark.read.format("binaryFile").load(path).select("content").transform(map_batches, _parsed, ddl)
     return parsed.select("record_id", "url", F.try_to_timestamp("date").alias("ts"), "kind", "status", "headers", "body", F.md5("body").alias("digest"))
