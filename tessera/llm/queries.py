@@ -7,21 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, language_id, license_scan, mixing, quality_rules, simhash, substring_dedup, toxicity, url_filter, warc
+from tessera.llm import decontamination, language_id, license_scan, mixing, quality_rules, simhash, substring_dedup, topics, toxicity, url_filter, warc
 from tessera.llm.storage import stash
 
 #: Fixed by the contract of op6.
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 
-#: Part of all tokens that the mix is to hold, and its targets by language and topic.
-MIX_SHARE = 0.5
+#: Part of all tokens that the mix is to hold, its targets by language, and the power of their tokens that sources and topics get.
+MIX_SHARE, MIX_POWER = 0.5, 0.7
 MIX_LANGUAGES = {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.15}
-MIX_TOPICS = {"prose": 0.8, "brief": 0.1, "table": 0.05, "markup": 0.03, "shout": 0.02}
 
 
 def mix_targets(counted: DataFrame) -> dict[str, dict[str, float]]:
-    return {"source": mixing.softened(counted, "source", 0.7), "lang": mixing.with_rest(MIX_LANGUAGES, counted, "lang"), "topic": MIX_TOPICS}
+    return {"source": mixing.softened(counted, "source", MIX_POWER), "lang": mixing.with_rest(MIX_LANGUAGES, counted, "lang"), "topic": mixing.softened(counted, "topic", MIX_POWER)}
+
+
+def with_topics(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The columns in ``keep`` with n_tokens and topic."""
+    sized = docs.withColumn("n_tokens", mixing.n_tokens(F.col("text").cast("string")))
+    return topics.assign(sized, topics.fit(docs), (*keep, "n_tokens"))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +51,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files source/two-hundreds/name; the first twenty of each 200 are named LICENSE."""
-    name = F.when(F.col("doc_id") % 200 < 20, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 200).cast("string"), name)
+    """Documents as files of nested folders, as the table has no paths: source/5000s/1000s/200s of doc_id/name.
+    Some of each 200, 1000 and 5000 are the LICENSE files of the folder at that depth."""
+    n = F.col("doc_id")
+    folder = lambda *sizes: F.concat_ws("/", "source", *[F.floor(n / k).cast("string") for k in sizes])
+    license_of = F.when(n % 200 < 8, folder(5000, 1000, 200)).when((n % 1000).between(100, 109), folder(5000, 1000)).when((n % 5000).between(300, 319), folder(5000))
+    path = F.coalesce(F.concat(license_of, F.lit("/LICENSE")), F.concat(folder(5000, 1000, 200), F.lit("/"), n.cast("string"), F.lit(".txt")))
     files = _table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
     return license_scan.scan(files).select("doc_id", "path", "license", F.round("score", 6).alias("score"), "origin", "license_dir")
 
@@ -58,7 +66,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = stash(mixing.token_counts(_table(spark, sf_dir, "documents")), "token-counts")
+    counted = stash(mixing.token_counts(with_topics(_table(spark, sf_dir, "documents"), ("doc_id", "source", "lang"))), "token-counts")
     return mixing.mix(counted, mix_targets(counted), share=MIX_SHARE)
 
 
@@ -105,26 +113,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b"""
 
 _TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: x <> '')"
+_QUOTED = [(n, b.replace("'", "''")) for n, b in license_scan.all_templates(license_scan.TEMPLATES)]
 _OP5 = f"""
-WITH t(name, body) AS (VALUES {", ".join(f"('{n}', '{b}')" for n, b in license_scan.TEMPLATES.items())}),
-tt AS (SELECT name, term, count(*) AS c FROM (SELECT name, unnest({_TOKENS.format("body")}) AS term FROM t) GROUP BY ALL),
+WITH t(k, name, body) AS (VALUES {", ".join(f"({k}, '{n}', '{b}')" for k, (n, b) in enumerate(_QUOTED))}),
+tt AS (SELECT k, name, term, count(*) AS c FROM (SELECT k, name, unnest({_TOKENS.format("body")}) AS term FROM t) GROUP BY ALL),
 v AS (SELECT DISTINCT term FROM tt),
-d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, source || '/' || (doc_id // 200) AS dir, doc_id % 200 < 20 AS named,
-      source || '/' || (doc_id // 200) || '/' || CASE WHEN doc_id % 200 < 20 THEN 'LICENSE' ELSE doc_id || '.txt' END AS path FROM documents),
+f AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, concat_ws('/', source, doc_id // 5000, doc_id // 1000, doc_id // 200) AS leaf,
+      CASE WHEN doc_id % 200 < 8 THEN concat_ws('/', source, doc_id // 5000, doc_id // 1000, doc_id // 200) WHEN doc_id % 1000 BETWEEN 100 AND 109 THEN concat_ws('/', source, doc_id // 5000, doc_id // 1000)
+           WHEN doc_id % 5000 BETWEEN 300 AND 319 THEN concat_ws('/', source, doc_id // 5000) END AS held FROM documents),
+d AS (SELECT r, doc_id, text, coalesce(held, leaf) AS dir, held IS NOT NULL AS named, coalesce(held || '/LICENSE', leaf || '/' || doc_id || '.txt') AS path, string_split(text, chr(10)) AS ls FROM f),
 n AS (SELECT count(*) AS n FROM d),
 df AS (SELECT term, count(DISTINCT r) AS df FROM (SELECT r, unnest({_TOKENS.format("text")}) AS term FROM d) JOIN v USING (term) GROUP BY term),
 idf AS (SELECT term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS w FROM v LEFT JOIN df USING (term) CROSS JOIN n),
-vec AS (SELECT name, term, c * w / sqrt(sum(c * w * c * w) OVER (PARTITION BY name)) AS x FROM tt JOIN idf USING (term)),
-units AS (SELECT r, unnest(string_split(text, chr(10))) AS u FROM d UNION ALL SELECT r, text FROM d WHERE named),
+vec AS (SELECT k, name, term, c * w / sqrt(sum(c * w * c * w) OVER (PARTITION BY k)) AS x FROM tt JOIN idf USING (term)),
+lead AS (SELECT r, ls, list_position(list_transform(ls, lambda x: CASE WHEN regexp_matches(x, '{license_scan.COMMENT}') THEN 0 ELSE 1 END), 1) AS after FROM d),
+units AS (SELECT r, unnest(ls) AS u FROM d UNION ALL SELECT r, unnest(regexp_split_to_array(text, '{license_scan.PARAGRAPH}')) FROM d
+  UNION ALL SELECT r, array_to_string(CASE WHEN coalesce(after, 0) = 0 THEN ls ELSE ls[1:after - 1] END, chr(10)) FROM lead UNION ALL SELECT r, text FROM d WHERE named),
 ut AS (SELECT u, term, count(*) AS c FROM (SELECT u, unnest({_TOKENS.format("u")}) AS term FROM (SELECT DISTINCT u FROM units)) GROUP BY ALL),
 uw AS (SELECT u, term, c * coalesce(w, ln(1 + n) + 1) AS x FROM ut LEFT JOIN idf USING (term) CROSS JOIN n),
 norm AS (SELECT u, sqrt(sum(x * x)) AS nn FROM uw GROUP BY u),
-dot AS (SELECT u, name, sum(uw.x * vec.x) AS s FROM uw JOIN vec USING (term) GROUP BY u, name),
-best AS (SELECT u, arg_max(name, s) AS license, max(s) / any_value(nn) AS score FROM dot JOIN norm USING (u) GROUP BY u),
-own AS (SELECT r, arg_max(license, score) AS license, max(score) AS score FROM units JOIN best USING (u) WHERE score >= 0.8 GROUP BY r),
-h AS (SELECT dir AS holder, arg_max(license, score) AS license, max(score) AS score FROM d JOIN own USING (r) WHERE named GROUP BY dir),
+dot AS (SELECT u, k, name, sum(uw.x * vec.x) AS s FROM uw JOIN vec USING (term) GROUP BY ALL),
+best AS (SELECT u, max({{'score': s / nn, 'license': name}}) AS m FROM dot JOIN norm USING (u) GROUP BY u),
+own AS (SELECT r, max(m) AS m FROM units JOIN best USING (u) WHERE m.score >= 0.8 GROUP BY r),
+h AS (SELECT dir AS holder, max(m) AS m FROM d JOIN own USING (r) WHERE named GROUP BY dir),
 near AS (SELECT dir, arg_max(holder, length(holder)) AS holder FROM (SELECT DISTINCT dir FROM d) JOIN h ON dir = holder OR starts_with(dir, holder || '/') GROUP BY dir)
-SELECT doc_id, path, coalesce(own.license, h.license) AS license, round(coalesce(own.score, h.score, 0.0), 6) AS score,
+SELECT doc_id, path, coalesce(own.m.license, h.m.license) AS license, round(coalesce(own.m.score, h.m.score, 0.0), 6) AS score,
   CASE WHEN own.r IS NOT NULL THEN 'own' WHEN h.holder IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
   CASE WHEN own.r IS NOT NULL THEN d.dir ELSE h.holder END AS license_dir
 FROM d LEFT JOIN own USING (r) LEFT JOIN near USING (dir) LEFT JOIN h ON h.holder = near.holder"""
