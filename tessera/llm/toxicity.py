@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic rows are the positives, and a sample of all training texts, labelled or not, is
-the unlabelled set. The class prior is the share of toxic rows among the labelled training rows.
+the unlabelled set; the words it looks at are chosen by counts over all of them. The class prior is the share of toxic rows among the labelled training rows.
 A linear model over the presence of selected words minimises the risk
 
     prior * R(P, +) + max(0, R(U, -) - prior * R(P, -))
@@ -13,7 +13,8 @@ that the model can't fit the positives hidden in the unlabelled set as negatives
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +28,9 @@ from tessera.llm.storage import stash
 POSITIVES = 4000
 UNLABELLED = 16000
 FEATURES = 600
+CANDIDATES = 50_000
+#: Words that a task counts before it hands them on.
+HELD_WORDS = 200_000
 LEAST_POSITIVES = 3
 STEPS = 400
 RATE = 0.05
@@ -54,41 +58,61 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def gradient(positive: np.ndarray, unlabelled: np.ndarray, prior: float, theta: np.ndarray, decay: float) -> np.ndarray:
+    """The direction of a step uphill: that of the risk, or of its negated bracket where that is below zero."""
+
+    def side(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        margin = x @ theta[:-1].astype(x.dtype) + x.dtype.type(theta[-1])
+        return margin, _sigmoid(margin)
+
+    def mean(x: np.ndarray, slope: np.ndarray) -> np.ndarray:
+        return np.append(x.T @ slope, slope.sum()) / len(x)
+
+    (gp, sp), (gu, su) = side(positive), side(unlabelled)
+    negative = mean(unlabelled, su) - prior * mean(positive, sp)
+    risk = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    return (prior * mean(positive, sp - 1) + negative if risk >= 0 else -negative) + decay * np.append(theta[:-1], 0)
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch Adam on the non-negative risk."""
-    width = positive.shape[1]
-    theta = np.zeros(width + 1)
+    theta = np.zeros(positive.shape[1] + 1)
     theta[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    p = np.hstack([positive, np.ones((len(positive), 1), dtype=positive.dtype)])
-    u = np.hstack([unlabelled, np.ones((len(unlabelled), 1), dtype=unlabelled.dtype)])
     for step in range(1, steps + 1):
-        gp, gu = p @ theta.astype(p.dtype), u @ theta.astype(u.dtype)
-        sp, su = _sigmoid(gp), _sigmoid(gu)
-        positive_part = p.T @ (sp - 1) / len(p)
-        negative_part = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
-        risk = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        grad = prior * positive_part + negative_part if risk >= 0 else -negative_part
-        grad = grad + decay * np.append(theta[:-1], 0)
+        grad = gradient(positive, unlabelled, prior, theta, decay)
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         theta = theta - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return theta[:-1], float(theta[-1])
 
 
-def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a batch and word: how many positive and unlabelled texts hold it."""
-    for batch in batches:
-        counts: dict[str, list[int]] = {}
-        for text, positive in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            for w in tokens(text):
-                counts.setdefault(w, [0, 0])[0 if positive else 1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["word", "p", "u"])
+def _counting(among: frozenset[str] | None) -> Callable:
+    """How many texts hold each word, some words of a task at a time; only those in ``among``, if given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                counts.update(tokens(text) if among is None else tokens(text) & among)
+            if len(counts) > HELD_WORDS:
+                yield _counted(counts)
+                counts = Counter()
+        yield _counted(counts)
+
+    return run
+
+
+def _counted(counts: Counter[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
 
 def train(docs: DataFrame, labels: DataFrame, learnable: Column, positives: int = POSITIVES, unlabelled: int = UNLABELLED, features: int = FEATURES) -> Model | None:
-    """Fit on at most ``positives`` toxic rows and about ``unlabelled`` rows of all, by hash of doc_id.
+    """Fit on at most ``positives`` toxic rows and, as the unlabelled set of the risk, about ``unlabelled`` rows of all.
 
+    Both are chosen by a hash of doc_id. The words of the toxic rows that at least
+    ``LEAST_POSITIVES`` of them hold are candidates, ``CANDIDATES`` at most; they are counted in
+    all learnable texts, and the ``features`` whose share differs most become features.
     ``learnable`` is a condition on doc_id; no other rows' labels or texts are used. None if there
     is no toxic row to learn from.
     """
@@ -108,12 +132,17 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, positives: int
     sizes = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
     if not sizes.get(True) or not sizes.get(False):
         return None
-    np_, nu = sizes[True], sizes[False]
-    words = sample.transform(map_batches, _word_rows, "word string, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    rate_p, rate_u = (F.col("p") + 0.5) / (np_ + 1), (F.col("u") + 0.5) / (nu + 1)
-    z = (rate_p - rate_u) / F.sqrt(rate_u * (1 - rate_u) / np_ + 1e-12)
-    best = words.where((F.col("p") >= LEAST_POSITIVES) & (F.abs(z) >= LEAST_Z)).orderBy(F.desc(F.abs(z)), "word").limit(features).select("word").collect()
-    vocabulary = {r["word"]: i for i, r in enumerate(best)}
+    counts = lambda rows, among: rows.select("text").transform(map_batches, _counting(among), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    held = {r["word"]: r["n"] for r in counts(sample.where("positive"), None).where(F.col("n") >= LEAST_POSITIVES).orderBy(F.desc("n"), "word").limit(CANDIDATES).collect()}
+    everywhere = {r["word"]: r["n"] for r in counts(texts, frozenset(held)).collect()}
+
+    def apart(word: str) -> float:
+        """By how many standard deviations the share among toxic rows differs from that of all."""
+        rate_p, rate_u = (held[word] + 0.5) / (sizes[True] + 1), (everywhere.get(word, 0) + 0.5) / (total + 1)
+        return abs(rate_p - rate_u) / np.sqrt(rate_u * (1 - rate_u) / sizes[True] + 1e-12)
+
+    best = sorted((w for w in held if apart(w) >= LEAST_Z), key=lambda w: (-apart(w), w))[:features]
+    vocabulary = {w: i for i, w in enumerate(best)}
     if not vocabulary:
         return None
 
