@@ -10,12 +10,15 @@ compares its residents with all of its members on the full 64 bits, so no link i
 invented. Copies with one fingerprint travel once.
 
 An anchor with many members splits by the exact value of quarters of the other half: a pair that
-differs in at most 3 bits agrees on one of four quarters.
+differs in at most 3 bits agrees on one of four quarters. A part that is still crowded splits the
+bits that it hasn't fixed yet once more in the same way. What is crowded then is near copies for
+the most part, which splitting copies and doesn't set apart; they are compared as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,8 @@ from tessera.llm.words import spans, split_words
 THRESHOLD = 3
 SHINGLE = 3
 SEED = 42
-#: Members of an anchor beyond which it is split by quarters of the other half.
-CROWD = 4000
+#: Members of a group beyond which it is split, and how often.
+CROWD, SPLITS = 4000, 2
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -104,28 +107,40 @@ def _replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _link_group(fps: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between residents and members of one group."""
-    parent = list(range(len(fps)))
+    """A spanning forest of the links between residents and members of one group.
 
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    left, right = [], []
+    A resident is compared with the members that no link joins it to yet, so the work of a group
+    of near copies shrinks as they come together.
+    """
+    label, size = np.arange(len(fps)), np.ones(len(fps), dtype=np.int64)
+    parts: dict[int, list[int]] = {}  # members of parts that have more than one
+    left, right, count = [], [], len(fps)
+    outside = np.arange(len(fps))
     for i in np.flatnonzero(home).tolist():
-        near = np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= THRESHOLD)
-        for j in near.tolist():
-            if (p := find(i)) != (q := find(j)):
-                parent[q] = p
-                left.append(i)
-                right.append(j)
+        if count == 1:
+            break
+        most = size[label[i]] * 2 > len(fps)
+        if most:  # what is outside the largest part only grows less, so it need not be sought again
+            outside = outside[label[outside] != label[i]]
+        others = outside if most else np.flatnonzero(label != label[i])
+        for j in others[np.bitwise_count(fps[others] ^ fps[i]) <= THRESHOLD].tolist():
+            p, q = int(label[i]), int(label[j])
+            if p == q:
+                continue
+            left.append(i)
+            right.append(j)
+            if size[p] < size[q]:
+                p, q = q, p
+            moved = parts.pop(q, [q])
+            label[moved] = p
+            parts.setdefault(p, [p]).extend(moved)
+            size[p] += size[q]
+            count -= 1
     return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches come sorted by group; a group is bounded, as crowded anchors have been split."""
+    """Batches come sorted by group, of which one is held: 17 bytes a member, as many as ``CROWD`` for the most part."""
     held: list[pa.RecordBatch] = []
 
     def flush(table: pa.Table) -> pa.RecordBatch | None:
@@ -170,21 +185,47 @@ def _met(members: DataFrame) -> DataFrame:
     return members.repartition("anchor", "part").sortWithinPartitions("anchor", "part").transform(map_batches, _compare, "a long, b long")
 
 
+def _pieces(mask: int) -> list[int]:
+    """The set bits of a mask in four masks of bits that stand together."""
+    bits = [b for b in range(64) if mask >> b & 1]
+    cuts = [len(bits) * q // 4 for q in range(5)]
+    return [sum(1 << b for b in bits[i:j]) for i, j in zip(cuts, cuts[1:], strict=False) if j > i]
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row once for each piece of the bits its group is free in; the group's new part names piece and value."""
+    for batch in batches:
+        part, fps, free = (np.asarray(batch.column(c)).view(np.uint64) for c in (1, 2, 4))
+        for mask in np.unique(free).tolist():
+            rows = np.flatnonzero(free == np.uint64(mask))
+            for q, piece in enumerate(_pieces(mask)):
+                mixed = (part[rows] ^ (fps[rows] & np.uint64(piece))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(q + 1)
+                mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                left = np.full(len(rows), mask & ~piece, dtype=np.uint64)
+                columns = [batch.column(0).take(pa.array(rows)), pa.array((mixed ^ (mixed >> np.uint64(32))).view(np.int64)), pa.array(fps[rows].view(np.int64)), batch.column(3).take(pa.array(rows)), pa.array(left.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "part", "fp", "home", "free"])
+
+
 def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(a, b): linked fingerprints, a spanning forest of the links met at each anchor.
 
-    ``distinct`` has one column ``fp`` of different values.
+    ``distinct`` has one column ``fp`` of different values. Crowded groups are counted before they
+    are shuffled, so none comes whole into one task. Parts that collide only meet in vain, as
+    pairs are compared on all bits.
     """
     spread = distinct.transform(map_batches, _replicas, "anchor long, fp long, home boolean")
-    crowds = stash(spread.groupBy("anchor").count().where(F.col("count") > crowd).select("anchor"), "crowds")
-    other = F.when(F.col("anchor") < F.lit(1 << 31), F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp")).bitwiseAND(F.lit(0xFFFFFFFF))
-    quarter = lambda q: F.shiftrightunsigned(other, 8 * q).bitwiseAND(F.lit(255)) + F.lit(256 * q)
-    whole = F.lit(-1).cast("long").alias("part")
-    if crowds.isEmpty():
-        return _met(spread.select("anchor", whole, "fp", "home"))
-    calm = spread.join(crowds, "anchor", "left_anti").select("anchor", whole, "fp", "home")
-    crowded = spread.join(crowds, "anchor", "left_semi").select("anchor", F.explode(F.array(*map(quarter, range(4)))).alias("part"), "fp", "home")
-    return _met(calm.unionByName(crowded))
+    low = F.lit(0xFFFFFFFF).cast("long")
+    other = F.when(F.col("anchor") < F.lit(1 << 31), F.bitwise_not(low)).otherwise(low)
+    groups = spread.select("anchor", F.lit(0).cast("long").alias("part"), "fp", "home", other.alias("free"))
+    calm = []
+    for _ in range(SPLITS):
+        crowds = stash(groups.groupBy("anchor", "part").count().where(F.col("count") > crowd).select("anchor", "part"), "crowds")
+        if crowds.isEmpty():
+            break
+        calm.append(groups.join(crowds, ["anchor", "part"], "left_anti").select(*groups.columns))
+        groups = stash(groups.join(crowds, ["anchor", "part"], "left_semi").select(*groups.columns).transform(map_batches, _split, "anchor long, part long, fp long, home boolean, free long"), "crowded")
+    found = [_met(g.select("anchor", "part", "fp", "home")) for g in [*calm, groups]]
+    return reduce(DataFrame.unionByName, found)
 
 
 def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
