@@ -8,7 +8,7 @@ out, however many documents hold it. A bound from shared words, of the document
 region, skips alignments that can't reach the threshold, so no match is lost to it.
 
 Items are sent to the executors in blocks of bounded size; a benchmark beyond one block is
-searched block by block. Nothing else is broadcast, and no document is shuffled.
+searched block by block. Nothing else is broadcast; documents are shuffled only to drop what several blocks found.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator, Mapping
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.arrow import map_batches
+from tessera.llm.storage import stash
 
 SEED_WORDS = 3
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, 1
-BLOCK_BYTES = 2_000_000
+#: Bytes of item texts that are sent to the executors at once; there they take some eight times as much.
+BLOCK_BYTES = 8_000_000
 _TOKEN = re.compile(r"\w+")
 _MIX = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -41,26 +44,50 @@ def tokens(text: str | None) -> list[str]:
 
 @dataclass
 class Items:
-    """A block of benchmark items with their word ids and seeds."""
+    """A block of benchmark items with their word ids and seeds, in flat arrays."""
 
     n: int
     ids: list[int] = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
     vocabulary: dict[str, int] = field(default_factory=dict)
-    seeds: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
-    frequency: dict[int, int] = field(default_factory=dict)
-    distinct: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-
-    def add(self, item_id: int, text: str | None) -> None:
-        found = tokens(text)
-        if not found:
-            return
-        codes = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in found], dtype=np.int64)
-        self.ids.append(item_id)
-        self.words.append(codes)
-        self.distinct.append(np.unique(codes, return_counts=True))
-        for q, h in enumerate(self.hashes(codes, min(self.n, len(codes))).tolist()):
-            self.seeds.setdefault(h, []).append((len(self.ids) - 1, q))
+    #: Hashes of seeds in order, where each one's places begin, the item and position of each place, and the texts that hold each seed.
+    table: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.uint64))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
+    owner: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int32))
+    place: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int32))
+    frequency: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+
+    @classmethod
+    def of(cls, rows: Iterable[tuple[int, str | None]], n: int = SEED_WORDS) -> Items:
+        made = cls(n)
+        for item_id, text in rows:
+            if found := tokens(text):
+                made.ids.append(item_id)
+                made.words.append(np.array([made.vocabulary.setdefault(w, len(made.vocabulary)) for w in found], dtype=np.int32))
+        hashes = [made.hashes(w, min(n, len(w))) for w in made.words]
+        if hashes:
+            h = np.concatenate(hashes)
+            order = np.argsort(h, kind="stable")
+            made.table, made.first = np.unique(h[order], return_index=True)
+            made.first = np.append(made.first, len(h))
+            made.owner = np.repeat(np.arange(len(hashes), dtype=np.int32), [len(x) for x in hashes])[order]
+            made.place = np.concatenate([np.arange(len(x), dtype=np.int32) for x in hashes])[order]
+            made.frequency = np.zeros(len(made.table), dtype=np.int64)
+        return made
+
+    def counted(self, counts: Mapping[int, int]) -> Items:
+        """The same items with the seeds that occur alone, and in how many texts."""
+        keep = np.flatnonzero([int(h) in counts for h in self.table.tolist()])
+        spans = [np.arange(self.first[k], self.first[k + 1]) for k in keep.tolist()]
+        places = np.concatenate([np.zeros(0, dtype=np.int64), *spans])
+        return replace(
+            self,
+            table=self.table[keep],
+            first=np.concatenate([[0], np.cumsum([len(x) for x in spans])]).astype(np.int64),
+            owner=self.owner[places],
+            place=self.place[places],
+            frequency=np.array([counts[h] for h in self.table[keep].tolist()], dtype=np.int64),
+        )
 
     def codes(self, text: str | None) -> np.ndarray:
         get = self.vocabulary.get
@@ -85,16 +112,17 @@ class Items:
         """Seed lengths in use: n, and those of items shorter than n."""
         return sorted({min(self.n, len(w)) for w in self.words})
 
-    def hits(self, codes: np.ndarray, table: np.ndarray) -> list[tuple[int, int]]:
-        """(position, seed) of every seed in a text."""
-        out = []
-        for n in self.lengths():
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, seeds by their place in the table) of every seed in a text."""
+        where, which = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for n in self.lengths() if len(self.table) else []:
             h = self.hashes(codes, n)
-            if len(h) and len(table):
-                at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-                where = np.flatnonzero((table[at] == h) & (h != 0))
-                out += zip(where.tolist(), h[where].tolist(), strict=True)
-        return out
+            if len(h):
+                at = np.minimum(np.searchsorted(self.table, h), len(self.table) - 1)
+                found = np.flatnonzero((self.table[at] == h) & (h != 0))
+                where.append(found)
+                which.append(at[found])
+        return np.concatenate(where), np.concatenate(which)
 
 
 def align(region: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
@@ -137,13 +165,14 @@ def _regions(places: list[tuple[int, int, int]], length: int, n_words: int) -> l
     return [(s, e) for s, e, _ in sorted(out, key=lambda r: (r[2], r[0]))]
 
 
-def matches(items: Items, table: np.ndarray, text: str | None, threshold: float) -> list[tuple[int, float, int, int, int]]:
+def matches(items: Items, text: str | None, threshold: float) -> list[tuple[int, float, int, int, int]]:
     """(item id, score, start word, end word, seeds met) of each item that aligns with the text."""
     codes = items.codes(text)
     by_item: dict[int, list[tuple[int, int, int]]] = {}
-    for p, h in items.hits(codes, table):
-        for k, q in items.seeds[h]:
-            by_item.setdefault(k, []).append((p, q, items.frequency[h]))
+    for p, k in zip(*(x.tolist() for x in items.hits(codes)), strict=True):
+        span, often = slice(items.first[k], items.first[k + 1]), int(items.frequency[k])
+        for owner, q in zip(items.owner[span].tolist(), items.place[span].tolist(), strict=True):
+            by_item.setdefault(owner, []).append((p, q, often))
     if not by_item:
         return []
     held = np.bincount(codes[codes >= 0], minlength=len(items.vocabulary))
@@ -151,7 +180,7 @@ def matches(items: Items, table: np.ndarray, text: str | None, threshold: float)
     for k, places in sorted(by_item.items()):
         item, best = items.words[k], (0, 0, 0)
         need = threshold * MATCH * len(item)
-        values, times = items.distinct[k]
+        values, times = np.unique(item, return_counts=True)
         if MATCH * int(np.minimum(held[values], times).sum()) < need:
             continue
         counted = Counter(item.tolist())
@@ -178,30 +207,25 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int,
             yield found
 
 
-def _counting(items: Items, table: np.ndarray):
+def _counting(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: Counter[int] = Counter()
+        totals = np.zeros(len(items.table), dtype=np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                totals.update({h for _, h in items.hits(items.codes(text), table)})
-        keys = np.array(list(totals), dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(totals.values()), pa.int64())], names=["seed", "n"])
+                totals[np.unique(items.hits(items.codes(text))[1])] += 1
+        met = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(items.table[met].view(np.int64)), pa.array(totals[met])], names=["seed", "n"])
 
     return run
 
 
-def _prepared(docs: DataFrame, benchmark: DataFrame, seed_words: int, block_bytes: int) -> Iterator[tuple[Items, np.ndarray]]:
-    """Each block of items with the seeds that occur in ``docs`` and their frequencies, and the sorted seeds."""
+def _prepared(docs: DataFrame, benchmark: DataFrame, seed_words: int, block_bytes: int) -> Iterator[Items]:
+    """Each block of items, with the seeds that occur in ``docs`` and in how many of them."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
     for block in _blocks(benchmark, block_bytes):
-        items = Items(seed_words)
-        for item_id, text in block:
-            items.add(item_id, text)
-        table = np.sort(np.array(list(items.seeds), dtype=np.uint64))
-        counts = texts.transform(map_batches, _counting(items, table), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-        items.frequency = {r["seed"] & _MASK: r["n"] for r in counts}
-        items.seeds = {h: places for h, places in items.seeds.items() if h in items.frequency}
-        yield items, np.sort(np.array(list(items.seeds), dtype=np.uint64))
+        items = Items.of(block, seed_words)
+        counts = texts.transform(map_batches, _counting(items), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
+        yield items.counted({r["seed"] & _MASK: r["n"] for r in counts})
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -212,31 +236,57 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WOR
     Items shorter than ``seed_words`` are their own seed. Repeated items count once, repeated rows
     as they come; other columns are ignored. Empty tables give an empty result.
     """
-    spark, found = docs.sparkSession, None
-    for items, table in _prepared(docs, benchmark, seed_words, block_bytes):
+    ddl = "doc_id long, item_id long, score double, start_word long, end_word long, n_seeds long"
+    found = [docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_batches, _finding(items, threshold), ddl) for items in _prepared(docs, benchmark, seed_words, block_bytes)]
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], ddl)
 
-        def run(batches: Iterator[pa.RecordBatch], items=items, table=table) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in matches(items, table, t, threshold)]
-                types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-                cols = list(zip(*rows, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "item_id", "score", "start_word", "end_word", "n_seeds"])
 
-        ddl = "doc_id long, item_id long, score double, start_word long, end_word long, n_seeds long"
-        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_batches, run, ddl)
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], "doc_id long, item_id long, score double, start_word long, end_word long, n_seeds long")
+def _finding(items: Items, threshold: float):
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in matches(items, t, threshold)]
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "item_id", "score", "start_word", "end_word", "n_seeds"])
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` whose text aligns with no benchmark item, with all columns as they are."""
-    kept, at = docs, docs.columns.index("text")
-    for items, table in _prepared(docs, benchmark, seed_words, block_bytes):
+    return run
+
+
+def _cleaning(items: Items, threshold: float, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not matches(items, t, threshold) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return run
 
-        def run(batches: Iterator[pa.RecordBatch], items=items, table=table) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = [not matches(items, table, t, threshold) for t in batch.column(at).to_pylist()]
-                yield batch.filter(pa.array(clean, pa.bool_()))
 
-        kept = kept.transform(map_batches, run, docs.schema)
-    return kept
+def _leaking(items: Items, threshold: float, names: list[str]):
+    """Keys of the texts that align with an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaks = pa.array([bool(matches(items, t, threshold)) for t in batch.column(2).to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), names=names).filter(leaks)
+
+    return run
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` whose text aligns with no benchmark item, with all columns as they are.
+
+    One block of items filters the rows as they are read. Of several blocks, each names the texts
+    that leak by two digests, and one join drops them. Null texts stay.
+    """
+    blocks = list(_prepared(docs, benchmark, seed_words, block_bytes))
+    if not blocks:
+        return docs
+    if len(blocks) == 1:
+        return docs.transform(map_batches, _cleaning(blocks[0], threshold, docs.columns.index("text")), docs.schema)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    spare = max(map(len, docs.columns)) * "_"  # longer than any name, so it clashes with none
+    keys = {f"{spare}_k": F.xxhash64(text), f"{spare}_l": F.xxhash64(text, F.lit(1))}
+    keyed = docs.select(*[v.alias(k) for k, v in keys.items()], F.col("text").cast("string").alias("text"))
+    ddl = ", ".join(f"{k} long" for k in keys)
+    leaks = stash(reduce(DataFrame.unionByName, [keyed.transform(map_batches, _leaking(items, threshold, list(keys)), ddl) for items in blocks]).distinct(), "leaks")
+    return docs.withColumns(keys).join(leaks, list(keys), "left_anti").select(*docs.columns)
