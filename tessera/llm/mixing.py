@@ -21,19 +21,15 @@ from pyspark.sql import functions as F
 MARGINALS = ("source", "lang", "topic")
 OTHER = "~other"
 MAX_CELLS = 1_000_000
+#: Cells up to which they are sent to every executor, some 10 MB; more are joined by an exchange.
+SENT_CELLS = 50_000
 MAX_VALUES = 1000
 
 
-def topic_of(text: Column) -> Column:
-    """The form of a text, a topic for tables that have none: table, markup, shout, brief or prose."""
-    t = F.coalesce(text, F.lit(""))
-    return (
-        F.when(F.instr(t, " | ") > 0, "table")
-        .when(t.rlike(r"[#$%&*]{3}"), "markup")
-        .when(F.instr(t, "!!") > 0, "shout")
-        .when(F.char_length(t) < 500, "brief")
-        .otherwise("prose")
-    )
+def n_tokens(text: Column) -> Column:
+    """Words of a text, which stand for its tokens."""
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
 def rake(tokens: np.ndarray, cells: list[tuple[str, ...]], targets: list[Mapping[str, float]], rounds: int = 200, tolerance: float = 1e-10) -> np.ndarray:
@@ -99,36 +95,28 @@ def with_rest(targets: Mapping[str, float], docs: DataFrame, column: str) -> dic
     return {k: v * scale for k, v in targets.items()} | {OTHER: rest / total}
 
 
-def token_counts(docs: DataFrame, topic: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens, ``keep``...): words stand for tokens, null marginals are ``~other``."""
-    trimmed = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
-    n_words = F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+")))
-    marginal = lambda c: F.coalesce(c.cast("string"), F.lit(OTHER))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        marginal(F.col("source")).alias("source"),
-        marginal(F.col("lang")).alias("lang"),
-        marginal(topic if topic is not None else topic_of(F.col("text"))).alias("topic"),
-        n_words.cast("long").alias("n_tokens"),
-        *[F.col(c) for c in keep],
-    )
+def token_counts(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens, ``keep``...) of rows that have topic and n_tokens; null marginals are ``~other``."""
+    marginal = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(OTHER)).alias(c)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *map(marginal, MARGINALS), F.col("n_tokens").cast("long").alias("n_tokens"), *[F.col(c) for c in keep])
 
 
-def mix(counted: DataFrame, targets: Mapping[str, Mapping[str, float]], share: float, seed: int = 7, keep: tuple[str, ...] = (), summary: DataFrame | None = None) -> DataFrame:
+def mix(counted: DataFrame, targets: Mapping[str, Mapping[str, float]], share: float, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, weight, probability, sampled, ``keep``...) for every row.
 
     ``counted`` is of the form of ``token_counts``; ``targets`` gives shares for some or all of
-    source, lang and topic; ``share`` is the part of all tokens to expect in the sample. ``summary``, if
-    given, holds the same rows without texts, from which cells are summed. Values
+    source, lang and topic; ``share`` is the part of all tokens to expect in the sample. Values
     without a target count as one value, ``~other``, and are drawn only where it has a target or
     the marginal has none at all. Rows without tokens have weight and probability 0. Rows with the
-    same doc_id are drawn alike; null ids draw alike too. No rows in, no rows out.
+    same doc_id are drawn alike; null ids draw alike too. Columns that aren't in ``keep`` are left
+    out, whatever their names. No rows in, no rows out.
     """
     listed = [targets.get(m, {}) for m in MARGINALS]
-    fold = {f"_{m}": F.when(F.col(m).isin(*t), F.col(m)).otherwise(OTHER) if t else F.lit(OTHER) for m, t in zip(MARGINALS, listed, strict=True)}
+    counted = counted.select("doc_id", *MARGINALS, "n_tokens", *keep)
+    fold = {f"__{m}_kind": F.when(F.col(m).isin(*t), F.col(m)).otherwise(OTHER) if t else F.lit(OTHER) for m, t in zip(MARGINALS, listed, strict=True)}
     folded = counted.withColumns(fold)
     keys = list(fold)
-    rows = (summary if summary is not None else counted).withColumns(fold).where("n_tokens > 0").groupBy(*keys).agg(F.sum("n_tokens").alias("n")).limit(MAX_CELLS + 1).collect()
+    rows = folded.where("n_tokens > 0").groupBy(*keys).agg(F.sum("n_tokens").alias("n")).limit(MAX_CELLS + 1).collect()
     if len(rows) > MAX_CELLS:
         raise ValueError("the targets make too many cells")
     out = ("doc_id", *MARGINALS, "n_tokens", "weight", "probability", "sampled", *keep)
@@ -139,9 +127,9 @@ def mix(counted: DataFrame, targets: Mapping[str, Mapping[str, float]], share: f
     tokens = np.array([r["n"] for r in rows], dtype=float)
     weights = rake(tokens, [tuple(r[k] for k in keys) for r in rows], listed)
     chance = probabilities(weights, tokens, share * tokens.sum())
-    cells = counted.sparkSession.createDataFrame([(*[r[k] for k in keys], float(w), float(p)) for r, w, p in zip(rows, weights, chance, strict=True)], ", ".join(f"{k} string" for k in keys) + ", weight double, probability double")
-    joined = folded.join(F.broadcast(cells), keys, "left")
+    cells = counted.sparkSession.createDataFrame([(*[r[k] for k in keys], float(w), float(p)) for r, w, p in zip(rows, weights, chance, strict=True)], ", ".join(f"{k} string" for k in keys) + ", __weight double, __probability double")
+    joined = folded.join(F.broadcast(cells) if len(rows) <= SENT_CELLS else cells, keys, "left")
     empty = F.col("n_tokens") <= 0
-    filled = {c: F.when(empty, 0.0).otherwise(F.coalesce(c, F.lit(0.0))) for c in ("weight", "probability")}
+    filled = {c: F.when(empty, 0.0).otherwise(F.coalesce(f"__{c}", F.lit(0.0))) for c in ("weight", "probability")}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     return joined.withColumns(filled).withColumn("sampled", draw < F.col("probability")).select(*out)
