@@ -8,11 +8,11 @@ D = {0, 1, 4, 14, 16} is a difference cover modulo 21: for any two word position
 a shift s < 21 with both (i + s) mod 21 and (j + s) mod 21 in D. Two equal windows that start at i
 and j therefore share the 15 words from i + s on, and only runs of 15 words that start at cover
 positions need to be hashed: 5 of 21 positions. Where such an anchor occurs twice, the windows
-around it are candidates; a candidate extends to a match when the whole window, by an 80-bit
+around it are candidates; a candidate extends to a match when the whole window, by a 96-bit
 digest of its bytes, occurs twice.
 
 Both rounds look for repeated keys the same way. A map task resolves the keys that occur more
-than once among up to a million by itself and sends each key once, so a key that a third of all
+than once among up to half a million by itself and sends each key once, so a key that a third of all
 documents hold reaches its reducer a few times per task. Keys travel in packed blocks to buckets
 by their hash; the number of buckets follows the bytes of text, so a bucket is of bounded size. A
 bucket emits the places of the keys that meet another. Nothing is broadcast.
@@ -40,7 +40,8 @@ ANCHOR = WINDOW - PERIOD + 1
 
 _SENT_DDL = "bucket int, hit boolean, blob binary"
 _HIT_DDL = "k long, d long, hits array<int>"
-_FLUSH = 1_000_000
+#: Keys that a map task holds before it sends them.
+_FLUSH = 500_000
 #: Bytes of text for each bucket of keys; a reducer holds the keys of one bucket at a time.
 BUCKET_BYTES = 16_000_000
 
@@ -56,7 +57,7 @@ def _unplanes(raw: memoryview, kind: str, n: int) -> np.ndarray:
 
 
 #: Columns of a blob's entries: key, more key, whether its places are known, document, position.
-_KINDS = ("<u8", "<i2", "|u1", "<u4", "<i4")
+_KINDS = ("<u8", "<i4", "|u1", "<u4", "<i4")
 
 
 def _write_blob(docs: np.ndarray, h: np.ndarray, v: np.ndarray, known: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bytes:
@@ -98,17 +99,18 @@ def _cover_positions(n: int) -> np.ndarray:
 
 
 def _digests(joined: bytes, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two digests, of 64 and 16 bits, of the words [p, p + length) for every p in ``at``.
+    """Two digests, of 64 and 32 bits, of the words [p, p + length) for every p in ``at``.
 
-    Anchors only propose candidates, so 48 bits do for them; windows decide by 80 bits.
+    Anchors only propose candidates, so 48 bits do for them; windows decide by 96 bits, of which
+    10^13 windows are expected to give less than 0.001 false pairs.
     """
     digest = xxhash.xxh3_128_digest
     raw = b"".join([digest(joined[s:e]) for s, e in zip(starts[at].tolist(), ends[at + length - 1].tolist(), strict=True)])
     cells = np.frombuffer(raw, dtype="<i8").reshape(-1, 2)
     h = cells[:, 0].view(np.uint64)
     if length < WINDOW:
-        return h >> np.uint64(16), np.zeros(len(h), dtype=np.int16)
-    return h, cells[:, 1].astype(np.int16)
+        return h >> np.uint64(16), np.zeros(len(h), dtype=np.int32)
+    return h, cells[:, 1].astype(np.int32)
 
 
 def _dealt(bucket: np.ndarray, docs: np.ndarray, h: np.ndarray, v: np.ndarray, known: np.ndarray, doc: np.ndarray, pos: np.ndarray, take: np.ndarray, by_place: bool = False) -> Iterator[tuple[int, bytes]]:
@@ -197,7 +199,7 @@ def _meet(buckets: int) -> Callable:
         if not len(k):
             return
         first = np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))
-        zeros = np.zeros(len(k), dtype=np.uint64), np.zeros(len(k), dtype=np.int16), np.zeros(len(k), dtype=bool)
+        zeros = np.zeros(len(k), dtype=np.uint64), np.zeros(len(k), dtype=np.int32), np.zeros(len(k), dtype=bool)
         yield from _dealt(k.view(np.uint64) % np.uint64(buckets), np.stack([k, d], axis=1)[first], *zeros, np.cumsum(first) - 1, pos, np.ones(len(k), dtype=bool), by_place=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
