@@ -33,6 +33,8 @@ KEPT_FIELDS = (
     "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "proxy-connection", "te", "trailer",
     "transfer-encoding", "upgrade",
 )
+#: Compressed bytes that are given to the decompressor at once.
+PIECE = 1 << 14
 _DROPPED_QUERY = r"(?i)^(utm_[a-z]+|fbclid|gclid|ref|sessionid|phpsessid)="
 
 
@@ -130,21 +132,33 @@ def records_from_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.explode(kinds).alias("r")).select(F.concat(F.lpad(F.col("page_id").cast("string"), 12, "0"), F.lit("-"), F.col("r.part")).alias("record_id"), "url", "r.ts", "r.kind", "r.status", "r.headers", "r.digest")
 
 
+def _members(data: bytes) -> Iterator[bytes]:
+    """The gzip members of a file, expanded one at a time; what breaks off or follows them is left out."""
+    view, at = memoryview(data), 0
+    while view[at : at + 2] == b"\x1f\x8b":
+        member, parts = zlib.decompressobj(16 + zlib.MAX_WBITS), []
+        while not member.eof and at < len(view):
+            piece = view[at : at + PIECE]
+            try:
+                parts.append(member.decompress(piece))
+            except zlib.error:
+                return
+            at += len(piece) - len(member.unused_data)
+        yield b"".join(parts)
+        if not member.eof:
+            return
+
+
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields in lower case, block) of each record of a WARC file, gzipped or not.
 
-    Each gzip member is expanded alone. A record that breaks off is dropped with what follows it.
+    Each gzip member is expanded alone, and its bytes are looked at once. A record that breaks off
+    is dropped with what follows it.
     """
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(16 + zlib.MAX_WBITS)
-        try:
-            plain = member.decompress(data)
-        except zlib.error:
-            return
-        yield from parse_warc(plain)
-        if not member.eof:
-            return
-        data = member.unused_data
+    if data[:2] == b"\x1f\x8b":
+        for plain in _members(data):
+            yield from parse_warc(plain)
+        return
     at = 0
     while (start := data.find(b"WARC/", at)) >= 0:
         end = data.find(b"\r\n\r\n", start)
