@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.arrow import map_batches
 from tessera.operators.quads import nquads_line
+from tessera.sources.rdf_text import parse_nquads
 from tessera.vocabulary import XSD_STRING
 
 #: Orders of nodes that look alike that are tried for one model.
@@ -84,29 +86,34 @@ def canonical(rows: list[tuple]) -> str:
 
 
 def _canonical_models(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("g", "s", "s_kind", "p", "o", "o_kind", "o_dt", "o_lang")
     for batch in batches:
-        texts = [canonical([tuple(x[n] for n in names) for x in rows]) for rows in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(t) for t in texts], pa.string())], names=["model_id", "hash"])
+        texts = [canonical(parse_nquads("\n".join(lines))) for lines in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(t) for t in texts], pa.string()), *batch.columns[2:]], names=["model_id", "hash", "first", "last"])
 
 
-def model_hashes(quads: DataFrame) -> DataFrame:
-    """(model_id, hash): SHA-256 of each model's canonical N-Quads.
+def _hashed(quads: DataFrame) -> DataFrame:
+    """(model_id, hash, first, last): the digest of each model, and the first and last of its named subjects.
 
-    A model is gathered in one row: models are messages, of bounded size.
+    A model's lines are gathered in one row: models are messages, of bounded size.
     """
-    rows = F.struct("g", "s", "s_kind", "p", "o", "o_kind", "o_dt", "o_lang")
     blank = F.bool_or((F.col("s_kind") == "bnode") | (F.col("o_kind") == "bnode"))
-    grouped = quads.groupBy("model_id").agg(F.collect_set(rows).alias("rows"), F.array_sort(F.collect_set(nquads_line())).alias("lines"), blank.alias("blank"))
-    plain = grouped.where("NOT blank").select("model_id", F.sha2(F.concat(F.array_join("lines", "\n"), F.lit("\n")), 256).alias("hash"))
-    return plain.unionByName(grouped.where("blank").select("model_id", "rows").mapInArrow(_canonical_models, "model_id string, hash string"))
+    named = F.when(F.col("s_kind") == "iri", F.col("s"))
+    grouped = quads.groupBy("model_id").agg(F.array_sort(F.collect_set(nquads_line())).alias("lines"), blank.alias("blank"), F.min(named).alias("first"), F.max(named).alias("last"))
+    plain = grouped.where("NOT blank").select("model_id", F.sha2(F.concat(F.array_join("lines", "\n"), F.lit("\n")), 256).alias("hash"), "first", "last")
+    odd = grouped.where("blank").select("model_id", "lines", "first", "last")
+    return plain.unionByName(map_batches(odd, _canonical_models, "model_id string, hash string, first string, last string"))
+
+
+def model_hashes(quads: DataFrame) -> DataFrame:
+    """(model_id, hash): SHA-256 of each model's canonical N-Quads."""
+    return _hashed(quads).select("model_id", "hash")
 
 
 def member_hashes(quads: DataFrame) -> DataFrame:
     """(model_id, member_id, hash); a model must have exactly one named subject, others raise."""
-    named = quads.groupBy("model_id").agg(F.count_distinct(F.when(F.col("s_kind") == "iri", F.col("s"))).alias("n"), F.min(F.when(F.col("s_kind") == "iri", F.col("s"))).alias("member_id"))
-    checked = named.withColumn("member_id", F.when(F.col("n") == 1, F.col("member_id")).otherwise(F.raise_error(F.concat(F.lit("a member needs one named subject, found "), F.col("n").cast("string"))).cast("string")))
-    return model_hashes(quads).join(checked.select("model_id", "member_id"), "model_id")
+    wrong = F.raise_error(F.concat(F.lit("a member needs one named subject, found "), F.coalesce(F.concat_ws(" and ", "first", "last"), F.lit("none"))))
+    one = F.coalesce(F.col("first") == F.col("last"), F.lit(False))
+    return _hashed(quads).select("model_id", F.when(one, F.col("first")).otherwise(wrong.cast("string")).alias("member_id"), "hash")
 
 
 def route_changed(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:

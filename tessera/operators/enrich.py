@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.arrow import map_batches
 from tessera.operators.quads import COLUMNS, SCHEMA, as_set, union
 from tessera.plans.sparql import property_path
+from tessera.sources.http import Request, executor_from
 from tessera.sources.rdf_text import parse
 
 
@@ -26,6 +28,18 @@ def requests_of(quads: DataFrame, url_path: str, body_path: str | None = None, h
     return found.withColumn("method", F.when(method.isin("GET", "POST"), method).otherwise(F.raise_error(F.concat(F.lit("unsupported method "), method)).cast("string")))
 
 
+def fetcher(options: Mapping[str, str]) -> Callable[[str, str, str | None, list[str]], tuple[int, str, str]]:
+    """A fetch by HTTP with the options of the HTTP executor; headers are given as ``name: value``."""
+    chosen = dict(options)
+
+    def fetch(method: str, url: str, body: str | None, headers: list[str]) -> tuple[int, str, str]:
+        pairs = {k.strip(): v.strip() for k, colon, v in (h.partition(":") for h in headers) if colon}
+        got = executor_from(chosen)(Request(url, method, pairs, body.encode() if body is not None else None))
+        return got.status, got.header("Content-Type") or chosen.get("adapter.config.mime-type", "application/n-quads"), got.body.decode()
+
+    return fetch
+
+
 def http_enrich(quads: DataFrame, fetch: Callable[[str, str, str | None, list[str]], tuple[int, str, str]], url_path: str, **paths: str) -> DataFrame:
     """Unite each model with what its URL returns.
 
@@ -48,7 +62,7 @@ def http_enrich(quads: DataFrame, fetch: Callable[[str, str, str | None, list[st
             cols = list(zip(*rows, strict=True)) or [()] * len(COLUMNS)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=list(COLUMNS))
 
-    answers = wanted.select(key.alias("k"), *keys).dropDuplicates(["k"]).mapInArrow(run, SCHEMA).withColumnRenamed("model_id", "k")
+    answers = wanted.select(key.alias("k"), *keys).dropDuplicates(["k"]).transform(map_batches, run, SCHEMA).withColumnRenamed("model_id", "k")
     added = wanted.select("model_id", key.alias("k")).join(answers, "k").drop("k")
     return as_set(union(quads, added))
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.arrow import map_batches
 from tessera.functions.geo import number
 from tessera.operators.closure import subgraph
 from tessera.operators.quads import COLUMNS, as_set, from_terms, iri, literal, term, union
@@ -83,7 +84,7 @@ def geojson_to_wkt(quads: DataFrame, as_node: bool = False) -> DataFrame:
     holders = quads.where((F.col("p") == GEOMETRY) & (F.col("o_kind") != "literal"))
     below = subgraph(quads, holders.select("model_id", F.col("o").alias("root")).distinct())
     grouped = below.groupBy("model_id", "root").agg(F.collect_set(F.struct("s", "p", "o", "o_kind")).alias("rows"))
-    wkt = grouped.mapInArrow(_convert, "model_id string, root string, type string, wkt string")
+    wkt = grouped.transform(map_batches, _convert, "model_id string, root string, type string, wkt string")
     rest = quads.join(below.select("model_id", "s", "p", "o").distinct(), ["model_id", "s", "p", "o"], "left_anti").where(F.col("p") != GEOMETRY)
     held = holders.join(wkt.withColumnRenamed("root", "o"), ["model_id", "o"])
     owner, text = term(F.col("s"), F.col("s_kind")), literal(F.col("wkt"), GEO + "wktLiteral")

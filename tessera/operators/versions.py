@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.closure import subgraph
-from tessera.operators.quads import COLUMNS, as_set, from_terms, iri, literal, union
+from tessera.operators.quads import COLUMNS, as_set
+from tessera.storage import stash
 from tessera.vocabulary import GENERATED_AT, RDF_TYPE, TREE, VERSION_OF, XSD_DATETIME
 
 
@@ -38,21 +39,32 @@ def create_version_objects(
     member + delimiter + date as subject only, and statements of its date and of what it is a
     version of. Models without a member stay as they are. ``now`` stands for a missing date.
     """
-    member = quads.where((F.col("p") == RDF_TYPE) & F.col("o").isin(*member_types)).groupBy("model_id").agg(F.min("s").alias("_member"))
     clock = now if now is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    if date_path:
-        member = member.join(date_observed(quads, date_path), "model_id", "left")
+    # one exchange by model serves the look-ups, the added statements and the removal of repeats
+    model = W.partitionBy("model_id")
+    of_type = (F.col("p") == RDF_TYPE) & F.col("o").isin(*member_types)
+    marked = quads.select(*COLUMNS).withColumn("_member", F.min(F.when(of_type, F.col("s"))).over(model))
+    if len(date_path) == 1:
+        dated = (F.col("p") == date_path[0]) & (F.col("o_kind") == "literal") & F.lower("o_dt").contains("datetime")
+        marked = marked.withColumn("date", F.min(F.when(dated, F.col("o"))).over(model))
+    elif date_path:
+        marked = marked.join(date_observed(quads, date_path), "model_id", "left")
     else:
-        member = member.withColumn("date", F.lit(None).cast("string"))
-    member = member.withColumn("date", F.coalesce("date", clock)).withColumn("_version", F.concat("_member", F.lit(delimiter), "date"))
-    joined = quads.join(member, "model_id", "left")
-    moved = joined.withColumn("s", F.when(F.col("s") == F.col("_member"), F.col("_version")).otherwise(F.col("s")))
+        marked = marked.withColumn("date", F.lit(None).cast("string"))
+    marked = marked.withColumn("date", F.coalesce("date", clock)).withColumn("_version", F.concat("_member", F.lit(delimiter), "date"))
+    own = F.struct(F.lit(None).cast("string").alias("g"), *[F.col(c) for c in COLUMNS[2:]])
+    moved = own.withField("g", F.col("g")).withField("s", F.when(F.col("s") == F.col("_member"), F.col("_version")).otherwise(F.col("s")))
+    nothing = F.lit(None).cast("string")
     added = []
     if generated_at:
-        added.append(from_terms(member, iri(F.col("_version")), F.lit(generated_at), literal(F.col("date"), XSD_DATETIME)))
+        added.append((generated_at, F.col("date"), "literal", F.lit(XSD_DATETIME)))
     if version_of:
-        added.append(from_terms(member, iri(F.col("_version")), F.lit(version_of), iri(F.col("_member"))))
-    return as_set(union(moved, *added))
+        added.append((version_of, F.col("_member"), "iri", nothing))
+    stated = [F.struct(nothing.alias("g"), F.col("_version").alias("s"), F.lit("iri").alias("s_kind"), F.lit(p).alias("p"), o.alias("o"), F.lit(k).alias("o_kind"), dt.alias("o_dt"), nothing.alias("o_lang")) for p, o, k, dt in added]
+    # the statement of the member's type gives the new ones too; models are sets, so it doesn't matter how often
+    here = of_type & (F.col("s") == F.col("_member"))
+    rows = F.when(here, F.array(moved, *stated)).otherwise(F.array(moved))
+    return as_set(marked.select("model_id", F.explode(rows).alias("_t")).select("model_id", "_t.*"))
 
 
 def materialise_versions(quads: DataFrame, version_of: str = VERSION_OF, restrict_to_members: bool = False) -> DataFrame:
@@ -61,6 +73,7 @@ def materialise_versions(quads: DataFrame, version_of: str = VERSION_OF, restric
     A version of several entities takes the least. With ``restrict_to_members`` only the objects
     of tree:member and what hangs below them by blank nodes is kept, before replacement.
     """
+    quads = stash(quads.select(*COLUMNS), "versions")  # read for the links and for what they rename
     links = quads.where((F.col("p") == version_of) & (F.col("o_kind") != "literal"))
     entity = links.groupBy("model_id", F.col("s").alias("_v")).agg(F.min(F.struct("o", "o_kind")).alias("_e"))
     rest = restricted(quads) if restrict_to_members else quads

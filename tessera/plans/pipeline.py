@@ -14,14 +14,19 @@ from dataclasses import dataclass, field
 from enum import Enum
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators import geojson, versions
+from tessera.operators import enrich, geojson, versions
 from tessera.operators.canonical import member_hashes
 from tessera.plans import rml, sparql
 from tessera.sinks import stores, text
+from tessera.sinks.repository import Repository
 from tessera.sources import json_adapters, ldes, messages, rdf_text
+from tessera.sources.schedule import trigger_interval
+from tessera.streaming import state_table
+from tessera.streaming.state_table import StateTable
 
 NAME = re.compile(r"^[A-Za-z0-9][A-Za-z0-9_.-]*$")
 
@@ -37,6 +42,7 @@ def flatten(value: Any, prefix: str = "") -> dict[str, str]:
 class Settings:
     def __init__(self, values: Mapping[str, Any] | None = None):
         flat = flatten(values or {})
+        self.batch: int | None = None
         self.values = flat
         self.index = {self.plain(k): v for k, v in flat.items()}
 
@@ -117,10 +123,8 @@ def component(registry: dict, name: str) -> Callable:
 
 
 def find(registry: dict, name: str) -> Callable:
-    """Components go by their name, with or without a namespace before a colon or a prefix."""
-    short = name.rpartition(":")[2]
-    if short not in registry:
-        short = next((n for n in sorted(registry) if short.endswith(n)), short)
+    """Components go by their name, with or without a namespace that ends in a colon or a dot."""
+    short = re.split(r"[:.]", name)[-1]
     if short not in registry:
         raise ValueError(f"unknown component {name}; known: {', '.join(sorted(registry))}")
     return registry[short]
@@ -145,6 +149,7 @@ def _http_in(spark: SparkSession, s: Settings, streaming: bool) -> DataFrame:
 @component(INPUTS, "LdesClient")
 def _ldes_in(spark: SparkSession, s: Settings, streaming: bool) -> DataFrame:
     spark.dataSource.register(ldes.LdesDataSource)
+    member_filters(s)  # raises if the settings contradict each other
     options = s.values | {"urls": ",".join(s.list("urls")), "source-format": s.get("source-format", "application/n-quads")}
     if s.get("timestamp-path"):
         options["timestamp-path"] = s.need("timestamp-path")
@@ -219,13 +224,52 @@ def _geojson(q: DataFrame, s: Settings) -> DataFrame:
     return geojson.geojson_to_wkt(q, s.flag("transform-to-rdf-wkt-enabled"))
 
 
+@component(TRANSFORMERS, "HttpEnricher")
+def _enriched(q: DataFrame, s: Settings) -> DataFrame:
+    """Unite each model with what the URL at the end of a property path answers."""
+    paths = {"body_path": s.get("body-property-path"), "header_path": s.get("header-property-path"), "method_path": s.get("http-method-property-path")}
+    return enrich.http_enrich(q, enrich.fetcher(s.values), s.need("url-property-path"), **paths)
+
+
 @component(TRANSFORMERS, "ChangeDetectionFilter")
-def _changed(q: DataFrame, s: Settings) -> DataFrame:
-    """In one batch: models in the order of model_id."""
-    passed = versions.changed(member_hashes(q), arrival="model_id")
+def _changed(q: DataFrame, s: Settings, state: StateTable | None = None) -> DataFrame:
+    """Models whose member isn't as it was before; of one batch, in the order of model_id. On a stream the
+    digests are remembered."""
+    members = member_hashes(q)
+    passed = versions.changed(members, arrival="model_id") if state is None else state_table.changed(members, state, s.batch)
     return q.join(passed.select("model_id"), "model_id", "left_semi").select(*q.columns)
 
 
+#: Transformers that remember what earlier micro-batches held.
+STATEFUL = ("ChangeDetectionFilter",)
+
+
+def member_filters(s: Settings) -> list[str]:
+    """The filters of members that an event stream's client is set to apply, in order."""
+    choice = lambda key: s.flag(key) if s.get(key) is not None else None
+    return versions.member_filters(choice("enable-exactly-once"), s.flag("materialisation.enabled"), choice("materialisation.enable-latest-state"))
+
+
+def filtered(frame: DataFrame, s: Settings, state: Callable[[str], StateTable | None]) -> DataFrame:
+    """Rows of the ``ldes`` source after those filters. Members of one batch come in the order of their times."""
+    version_of = s.get("materialisation.version-of-property", versions.VERSION_OF)
+    for name in member_filters(s):
+        if name == "materialise":
+            frame = versions.materialise_versions(frame, version_of, s.flag("materialisation.restrict-to-members"))
+            continue
+        arrival = F.struct("created_at", "member_id", "page")
+        members = frame.groupBy("member_id", "created_at", "page").agg(F.min(F.when((F.col("p") == version_of) & (F.col("s") == F.col("member_id")), F.col("o"))).alias("entity"))
+        members = members.withColumn("arrival_seq", arrival)
+        known = state(name)
+        if name == "exactly_once":
+            passed = versions.exactly_once(members) if known is None else state_table.exactly_once(members, known, s.batch, arrival="arrival_seq")
+        else:
+            members = members.withColumns({"version_of": F.coalesce("entity", "member_id"), "ts": F.try_to_timestamp("created_at").cast("timestamp_ntz")})
+            passed = versions.latest_state(members) if known is None else state_table.latest_state(members, known, s.batch, arrival="arrival_seq")
+        frame = frame.join(passed.select("member_id", "page"), ["member_id", "page"], "left_semi").select(*frame.columns)
+    return frame
+
+
 @component(OUTPUTS, "ConsoleOut")
 def _console(q: DataFrame, s: Settings) -> None:
     text.serialise(q, s.get("content-type", "text/turtle")).show(s.number("rows", 20), truncate=False)
@@ -253,6 +297,13 @@ def _kafka(q: DataFrame, s: Settings) -> None:
     stores.kafka_rows(text.serialise(q, mime), mime, q, s.get("key-property-path")).write.format("kafka").option("kafka.bootstrap.servers", s.need("bootstrap-servers")).option("topic", s.need("topic")).save()
 
 
+@component(OUTPUTS, "AmqpOut")
+def _queue(q: DataFrame, s: Settings) -> int:
+    """Send each model with the client registered under the setting ``client``, else the only one there is."""
+    mime = s.get("content-type", "application/n-quads")
+    return stores.queue_out(text.serialise(q, mime), stores.sender(s.get("client"), s.values), mime)
+
+
 @component(OUTPUTS, "RdbOut")
 def _rdb(q: DataFrame, s: Settings) -> None:
     stores.rdb_out(stores.select_rows(q, s.text("sparql-select-query")), s.need("jdbc-url"), s.need("table-name"), s.below("jdbc-properties"), s.flag("ignore-duplicate-key-exception"), s.list("keys"))
@@ -263,19 +314,20 @@ def _sparql_out(q: DataFrame, s: Settings) -> int:
     if s.get("skolemisation.skolem-domain"):
         q = versions.skolemise(q, s.need("skolemisation.skolem-domain"))
     delete = stores.delete_where(s.number("replacement.depth", 10), s.get("graph")) if s.flag("replacement.enabled", True) else None
-    if s.get("replacement.delete-function"):
-        delete = s.need("replacement.delete-function")
-    updates = stores.update_text(q, delete, s.get("graph"))
+    own = s.get("replacement.delete-function")  # lists its subjects with commas
+    updates = stores.update_text(q, own or delete, s.get("graph"), ", " if own else " ")
     return stores.http_out(updates, s.need("endpoint"), "application/sparql-update", s.values, continue_on_fail=False).count()
 
 
 @component(OUTPUTS, "RepositorySink")
 def _repository(q: DataFrame, s: Settings) -> None:
-    """A table of quads in Parquet stands for the repository: a new version is written beside the old, then takes its place."""
-    spark, path = q.sparkSession, s.need("path")
-    versions_there = sorted(x for x in (os.listdir(path) if os.path.isdir(path) else []) if x.startswith("v"))
-    store = spark.read.parquet(f"{path}/{versions_there[-1]}") if versions_there else q.limit(0)
-    stores.upsert(store, q).write.parquet(f"{path}/v{len(versions_there):08d}")
+    """Models replace what the repository in the folder ``path`` says of them: at once in a batch, and on a
+    stream when batch-size models have come or the first has waited batch-timeout milliseconds."""
+    into, graph = Repository(q.sparkSession, s.need("path")), s.get("named-graph")
+    if s.batch is None:
+        into.commit(q, graph)
+    else:
+        into.add(q, s.batch, s.number("batch-size", 500), s.number("batch-timeout", 120_000) / 1000, graph)
 
 
 @component(OUTPUTS, "AzureBlobOut")
@@ -319,6 +371,8 @@ class Pipeline:
     description: str = ""
     status: Status = Status.INIT
     query: StreamingQuery | None = None
+    #: Messages that came in and statements that went out, of the last run or micro-batches so far.
+    counts: dict[str, int] = field(default_factory=lambda: {"in": 0, "out": 0})
 
     @classmethod
     def parse(cls, raw: Mapping[str, Any], environment: Mapping[str, str] | None = None) -> Pipeline:
@@ -333,43 +387,92 @@ class Pipeline:
         adapter = step(source["adapter"]) if source.get("adapter") else None
         return cls(name, step(source), adapter, [step(x) for x in raw.get("transformers") or []], [step(x) for x in raw["outputs"]], raw.get("description", ""))
 
-    def transform(self, frame: DataFrame) -> DataFrame:
+    def transform(self, frame: DataFrame, batch: int | None = None, state: str | None = None) -> DataFrame:
+        """Input rows to the quads of the outputs; on a stream, filters remember in the folder ``state``."""
+
+        def table(name: str) -> StateTable | None:
+            return StateTable(frame.sparkSession, f"{state}/{name}") if state else None
+
+        def settings(step: Step) -> Settings:
+            s = step.settings
+            s.batch = batch
+            return s
+
+        if "member_id" in frame.columns and re.split(r"[:.]", self.input.name)[-1].startswith("LdesClient"):
+            frame = filtered(frame, settings(self.input), table)
         if self.adapter:
             frame = find(ADAPTERS, self.adapter.name)(frame, self.adapter.settings)
-        for t in self.transformers:
-            frame = find(TRANSFORMERS, t.name)(frame, t.settings)
+        for i, t in enumerate(self.transformers):
+            run, remembers = find(TRANSFORMERS, t.name), re.split(r"[:.]", t.name)[-1] in STATEFUL
+            frame = run(frame, settings(t), table(f"{i}-{t.name.replace(':', '-')}")) if remembers else run(frame, settings(t))
         return frame
 
-    def emit(self, quads: DataFrame) -> None:
+    def emit(self, quads: DataFrame, batch: int | None = None) -> None:
         """All outputs of the same rows, which are computed once."""
-        held = quads.persist() if len(self.outputs) > 1 else quads
+        seen = Observation()
+        held = quads.observe(seen, F.count(F.lit(1)).alias("out"))
+        held = held.persist() if len(self.outputs) > 1 else held
         try:
             for o in self.outputs:
-                find(OUTPUTS, o.name)(held, o.settings)
+                s = o.settings
+                s.batch = batch
+                find(OUTPUTS, o.name)(held, s)
         finally:
-            if held is not quads:
+            if len(self.outputs) > 1:
                 held.unpersist()
+        found = seen._jo.getOrEmpty()  # empty if the optimizer found that there is nothing to count
+        self.counts["out"] += int(found.get("out").get()) if found.contains("out") else 0
 
     def move(self, to: Status) -> None:
         if to not in TRANSITIONS[self.status]:
             raise ValueError(f"{self.name} can't go from {self.status.value} to {to.value}")
         self.status = to
 
+    def watch(self) -> Status:
+        """The status now: a stream that ended by an error has halted, and can be resumed."""
+        if self.status is Status.RUNNING and self.query is not None and not self.query.isActive and self.query.exception() is not None:
+            self.status = Status.HALTED
+        return self.status
+
+    def client_status(self) -> str | None:
+        """What an event stream's client does; None for other inputs or before the first micro-batch."""
+        if self.query is None:
+            return None
+        if self.query.exception() is not None:
+            return "ERROR"
+        progress = self.query.lastProgress
+        end = progress["sources"][0]["endOffset"] if progress and progress["sources"] else None
+        end = json.loads(end) if isinstance(end, str) else end
+        return ldes.client_status(end) if end and "frontier" in end else None
+
     def run(self, spark: SparkSession) -> None:
         """One batch over all input."""
         self.emit(self.transform(find(INPUTS, self.input.name)(spark, self.input.settings, False)))
 
     def start(self, spark: SparkSession, checkpoint: str, once: bool = False) -> StreamingQuery:
-        """Run on a stream; every micro-batch goes through the same chain. A restart resumes from ``checkpoint``."""
+        """Run on a stream; every micro-batch goes through the same chain. A restart resumes from ``checkpoint``,
+        where filters also keep their state and sources what they have fetched. An error halts the pipeline."""
+        self.watch()
         self.move(Status.RUNNING)
-        stream = find(INPUTS, self.input.name)(spark, self.input.settings, True)
-        writer = stream.writeStream.foreachBatch(lambda batch, _: self.emit(self.transform(batch))).option("checkpointLocation", checkpoint).queryName(self.name)
+        given = Settings({"spool": f"{checkpoint.rstrip('/')}/spool"} | self.input.config)
+        stream = find(INPUTS, self.input.name)(spark, given, True)
+
+        def each(batch: DataFrame, number: int) -> None:
+            came = Observation()
+            self.emit(self.transform(batch.observe(came, F.count(F.lit(1)).alias("in")), number, f"{checkpoint.rstrip('/')}/state"), number)
+            found = came._jo.getOrEmpty()
+            self.counts["in"] += int(found.get("in").get()) if found.contains("in") else 0
+
+        writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).queryName(self.name)
         interval = self.input.settings.get("interval")
-        writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval) if interval else writer
+        writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=trigger_interval(interval)) if interval else writer
         self.query = writer.start()
         return self.query
 
     def halt(self) -> None:
+        self.watch()
+        if self.status is Status.HALTED:
+            return
         self.move(Status.HALTED)
         if self.query:
             self.query.stop()
@@ -443,4 +546,10 @@ class Manager:
         return True
 
     def statuses(self) -> dict[str, str]:
-        return {n: p.status.value for n, p in self.pipelines.items()}
+        return {n: p.watch().value for n, p in self.pipelines.items()}
+
+    def client_status(self, name: str) -> str | None:
+        return self.pipelines[name].client_status()
+
+    def counts(self, name: str) -> dict[str, int]:
+        return dict(self.pipelines[name].counts)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.arrow import map_batches
 from tessera.functions import mapping as functions
 from tessera.operators.closure import subgraph
 from tessera.operators.quads import COLUMNS, as_set, from_terms, literal, term, union
@@ -215,7 +216,7 @@ def _parsed_rows(contents: DataFrame, formulation: str, iterator: str | None, re
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["model_id", "_row", *[f"r{i}" for i in range(len(references))]])
 
     ddl = ", ".join(["model_id string", "_row string", *[f"r{i} array<string>" for i in range(len(references))]])
-    return contents.select("model_id", "content").mapInArrow(run, ddl)
+    return contents.select("model_id", "content").transform(map_batches, run, ddl)
 
 
 class Compiler:
@@ -318,10 +319,11 @@ def _suffix(text: str) -> Callable[[Column], Column]:
 def apply_mapping(contents: DataFrame, mapping: str) -> DataFrame:
     """Quads of messages (model_id, content). If named graphs are made, each becomes a model of its own
     with the default graph's statements that are reachable from its objects."""
-    made = Compiler(Mapping(mapping), contents).compile()
-    named = made.where(F.col("g").isNotNull())
-    if named.isEmpty():
+    read = Mapping(mapping)
+    made = Compiler(read, contents).compile()
+    if not any(p in (RR + "graph", RR + "graphMap") for node in read.g.values() for p in node):
         return made
+    named = made.where(F.col("g").isNotNull())
     default = made.where(F.col("g").isNull())
     roots = named.where(F.col("o_kind") != "literal").select("model_id", F.struct("g", "o").alias("r"))
     below = subgraph(default, roots.select("model_id", F.col("r.o").alias("root")).distinct())

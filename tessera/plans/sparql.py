@@ -129,8 +129,17 @@ class Compiler:
                 names.append(name(o))
         return Solutions(out.select("model_id", *[F.col(f"`?{n}`") for n in names]), frozenset(names), frozenset(names))
 
-    def path(self, p: tuple, start: Column | None = None) -> DataFrame:
-        """(model_id, a, b): the pairs of a path; a closure is walked from ``start`` alone, if given."""
+    def closure(self, s: tuple, p: tuple, o: tuple, known: Solutions | None) -> Solutions:
+        """A pattern of a closure, walked from the nodes that the other patterns beside it leave for one end."""
+        for node, end, path, flip in ((s, o, p, False), (o, s, (p[0], ("inv", p[1])), True)):
+            if known is not None and node[0] == "var" and node[1] in known.certain and self.graph is None:
+                starts = known.df.select("model_id", known.col(node[1]).alias("start")).distinct()
+                found = self.path(path, starts=starts)
+                return self.bound(found, [(end, F.col("b")), (node, F.col("a"))] if flip else [(node, F.col("a")), (end, F.col("b"))])
+        return self.triple(s, p, o)
+
+    def path(self, p: tuple, start: Column | None = None, starts: DataFrame | None = None) -> DataFrame:
+        """(model_id, a, b): the pairs of a path; a closure is walked from ``start`` or ``starts`` (model_id, start) alone, if given."""
         tag = p[0]
         if tag == "iri":
             return self.source().where(F.col("p") == p[1]).select("model_id", subject().alias("a"), obj().alias("b"))
@@ -159,6 +168,8 @@ class Compiler:
         src = self.source()
         if start is not None:  # a given end matches itself, in the graph or not
             nodes, pairs = self.models.select("model_id", start.alias("start")), pairs.where(F.col("a") == start)
+        elif starts is not None:
+            nodes, pairs = starts, pairs.join(starts.withColumnRenamed("start", "a"), ["model_id", "a"], "left_semi")
         else:
             nodes = src.select("model_id", subject().alias("start")).unionByName(src.select("model_id", obj().alias("start"))).distinct()
         itself = nodes.select("model_id", F.col("start").alias("a"), F.col("start").alias("b"))
@@ -216,8 +227,14 @@ class Compiler:
         for e in elements:
             tag = e[0]
             if tag == "bgp":
-                for part in self.stars(e[1]):
-                    now = add(self.star(part) if len(part) > 1 else self.triple(*part[0]))
+                parts, inner = self.stars(e[1]), None
+                for part in sorted(parts, key=lambda x: x[0][1][0] in ("star", "plus")):  # closures last, as they can begin at what the others find
+                    if part[0][1][0] in ("star", "plus"):
+                        found = self.closure(*part[0], inner)
+                    else:
+                        found = self.star(part) if len(part) > 1 else self.triple(*part[0])
+                    inner = found if inner is None else self.join(inner, found)
+                now = add(inner) if inner is not None else now
             elif tag == "group":
                 now = add(self.group(e[1]))
             elif tag == "union":
@@ -515,7 +532,7 @@ def construct(quads: DataFrame, text: str, infer: bool = False, split_graphs: bo
     q = parse(text)
     compiler = Compiler(_dataset(quads, q), services)
     made = compiler.describe(q) if q.form == "DESCRIBE" else compiler.construct(q)
-    if split_graphs:
+    if split_graphs and any(g is not None for *_, g in q.template):  # else all of it is in the default graph
         made = graphs_to_models(made)
     if infer:
         several = made.where(F.contains("model_id", F.lit("#graph="))).select(F.substring_index("model_id", "#graph=", 1).alias("model_id"))

@@ -239,8 +239,12 @@ def model_hash(spark, sf_dir):
 
 
 def canonical_hash_blank_nodes(spark, sf_dir):
-    """Models with blank nodes: isomorphic models count as one."""
-    return canonical.model_hashes(page_quads(spark, sf_dir)).agg(F.count_distinct("hash").alias("n"))
+    """Models with blank nodes, each beside a copy with other labels and one with other statements: the first has its hash, the second hasn't."""
+    q = page_quads(spark, sf_dir)
+    renamed = lambda c: F.when(F.col(f"{c}_kind") == "bnode", F.concat(F.lit("x"), F.md5(c))).otherwise(F.col(c))
+    changed = F.when(F.col("p") == EX + "key", F.concat("o", F.lit("0"))).otherwise(F.col("o"))
+    own, alike, other = (canonical.model_hashes(x).select("model_id", F.col("hash").alias(n)) for n, x in (("h", q), ("alike", q.withColumns({"s": renamed("s"), "o": renamed("o")})), ("other", q.withColumn("o", changed))))
+    return own.join(alike, "model_id").join(other, "model_id").select("model_id", (F.col("h") == F.col("alike")).alias("same_if_renamed"), (F.col("h") == F.col("other")).alias("same_if_changed"))
 
 
 def geojson_quads(spark, sf_dir):
@@ -360,6 +364,14 @@ def nquads_round_trip(spark, sf_dir):
     return rdf_text.adapt(written)
 
 
+def literal_round_trip(spark, sf_dir):
+    """Whole texts of documents as literals, written as N-Quads and read back."""
+    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    q = Q.lift(docs, F.col("doc_id"), _id("document", "doc_id"), {EX + "text": Q.literal(F.col("text"))})
+    back = rdf_text.adapt(text.nquads(q).withColumn("mime_type", F.lit("application/n-quads")))
+    return back.select("model_id", "s", "p", F.md5("o").alias("o"), "o_dt")
+
+
 def turtle_round_trip(spark, sf_dir):
     written = text.serialise(order_quads(spark, sf_dir), "text/turtle").withColumn("mime_type", F.lit("text/turtle"))
     return rdf_text.adapt(written)
@@ -371,6 +383,17 @@ def json_ld_round_trip(spark, sf_dir):
 
 
 def http_enrich_lookup(spark, sf_dir):
+    """Orders enriched with what the URL of their customer's nation answers, by a fetch that looks 25 answers up."""
+    answers = {f"{BASE}nation/{r.n_nationkey}": f'<{BASE}nation/{r.n_nationkey}> <{EX}name> "{r.n_name}" .' for r in table(spark, sf_dir, "nation").collect()}
+
+    def fetch(method, url, body, headers):
+        return (200, "application/n-quads", answers[url]) if method == "GET" and url in answers else (404, "text/plain", "")
+
+    out = enrich.http_enrich(order_quads(spark, sf_dir), fetch, f"<{EX}customer>/<{EX}nation>")
+    return out.where(F.col("p") == EX + "name").select("model_id", "s", "o")
+
+
+def table_enrich_lookup(spark, sf_dir):
     out = enrich.table_enrich(order_quads(spark, sf_dir), nation_quads(spark, sf_dir), f"<{EX}customer>/<{EX}nation>")
     return out.where(F.col("p") == EX + "name").select("model_id", "s", "o")
 
@@ -524,7 +547,7 @@ _SQL |= {
     "skolemise": f"""WITH {_PAGE} SELECT model_id, NULL::VARCHAR AS g, CASE WHEN s_kind = 'bnode' THEN 'https://example.org/.well-known/genid/' || sha256(model_id || chr(31) || s) ELSE s END AS s, 'iri' AS s_kind, p,
         CASE WHEN o_kind = 'bnode' THEN 'https://example.org/.well-known/genid/' || sha256(model_id || chr(31) || o) ELSE o END AS o, CASE WHEN o_kind = 'bnode' THEN 'iri' ELSE o_kind END AS o_kind, o_dt, NULL::VARCHAR AS o_lang FROM q""",
     "model_hash": f"""WITH {_Q} SELECT model_id, s AS member_id, sha256(string_agg({_NQ}, chr(10) ORDER BY {_NQ}) || chr(10)) AS hash FROM q WHERE s LIKE '%/order/%' GROUP BY ALL""",
-    "canonical_hash_blank_nodes": "SELECT count(*) AS n FROM region",
+    "canonical_hash_blank_nodes": "SELECT r_regionkey::VARCHAR AS model_id, true AS same_if_renamed, false AS same_if_changed FROM region",
     "geojson_to_wkt": f"""SELECT s_suppkey::VARCHAR AS model_id, NULL::VARCHAR AS g, '{BASE}supplier/' || s_suppkey AS s, 'iri' AS s_kind, '{LOCN}geometry' AS p, 'POINT (' || s_suppkey % 180 || ' ' || s_nationkey || '.5)' AS o, 'literal' AS o_kind, '{GEO}wktLiteral' AS o_dt, NULL::VARCHAR AS o_lang FROM supplier
         UNION ALL SELECT s_suppkey::VARCHAR, NULL, '{BASE}supplier/' || s_suppkey, 'iri', '{EX}kind', 'supplier', 'literal', '{XSD}string', NULL FROM supplier""",
     "wkt_vertices": f"WITH {_LINE} SELECT s_suppkey, 'POINT(' || a || ' 0)' AS first, 'POINT(' || b || ' 0)' AS last, 'LINESTRING(1 2, 3 ' || a || ')' AS second FROM t",
@@ -545,8 +568,9 @@ _SQL |= {
         UNION ALL SELECT n_nationkey::VARCHAR, 'iri', '{EX}region', 'bnode', NULL, NULL FROM nation
         UNION ALL SELECT n_nationkey::VARCHAR, 'bnode', '{EX}key', 'literal', '{XSD}integer', n_regionkey::VARCHAR FROM nation""",
     "nquads_serialise": f"WITH {_Q} SELECT model_id, string_agg({_NQ}, chr(10) ORDER BY {_NQ}) || chr(10) AS content FROM q GROUP BY model_id",
+    "literal_round_trip": f"SELECT DISTINCT doc_id::VARCHAR AS model_id, '{BASE}document/' || doc_id AS s, '{EX}text' AS p, md5(text) AS o, '{XSD}string' AS o_dt FROM documents WHERE text IS NOT NULL",
     **{name: f"WITH {_Q} SELECT {_ALL} FROM q" for name in ("nquads_round_trip", "turtle_round_trip", "json_ld_round_trip")},
-    "http_enrich_lookup": f"WITH {_ORD} SELECT model_id, n AS s, n_name AS o FROM o JOIN nation ON n_nationkey = nk",
+    **{name: f"WITH {_ORD} SELECT model_id, n AS s, n_name AS o FROM o JOIN nation ON n_nationkey = nk" for name in ("http_enrich_lookup", "table_enrich_lookup")},
     "graph_closure": f"""WITH RECURSIVE {_NATION}, r AS (SELECT DISTINCT s AS root, s AS node FROM q WHERE p = '{EX}after' UNION SELECT r.root, q.o FROM r JOIN q ON q.s = r.node AND q.o_kind = 'iri')
         SELECT root, s, p, o FROM r JOIN q ON q.s = r.node""",
     "structure_counts": """WITH RECURSIVE e AS (SELECT n_nationkey - 1 AS parent, n_nationkey AS child FROM nation WHERE n_nationkey % 5 <> 0),
@@ -555,7 +579,7 @@ _SQL |= {
     "sink_upsert": f"""WITH {_NATION}, c AS (SELECT s, o FROM q WHERE p = '{EX}name' AND s LIKE '%/nation/%' AND length(s) % 2 = 0)
         SELECT {_ALL} FROM q WHERE s NOT IN (SELECT s FROM c) UNION ALL SELECT 'new', NULL, s, 'iri', '{EX}name', lower(o), 'literal', '{XSD}string', NULL FROM c""",
     "rdb_select": f"WITH {_ORD} SELECT ck::BIGINT AS k, seg, t AS total, d AS date FROM o",
-    "sparql_update_text": f"""WITH {_NATION} SELECT s AS model_id, 'DELETE  {{ ?s ?p ?o }} WHERE {{     {{' || chr(10) || '        ?o0 ?p ?o .' || chr(10) || '        BIND (?o0 AS ?s)' || chr(10) || '    }}' || chr(10) || ' UNION {{ ?o0 ?p1 ?o1 . ?o1 ?p ?o . BIND (?o1 AS ?s)}}FILTER (?o0 IN (<' || s || '>)) }}' || chr(10) || 'INSERT DATA {{ ' || {_NQ} || ' }}' AS content FROM q WHERE p = '{EX}name'""",
+    "sparql_update_text": f"""WITH {_NATION} SELECT s AS model_id, 'DELETE {{ ?node ?property ?value }} WHERE {{ VALUES ?root {{ <' || s || '> }} ?root (a|!a)? ?node . ?node ?property ?value }} ;' || chr(10) || 'INSERT DATA {{ ' || {_NQ} || ' }}' AS content FROM q WHERE p = '{EX}name'""",
     "archive_path": """SELECT lpad(o_orderkey::VARCHAR, 12, '0') AS model_id, strftime(o_orderdate, '%Y/%m/%d/%Y-%m-%d-%H-%M-%S-%f') || '000' || CASE WHEN n > 1 THEN '-' || (n - 1) ELSE '' END || '.ttl' AS path
         FROM (SELECT *, row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS n FROM orders)""",
     "blob_name": f"SELECT o_orderkey, replace('{BASE}order/' || o_orderkey || '.ttl', '/', '_') AS blob FROM orders",

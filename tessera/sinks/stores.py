@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.arrow import map_batches
 from tessera.operators.closure import subgraph
 from tessera.operators.quads import COLUMNS, as_set, nquads_line, union
 from tessera.operators.versions import timestamps
@@ -55,7 +57,7 @@ def write_files(named: DataFrame, root: str, write: Callable[[str, bytes], None]
                 put(f"{root.rstrip('/')}/{path}", content.encode())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    return named.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    return named.select("path", "content").transform(map_batches, run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def archive_out(quads: DataFrame, root: str, timestamp_path: str, mime_type: str = "text/turtle") -> int:
@@ -85,47 +87,76 @@ def select_rows(quads: DataFrame, query: str, types: Mapping[str, str] | None =
 
 
 def rdb_out(rows: DataFrame, url: str, table: str, properties: Mapping[str, str], ignore_duplicates: bool = False, keys: Sequence[str] = (), batch_size: int = 1000) -> None:
-    """Append rows by JDBC. With ``ignore_duplicates`` rows whose ``keys`` are in the table, or repeat, are left out."""
-    if ignore_duplicates:
-        rows = rows.dropDuplicates(list(keys) or None)
-        if keys:
-            there = rows.sparkSession.read.jdbc(url, table, properties=dict(properties)).select(*keys)
-            rows = rows.join(there, list(keys), "left_anti")
-    rows.write.option("batchsize", batch_size).jdbc(url, table, "append", dict(properties))
+    """Append rows by JDBC. With ``ignore_duplicates`` rows whose ``keys`` are in the table, or repeat, are left out.
 
-
-def insert_sql(table: str, columns: Sequence[str], ignore_duplicates: bool = False) -> str:
-    text = f"INSERT INTO {table} ({', '.join(columns)}) VALUES ({', '.join('?' * len(columns))})"
-    return text + (" ON CONFLICT DO NOTHING" if ignore_duplicates else "")
+    The executors then write a table of their own, from which one statement in the database takes
+    what is new: nothing of the target is read here, and the database decides what is there.
+    """
+    if not ignore_duplicates:
+        rows.write.option("batchsize", batch_size).jdbc(url, table, "append", dict(properties))
+        return
+    staged = f"{table}_new_{uuid.uuid4().hex[:12]}"
+    rows.dropDuplicates(list(keys) or None).write.option("batchsize", batch_size).jdbc(url, staged, "overwrite", dict(properties))
+    try:
+        _execute(rows.sparkSession, url, properties, insert_sql(table, rows.columns, staged, keys))
+    finally:
+        _execute(rows.sparkSession, url, properties, f"DROP TABLE {staged}")
+
+
+def insert_sql(table: str, columns: Sequence[str], staged: str, keys: Sequence[str] = ()) -> str:
+    """Take the rows of ``staged`` whose keys ``table`` lacks, or those that break none of its constraints if no keys are named."""
+    quoted = lambda c: f'"{c}"'
+    names = ", ".join(map(quoted, columns))
+    head = f"INSERT INTO {table} ({names}) SELECT {names} FROM {staged} fresh"
+    if not keys:
+        return f"{head} ON CONFLICT DO NOTHING"
+    same = " AND ".join(f"there.{quoted(k)} = fresh.{quoted(k)}" for k in keys)
+    return f"{head} WHERE NOT EXISTS (SELECT 1 FROM {table} there WHERE {same})"
+
+
+def _execute(spark: SparkSession, url: str, properties: Mapping[str, str], sql: str) -> None:
+    """One statement over a connection of the driver."""
+    jvm = spark.sparkContext._jvm
+    if driver := properties.get("driver"):
+        jvm.java.lang.Class.forName(driver)
+    own = jvm.java.util.Properties()
+    for k, v in properties.items():
+        own.setProperty(k, v)
+    connection = jvm.java.sql.DriverManager.getConnection(url, own)
+    try:
+        statement = connection.createStatement()
+        statement.execute(sql)
+        statement.close()
+    finally:
+        connection.close()
 
 
 # SPARQL endpoints
 
 
 def delete_where(depth: int | None = 10, graph: str | None = None) -> str | None:
-    """The text of a DELETE of subjects, put in for %s, and of what hangs below them up to a depth; None switches it off."""
+    """A DELETE, with %s for the subjects, of all that they say and all that nodes up to ``depth`` steps below say.
+
+    One step is any predicate or none, so ``depth`` such steps reach every node up to there.
+    """
     if depth is None:
         return None
     if depth < 0:
-        raise ValueError("Depth must be a positive number")
-    source = f"FROM <{graph}>" if graph else ""
-    first = "    {\n        ?o0 ?p ?o .\n        BIND (?o0 AS ?s)\n    }\n"
-    below = []
-    for n in range(1, depth + 1):
-        chain = "".join(f"?o{i} ?p{i + 1} ?o{i + 1} . " for i in range(n))
-        below.append(f" UNION {{ {chain}?o{n} ?p ?o . BIND (?o{n} AS ?s)}}")
-    return f"DELETE {source} {{ ?s ?p ?o }} WHERE {{ {first}{''.join(below)}FILTER (?o0 IN (%s)) }}"
-
-
-def update_text(quads: DataFrame, delete: str | None, graph: str | None = None) -> DataFrame:
-    """(model_id, content): one update for each model, deletion and insertion together."""
-    subjects = F.array_join(F.array_sort(F.collect_set(F.when(F.col("s_kind") == "iri", F.concat(F.lit("<"), F.col("s"), F.lit(">"))))), ",")
+        raise ValueError(f"a deletion can't go {depth} steps deep")
+    steps = "/".join(["(a|!a)?"] * depth)
+    reach = f"?root {steps} ?node" if steps else "BIND(?root AS ?node)"
+    scope = f"WITH <{graph}> " if graph else ""
+    return f"{scope}DELETE {{ ?node ?property ?value }} WHERE {{ VALUES ?root {{ %s }} {reach} . ?node ?property ?value }}"
+
+
+def update_text(quads: DataFrame, delete: str | None, graph: str | None = None, separator: str = " ") -> DataFrame:
+    """(model_id, content): one update for each model, its deletion before its insertion."""
+    subjects = F.array_join(F.array_sort(F.collect_set(F.when(F.col("s_kind") == "iri", F.concat(F.lit("<"), F.col("s"), F.lit(">"))))), separator)
     lines = F.array_join(F.array_sort(F.collect_set(nquads_line())), "\n")
-    removal = F.lit("") if delete is None else F.concat(F.lit(delete.partition("%s")[0]), F.col("subjects"), F.lit(delete.partition("%s")[2]))
-    body = f"INSERT DATA {{{{ GRAPH <{graph}> {{{{ %s }}}} }}}}" if graph else "INSERT DATA {{ %s }}"
-    head, _, tail = body.replace("{{", "{").replace("}}", "}").partition("%s")
+    parts = [] if delete is None else [F.lit(delete.partition("%s")[0]), F.col("subjects"), F.lit(delete.partition("%s")[2] + " ;\n")]
+    opening, closing = (f"GRAPH <{graph}> {{ ", " }") if graph else ("", "")
     grouped = quads.where(F.col("g").isNull()).groupBy("model_id").agg(subjects.alias("subjects"), lines.alias("lines"))
-    return grouped.select("model_id", F.concat(removal, F.lit("\n"), F.lit(head), "lines", F.lit(tail)).alias("content"))
+    return grouped.select("model_id", F.concat(*parts, F.lit(f"INSERT DATA {{ {opening}"), F.col("lines"), F.lit(f"{closing} }}")).alias("content"))
 
 
 # HTTP and messages
@@ -151,7 +182,7 @@ def http_out(contents: DataFrame, url: str, mime_type: str, options: Mapping[str
                 done.append((m, status))
             yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int32())], names=["model_id", "status"])
 
-    return contents.select("model_id", "content").mapInArrow(run, "model_id string, status int")
+    return contents.select("model_id", "content").transform(map_batches, run, "model_id string, status int")
 
 
 def kafka_rows(contents: DataFrame, mime_type: str, quads: DataFrame | None = None, key_path: str | None = None) -> DataFrame:
@@ -163,6 +194,18 @@ def kafka_rows(contents: DataFrame, mime_type: str, quads: DataFrame | None = No
     return out.join(keys, "model_id", "left").drop("model_id")
 
 
+#: Senders to message queues by name: options to a call that takes a content and its type. They run on the executors.
+SENDERS: dict[str, Callable[[Mapping[str, str]], Callable[[str, str], None]]] = {}
+
+
+def sender(name: str | None, options: Mapping[str, str]) -> Callable[[str, str], None]:
+    if name is None and len(SENDERS) == 1:
+        name = next(iter(SENDERS))
+    if name not in SENDERS:
+        raise ValueError(f"no queue client {name!r} is registered; known: {', '.join(sorted(SENDERS)) or 'none'}")
+    return SENDERS[name](options)
+
+
 def queue_out(contents: DataFrame, send: Callable[[str, str], None], mime_type: str) -> int:
     """Give each content to ``send(content, content type)`` on the executors."""
 
@@ -172,18 +215,22 @@ def queue_out(contents: DataFrame, send: Callable[[str, str], None], mime_type:
                 send(content, mime_type)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    return contents.select("content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    return contents.select("content").transform(map_batches, run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 # repositories
 
 
-def upsert(store: DataFrame, quads: DataFrame, skolem: str = "/.well-known/genid/", graph: str | None = None) -> DataFrame:
-    """The store after a batch: what it says of the batch's named subjects, and of the blank and skolem
-    nodes below those, is replaced by the batch. Both are one graph; ``model_id`` stays that of each row."""
+def replaced(store: DataFrame, batch: DataFrame, skolem: str = "/.well-known/genid/") -> DataFrame:
+    """(s): the subjects of ``store`` whose statements a batch replaces: the batch's named subjects, and the
+    blank and skolem nodes below those. The store is one graph."""
     everything = store.withColumn("model_id", F.lit(""))
-    batch = quads.withColumn("g", F.lit(graph).cast("string")) if graph else quads
     subjects = batch.where((F.col("s_kind") == "iri") & ~F.contains("s", F.lit(skolem))).select(F.lit("").alias("model_id"), F.col("s").alias("root")).distinct()
     nested = (F.col("o_kind") == "bnode") | F.contains("o", F.lit(skolem))
-    old = subgraph(everything, subjects, nested).select("s").distinct()
-    return as_set(union(store.join(old, "s", "left_anti").select(*COLUMNS), batch))
+    return subgraph(everything, subjects, nested).select("s").distinct()
+
+
+def upsert(store: DataFrame, quads: DataFrame, skolem: str = "/.well-known/genid/", graph: str | None = None) -> DataFrame:
+    """The store after a batch, which takes the place of all that ``replaced`` names; ``model_id`` stays that of each row."""
+    batch = quads.withColumn("g", F.lit(graph).cast("string")) if graph else quads
+    return as_set(union(store.join(replaced(store, batch, skolem), "s", "left_anti").select(*COLUMNS), batch))

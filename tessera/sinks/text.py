@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.arrow import map_batches
 from tessera.operators.quads import nquads_line
 from tessera.vocabulary import RDF_TYPE, XSD, XSD_STRING
 
@@ -125,4 +126,4 @@ def serialise(quads: DataFrame, mime_type: str = "text/turtle", prefixes: Mappin
             texts = [turtle(m, prefixes) if mime_type == "text/turtle" else json_ld(m, frame) for m in models]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["model_id", "content"])
 
-    return quads.groupBy("model_id").agg(F.collect_set(F.struct(*names)).alias("rows")).mapInArrow(run, "model_id string, content string")
+    return quads.groupBy("model_id").agg(F.collect_set(F.struct(*names)).alias("rows")).transform(map_batches, run, "model_id string, content string")

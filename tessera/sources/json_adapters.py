@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.arrow import map_batches
 from tessera.functions.mapping import NGSI_NAMES, NGSI_SCHEMES, ngsi_date, ngsi_id, ngsi_name
 from tessera.operators.quads import COLUMNS, SCHEMA, as_set, from_terms, iri, literal
 from tessera.sources.rdf_text import parse_json_ld
@@ -30,7 +31,7 @@ def _numbered(contents: DataFrame, documents) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * len(COLUMNS)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=list(COLUMNS))
 
-    return as_set(contents.select("model_id", "content", "mime_type").mapInArrow(run, SCHEMA))
+    return as_set(contents.select("model_id", "content", "mime_type").transform(map_batches, run, SCHEMA))
 
 
 def _check_mime(mime_type: str | None) -> None:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import time
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import defaultdict, deque
+from collections.abc import Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +19,7 @@ from tessera.operators.closure import reach, subgraph
 from tessera.operators.quads import COLUMNS
 from tessera.sources.http import Executor, Request, Response, executor_from, follow_redirects
 from tessera.sources.rdf_text import parse
+from tessera.sources.spool import Spool
 from tessera.vocabulary import DCT, LDES, RDF_TYPE, TREE
 
 DEFAULT_MAX_AGE = 60
@@ -172,16 +175,29 @@ class Frontier:
 
     nodes: dict[str, dict] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        self.fresh = deque(u for u, n in self.nodes.items() if n["status"] == "NOT_VISITED")
+        self.waiting = [(n["next"], u) for u, n in self.nodes.items() if n["status"] == "MUTABLE_AND_ACTIVE"]
+        heapq.heapify(self.waiting)
+
     def add(self, url: str) -> None:
-        self.nodes.setdefault(url, {"status": "NOT_VISITED", "next": 0.0, "received": [], "etag": None})
+        if url not in self.nodes:
+            self.nodes[url] = {"status": "NOT_VISITED", "next": 0.0, "received": [], "etag": None}
+            self.fresh.append(url)
 
     def due(self, now: float) -> str | None:
         """The next node: one not visited, else a mutable one whose time has come."""
-        fresh = [u for u, n in self.nodes.items() if n["status"] == "NOT_VISITED"]
-        if fresh:
-            return fresh[0]
-        waiting = sorted((n["next"], u) for u, n in self.nodes.items() if n["status"] == "MUTABLE_AND_ACTIVE")
-        return waiting[0][1] if waiting and waiting[0][0] <= now else None
+        while self.fresh:
+            if self.nodes[self.fresh[0]]["status"] == "NOT_VISITED":
+                return self.fresh[0]
+            self.fresh.popleft()
+        while self.waiting:
+            time_, url = self.waiting[0]
+            node = self.nodes[url]
+            if node["status"] == "MUTABLE_AND_ACTIVE" and node["next"] == time_:
+                return url if time_ <= now else None
+            heapq.heappop(self.waiting)  # visited since
+        return None
 
     def ended(self) -> bool:
         return all(n["status"] == "IMMUTABLE" for n in self.nodes.values())
@@ -195,6 +211,7 @@ class Frontier:
         fresh = [m for m in page.members(timestamp_path) if m[0] not in known]
         if page.mutable:
             node.update(status="MUTABLE_AND_ACTIVE", next=now + page.max_age, received=sorted(known | {m[0] for m in fresh}), etag=page.etag)
+            heapq.heappush(self.waiting, (node["next"], page.url))
         else:
             node.update(status="IMMUTABLE", received=[], etag=None)
         return fresh
@@ -215,26 +232,31 @@ class _Urls(InputPartition):
         self.urls = urls
 
 
+def client_status(offset: Mapping[str, str]) -> str:
+    """What the client does, by a stream's offset: it replicates until every node has been visited once,
+    then synchronises, and is done when no node can change any more."""
+    states = {n["status"] for n in json.loads(offset["frontier"]).values()}
+    return "REPLICATING" if "NOT_VISITED" in states else "SYNCHRONISING" if "MUTABLE_AND_ACTIVE" in states else "COMPLETED"
+
+
 class LdesReader(DataSourceReader):
-    """Batch: the driver follows relations to find the pages, executors fetch them again and give their members."""
+    """Batch: the driver follows relations to find the pages, some at a time; executors fetch them again and give their members."""
 
     def __init__(self, options: dict[str, str]):
         self.options = options
 
     def pages(self) -> list[str]:
+        """Every page that relations lead to, found level by level with the requests of a level side by side."""
         execute = executor_from(self.options)
         mime = self.options.get("source-format", "application/n-quads")
-        todo = [starting_node(execute, u.strip(), mime) for u in self.options["urls"].split(",")]
-        seen: list[str] = []
-        known = set(todo)
-        while todo:
-            page = fetch_page(execute, todo.pop(0), mime)
-            if page.status == 200:
-                seen.append(page.url)
-            for r in page.relations:
-                if r not in known:
-                    known.add(r)
-                    todo.append(r)
+        level = list(dict.fromkeys(starting_node(execute, u.strip(), mime) for u in self.options["urls"].split(",")))
+        seen, known = [], set(level)
+        with ThreadPoolExecutor(max(1, int(self.options.get("crawl-threads", 8)))) as pool:
+            while level:
+                found = list(pool.map(lambda u: fetch_page(execute, u, mime), level))
+                seen += [p.url for p in found if p.status == 200]
+                level = [r for r in dict.fromkeys(r for p in found for r in p.relations) if r not in known]
+                known.update(level)
         return seen
 
     def partitions(self) -> list[InputPartition]:
@@ -249,38 +271,49 @@ class LdesReader(DataSourceReader):
 
 
 class LdesStream(SimpleDataSourceStreamReader):
-    """Stream: each read visits the nodes that are due; the offset is the frontier, so a restart resumes."""
+    """Stream: each read visits the nodes that are due; the offset is the frontier, so a restart resumes.
+
+    With the option ``spool`` a restart gives a batch that wasn't finished the rows that were read
+    for it; without, its pages are fetched again.
+    """
 
     def __init__(self, options: dict[str, str]):
-        self.options, self.clock = options, time.time
+        self.options, self.clock, self.spool = options, time.time, Spool(options.get("spool"))
 
     def initialOffset(self) -> dict:
         execute = executor_from(self.options)
         f = Frontier()
         for u in self.options["urls"].split(","):
             f.add(starting_node(execute, u.strip(), self.options.get("source-format", "application/n-quads")))
-        return {"frontier": json.dumps(f.nodes)}
+        return {"n": 0, "frontier": json.dumps(f.nodes)}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        if (kept := self.spool.get(start["n"])) is not None:
+            return iter(kept[0]), kept[1]
         execute, f = executor_from(self.options), Frontier(json.loads(start["frontier"]))
-        limit, rows = int(self.options.get("pages-per-batch", 32)), []
-        for _ in range(limit):
-            if (url := f.due(self.clock())) is None:
-                break
+        limit, rows, visits = int(self.options.get("pages-per-batch", 32)), [], 0
+        while visits < limit and (url := f.due(self.clock())) is not None:
             page = fetch_page(execute, url, self.options.get("source-format", "application/n-quads"), f.nodes[url]["etag"])
             rows += _rows(page, f.visited(page, self.clock(), self.options.get("timestamp-path")))
-        return iter(rows), {"frontier": json.dumps(f.nodes)}
+            visits += 1
+        if not visits:
+            return iter(()), start
+        end = {"n": start["n"] + 1, "frontier": json.dumps(f.nodes)}
+        self.spool.put(start["n"], rows, end)
+        return iter(rows), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        rows, _ = self.read(start)
-        return rows
+        return iter(self.spool.between(start["n"], end["n"])) if self.spool else self.read(start)[0]
+
+    def commit(self, end: dict) -> None:
+        self.spool.drop_before(end["n"])
 
 
 class LdesDataSource(DataSource):
     """``spark.read.format("ldes")`` and ``spark.readStream.format("ldes")``.
 
     Options: urls (comma-separated), source-format (mime type), timestamp-path, pages-per-task,
-    pages-per-batch, and the options of the HTTP executor.
+    crawl-threads, pages-per-batch, spool, and the options of the HTTP executor.
     """
 
     @classmethod

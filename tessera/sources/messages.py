@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from tessera.sources.http import Request, executor_from
+from tessera.sources.schedule import Cron
+from tessera.sources.spool import Spool
 
 MIME_BY_EXTENSION = {"nq": "application/n-quads", "nt": "application/n-triples", "ttl": "text/turtle", "trig": "application/trig", "jsonld": "application/ld+json", "json": "application/json"}
 
@@ -55,36 +58,59 @@ def kafka_messages(records: DataFrame, mime_type: str = "application/n-quads") -
 
 
 class HttpPoll(SimpleDataSourceStreamReader):
-    """Each trigger requests every URL once; the offset counts the rounds."""
+    """Each trigger requests every URL once, or with ``cron`` when its time has come.
 
-    def __init__(self, options: dict[str, str]):
-        self.options = options
+    The offset counts the rounds. With the option ``spool`` a restart gives the answers that were
+    read; without it, the URLs are requested again.
+    """
+
+    def __init__(self, options: dict[str, str], clock: Callable[[], datetime] = datetime.now):
+        self.options, self.clock, self.spool = options, clock, Spool(options.get("spool"))
+        self.cron = Cron(options["cron"]) if options.get("cron") else None
+        self.due = self.cron.after(clock()) if self.cron else None
 
     def initialOffset(self) -> dict:
-        return {"round": 0}
+        return {"n": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        n = start["n"]
+        if (kept := self.spool.get(n)) is not None:
+            return iter(kept[0]), kept[1]
+        if self.cron and self.clock() < self.due:
+            return iter(()), start
+        rows, end = self.poll(n), {"n": n + 1}
+        if self.cron:
+            self.due = self.cron.after(self.clock())
+        self.spool.put(n, rows, end)
+        return iter(rows), end
+
+    def poll(self, n: int) -> list[tuple]:
         execute, rows = executor_from(self.options), []
         keep_on = self.options.get("continue-on-fail", "true").lower() == "true"
-        for n, url in enumerate(self.options["urls"].split(",")):
+        for i, url in enumerate(self.options["urls"].split(",")):
             try:
                 got = execute(Request(url.strip()))
                 if not 200 <= got.status < 300:
                     raise OSError(f"{url} answered {got.status}")
-                rows.append((f"{start['round']}-{n}", got.body.decode(), got.header("Content-Type") or "application/n-quads"))
+                rows.append((f"{n}-{i}", got.body.decode(), got.header("Content-Type") or "application/n-quads"))
             except OSError:
                 if not keep_on:
                     raise
-        return iter(rows), {"round": start["round"] + 1}
+        return rows
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self.read(start)[0]
+        if self.spool:
+            return iter(self.spool.between(start["n"], end["n"]))
+        return iter([r for n in range(start["n"], end["n"]) for r in self.poll(n)])
+
+    def commit(self, end: dict) -> None:
+        self.spool.drop_before(end["n"])
 
 
 class HttpPollSource(DataSource):
-    """``spark.readStream.format("http-poll")``: urls, continue-on-fail, and the options of the HTTP executor.
+    """``spark.readStream.format("http-poll")``: urls, continue-on-fail, cron, spool, and the options of the HTTP executor.
 
-    The trigger's interval is the polling interval.
+    Without ``cron`` the trigger's interval is the polling interval.
     """
 
     @classmethod
@@ -99,22 +125,34 @@ class HttpPollSource(DataSource):
 
 
 class QueueReader(SimpleDataSourceStreamReader):
-    """Messages of a queue client registered under the option ``client``: a call that gives (body, content type) pairs."""
+    """Messages of a queue client registered under the option ``client``: a call that gives (body, content type) pairs.
+
+    A queue gives a message once, so what was taken is kept in the folder ``spool`` until its
+    micro-batch is done; a restart reads it there.
+    """
 
     def __init__(self, options: dict[str, str]):
-        self.options = options
+        self.options, self.spool = options, Spool(options.get("spool"))
 
     def initialOffset(self) -> dict:
         return {"n": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        if (kept := self.spool.get(start["n"])) is not None:
+            return iter(kept[0]), kept[1]
         got = QUEUE_CLIENTS[self.options["client"]](self.options)
         default = self.options.get("source-format", "application/n-quads")
         rows = [(f"{self.options.get('queue', 'queue')}-{start['n'] + i}", body, kind or default) for i, (body, kind) in enumerate(got)]
-        return iter(rows), {"n": start["n"] + len(rows)}
+        end = {"n": start["n"] + len(rows)}
+        if rows:
+            self.spool.put(start["n"], rows, end)
+        return iter(rows), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(())
+        return iter(self.spool.between(start["n"], end["n"]))
+
+    def commit(self, end: dict) -> None:
+        self.spool.drop_before(end["n"])
 
 
 #: Clients of message queues by name: options to a list of (body, content type or None).
@@ -122,7 +160,7 @@ QUEUE_CLIENTS: dict = {}
 
 
 class QueueSource(DataSource):
-    """``spark.readStream.format("queue")``: options client, queue, source-format."""
+    """``spark.readStream.format("queue")``: options client, queue, source-format, spool."""
 
     @classmethod
     def name(cls) -> str:

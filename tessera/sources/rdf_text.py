@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.arrow import map_batches
 from tessera.operators.quads import COLUMNS, SCHEMA, as_set, from_terms, term
-from tessera.plans.sparql_parser import Parser, SparqlError
+from tessera.plans.sparql_parser import Parser, SparqlError, unescape
 from tessera.vocabulary import LANG_STRING, RDF, RDF_TYPE, XSD, XSD_STRING
 
 LINES = ("application/n-quads", "application/n-triples", "text/x-nquads")
@@ -27,17 +28,29 @@ Triple = tuple[tuple, str, tuple]
 
 # lines
 
-_IRI, _BLANK = r"<([^<>\"{}|^`\\\x00-\x20]*(?:\\u[0-9A-Fa-f]{4}[^<>]*)?)>", r"_:([^\s<>\"]+)"
-_LINE = rf'^\s*(?:{_IRI}|{_BLANK})\s*<([^<>]*)>\s*(?:{_IRI}|{_BLANK}|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^<>]*)>)?)\s*(?:<([^<>]*)>)?\s*\.\s*(?:#.*)?$'
+# no group repeats: the JVM's matcher recurses once for each turn of one, so long literals would end it
+_IRI, _BLANK = r"<([^<>\"{}|^`\\\x00-\x20]*+(?:\\u[0-9A-Fa-f]{4}[^<>]*+)?)>", r"_:([^\s<>\"]*[^\s<>\".])"
+_LINE = rf'^\s*+(?:{_IRI}|{_BLANK})\s*+<([^<>]*+)>\s*+(?:{_IRI}|{_BLANK}|"([^"]*+)"(?:@([A-Za-z][A-Za-z0-9-]*+)|\^\^<([^<>]*+)>)?)\s*+(?:<([^<>]*+)>)?\s*+\.\s*+(?:#.*)?$'
+_MARK = "\x01"
 
 
-_MARK = "\x01"
+def _plain(text: Column) -> Column:
+    """The line with the same meaning and without escaped backslashes and quotes, or the mark, in it.
+
+    Each is written as its code, which N-Quads allows; so the next quote ends a literal.
+    """
+    text = F.replace(text, F.lit(_MARK), F.lit("\\u0001"))
+    codes = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\\u005C")), F.lit('\\"'), F.lit("\\u0022"))
+    return F.when(F.contains(text, F.lit("\\")), codes).otherwise(text)
 
 
 def _unescaped(v: Column) -> Column:
     """Escapes by way of a JSON string, whose escapes are a superset of the lines' short ones."""
-    as_json = F.regexp_replace(F.regexp_replace(v, r"\\'", "'"), r"\\U0000([0-9A-Fa-f]{4})", r"\\u$1")
-    parsed = F.from_json(F.concat(F.lit('{"v":"'), as_json, F.lit('"}')), "v string")["v"]
+    short = F.regexp_replace(F.replace(v, F.lit("\\'"), F.lit("'")), r"\\U0000([0-9A-Fa-f]{4})", r"\\u$1")
+    # what is left of the long form lies beyond the codes of JSON's form
+    wide = F.transform(F.split(short, r"\\U"), lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.decode(F.unhex(F.substring(x, 1, 8)), "UTF-32"), F.substr(x, F.lit(9)))))
+    as_json = F.when(F.contains(short, F.lit("\\U")), F.array_join(wide, "")).otherwise(short)
+    parsed = F.from_json(F.concat(F.lit('{"v":"'), as_json, F.lit('"}')), "v string", {"allowUnquotedControlChars": "true"})["v"]
     return F.when(F.contains(v, F.lit("\\")), parsed).otherwise(v)
 
 
@@ -45,12 +58,12 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Quads of N-Triples or N-Quads lines with a ``model_id``; comments and blank lines give nothing, broken ones raise."""
     text = F.col(column)
     blank = F.trim(text).rlike(r"^(#.*)?$")
-    # one pass of the expression gives all parts, set apart by a control character
-    parts = F.split(F.regexp_replace(text, _LINE, _MARK + _MARK.join(f"${i}" for i in range(1, 10))), _MARK)
+    # one pass of the expression gives all parts, set apart by a mark that the line no longer holds
+    parts = F.split(F.regexp_replace(_plain(text), _LINE, _MARK + _MARK.join(f"${i}" for i in range(1, 10))), _MARK)
     # exploding an array of one keeps filters above from repeating the work
-    cut = lines.where(~blank).select("model_id", text.alias("_text"), blank.alias("_blank"), F.explode(F.array(parts)).alias("_p"))
+    cut = lines.where(~blank).select("model_id", text.alias("_text"), F.explode(F.array(parts)).alias("_p"))
     wrong = F.raise_error(F.concat(F.lit("not a statement: "), F.substring("_text", 1, 200)))
-    cut = cut.withColumn("_p", F.when(F.col("_blank") | (F.size("_p") == 10), F.col("_p")).otherwise(wrong.cast("array<string>")))
+    cut = cut.withColumn("_p", F.when(F.size("_p") == 10, F.col("_p")).otherwise(wrong.cast("array<string>")))
     part = lambda i: F.nullif(F.get("_p", F.lit(i)), F.lit(""))
     lang = F.lower(part(7))
     datatype = F.when(lang.isNotNull(), LANG_STRING).otherwise(F.coalesce(part(8), F.lit(XSD_STRING)))
@@ -329,16 +342,27 @@ def parse(text: str, mime_type: str, remote: Mapping[str, Any] | None = None, ba
     raise ValueError(f"unsupported mime type {mime_type!r}")
 
 
+_TERM = r'<([^<>"{}|^`\x00-\x20]*)>|_:([^\s<>"]*[^\s<>".])'
+_STATEMENT = re.compile(
+    rf'\s*(?:{_TERM})\s*<([^<>]*)>\s*(?:{_TERM}|"([^"\\]*(?:\\.[^"\\]*)*)"(?:@([A-Za-z][A-Za-z0-9-]*)|\^\^<([^<>]*)>)?)\s*(?:<([^<>]*)>)?\s*\.\s*(?:#.*)?$',
+    re.DOTALL,
+)
+
+
 def parse_nquads(text: str) -> list[tuple]:
-    """Rows of N-Quads on one machine, for small documents."""
+    """Rows of N-Quads on one machine, for documents of bounded size."""
     rows = []
-    for line in text.splitlines():
-        if not line.strip() or line.lstrip().startswith("#"):
+    for line in re.split(r"\r?\n", text):
+        if not (m := _STATEMENT.match(line)):
+            if line.strip() and not line.lstrip().startswith("#"):
+                raise SparqlError(f"not a statement: {line[:200]}")
             continue
-        p = Parser(line)
-        s, predicate, o = p.term(), p.iri(), p.term()
-        g = p.term()[1] if not p.is_punct(".") else None
-        rows.append(_row(s, predicate, o, g))
+        s, sb, p, o, ob, value, lang, dt, g = m.groups()
+        subject = (unescape(s), "iri") if s is not None else (sb, "bnode")
+        if value is None:
+            rows.append((g, *subject, p, *((unescape(o), "iri") if o is not None else (ob, "bnode")), None, None))
+        else:
+            rows.append((g, *subject, p, unescape(value), "literal", LANG_STRING if lang else dt or XSD_STRING, lang.lower() if lang else None))
     return list(dict.fromkeys(rows))
 
 
@@ -352,5 +376,5 @@ def adapt(contents: DataFrame, remote: Mapping[str, Any] | None = None, base: st
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=list(COLUMNS))
 
     lines = F.trim(F.lower(F.substring_index("mime_type", ";", 1))).isin(*LINES)
-    parsed = contents.where(~F.coalesce(lines, F.lit(False))).select("model_id", "content", "mime_type").mapInArrow(run, SCHEMA)
+    parsed = contents.where(~F.coalesce(lines, F.lit(False))).select("model_id", "content", "mime_type").transform(map_batches, run, SCHEMA)
     return as_set(parsed.unionByName(parse_line_contents(contents.where(lines)).select(*COLUMNS)))

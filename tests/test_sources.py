@@ -1,5 +1,6 @@
 import http.server
 import threading
+from datetime import datetime
 
 import pytest
 
@@ -9,7 +10,7 @@ from tessera.operators.quads import SCHEMA
 from tessera.plans import rml
 from tessera.sinks import stores, text
 from tessera.sources import http as client
-from tessera.sources import json_adapters, ldes, messages, rdf_text
+from tessera.sources import json_adapters, ldes, messages, rdf_text, schedule
 from tessera.vocabulary import GEOJSON, TREE
 
 
@@ -154,6 +155,64 @@ def test_lines_and_their_errors(spark):
         rdf_text.parse_lines(spark.createDataFrame([("m", "<s> oops")], "model_id string, value string")).collect()
 
 
+def test_long_and_odd_literals(spark):
+    values = ["x" * 2000, "y" * 1_000_000, "\\" * 5000, '"' * 5000 + "\\", "a\x01b", "tab\there", "new\nline\r", "# not a comment . ", "smile \U0001f600 \u2028 é", "", "'", 'end\\"', "\\u0041"]
+    rows = [(str(i), None, "http://e/s", "iri", "http://e/p", v, "literal", "http://www.w3.org/2001/XMLSchema#string", None) for i, v in enumerate(values)]
+    lines = text.nquads(spark.createDataFrame(rows, SCHEMA)).withColumn("mime_type", canonical.F.lit("application/n-quads"))
+    assert {(r.model_id, r.o) for r in rdf_text.adapt(lines).collect()} == {(str(i), v) for i, v in enumerate(values)}
+    escaped = spark.createDataFrame([("m", r'<s:s> <p:p> "\U0001F600\u00e9\U00000022\'\t" . # "more"'), ("m", "_:a <p:p> _:b.c.")], "model_id string, value string")
+    assert {(r.s, r.o) for r in rdf_text.parse_lines(escaped).collect()} == {("s:s", "\U0001f600é\"'\t"), ("a", "b.c")}
+
+
+def test_polling_times():
+    at = datetime(2024, 2, 28, 23, 59, 30)
+    assert schedule.Cron("0 */15 * * * *").after(at) == datetime(2024, 2, 29)
+    assert schedule.Cron("0 30 8 ? MAR MON-FRI").after(at) == datetime(2024, 3, 1, 8, 30)
+    assert schedule.Cron("*/10 * * * * *").after(at) == datetime(2024, 2, 28, 23, 59, 40)
+    assert schedule.seconds_of("PT1M30S") == 90 and schedule.trigger_interval("PT0.5S") == "500 milliseconds" and schedule.trigger_interval("5 seconds") == "5 seconds"
+    for wrong in ("* * * * *", "61 * * * * *", "0 0 0 31 2 ?"):
+        with pytest.raises(ValueError):
+            schedule.Cron(wrong).after(at)
+    with pytest.raises(ValueError):
+        schedule.seconds_of("P")
+
+
+def test_queues_and_polls_give_a_restart_what_they_took(tmp_path, server):
+    queue = [("<a:a> <b:b> <c:c> .", None), ("x", "text/turtle")]
+    messages.QUEUE_CLIENTS["test"] = lambda _: [queue.pop(0)] if queue else []
+    reader = messages.QueueReader({"client": "test", "spool": str(tmp_path / "q")})
+    start = reader.initialOffset()
+    first, middle = reader.read(start)
+    second, end = reader.read(middle)
+    assert [*first, *second] == [("queue-0", "<a:a> <b:b> <c:c> .", "application/n-quads"), ("queue-1", "x", "text/turtle")]
+    later = messages.QueueReader({"client": "test", "spool": str(tmp_path / "q")})
+    assert [r[0] for r in later.readBetweenOffsets(start, end)] == ["queue-0", "queue-1"] and list(later.read(middle)[0])[0][1] == "x"
+    later.commit(end)
+    with pytest.raises(OSError, match="spool"):
+        later.readBetweenOffsets(start, end)
+    base, state = server
+    poll = messages.HttpPoll({"urls": base + "/start", "spool": str(tmp_path / "p")})
+    rows, after = poll.read(poll.initialOffset())
+    asked = state["hits"]["/start"]
+    assert list(poll.readBetweenOffsets({"n": 0}, after)) == list(rows) and state["hits"]["/start"] == asked
+    clock = [datetime(2024, 1, 1, 0, 0, 1)]
+    timed = messages.HttpPoll({"urls": base + "/start", "cron": "0 * * * * *"}, lambda: clock[0])
+    assert timed.read({"n": 0})[1] == {"n": 0}
+    clock[0] = datetime(2024, 1, 1, 0, 1)
+    assert timed.read({"n": 0})[1] == {"n": 1}
+
+
+def test_client_status():
+    f = ldes.Frontier()
+    f.add("u")
+    status = lambda: ldes.client_status({"frontier": ldes.json.dumps(f.nodes)})
+    assert status() == "REPLICATING"
+    f.visited(ldes.Page("u", 200, [], [], True, 60), 0.0)
+    assert status() == "SYNCHRONISING"
+    f.visited(ldes.Page("u", 200, [], [], False), 0.0)
+    assert status() == "COMPLETED"
+
+
 def test_ngsi():
     entity = {"id": "1", "type": "T", "dateObserved": "2020-01-01T00:00:00", "a": {"type": "Number", "value": 5, "metadata": {"unitCode": {"value": "C"}}}, "r": {"type": "Reference", "value": "urn:x"}}
     made = json_adapters.ngsi_to_ld(entity, ["c"])
@@ -251,10 +310,10 @@ def test_files_and_updates(spark, tmp_path):
     back = messages.archive(spark, str(tmp_path / "out")).orderBy("position")
     assert rdf_text.adapt(back).count() == 2
     assert stores.blob_out(q, str(tmp_path / "blobs")) == 2
-    assert stores.delete_where(None) is None and "?o1 ?p2 ?o2" in stores.delete_where(2) and "FROM <http://g>" in stores.delete_where(1, "http://g")
+    assert stores.delete_where(None) is None and "?root (a|!a)?/(a|!a)? ?node" in stores.delete_where(2) and stores.delete_where(0, "http://g").startswith("WITH <http://g> DELETE")
     with pytest.raises(ValueError):
         stores.delete_where(-1)
-    assert stores.insert_sql("t", ["a", "b"], True) == "INSERT INTO t (a, b) VALUES (?, ?) ON CONFLICT DO NOTHING"
+    assert stores.insert_sql("t", ["a", "b"], "n") == 'INSERT INTO t ("a", "b") SELECT "a", "b" FROM n fresh ON CONFLICT DO NOTHING'
 
 
 def test_http_out(spark, server):

@@ -2,10 +2,11 @@ import pandas as pd
 import pytest
 
 from tessera.operators import versions
-from tessera.plans.pipeline import Manager, Pipeline, Settings, Status, catalog, resolve
-from tessera.sinks import text
+from tessera.plans.pipeline import OUTPUTS, Manager, Pipeline, Settings, Status, catalog, component, find, resolve
+from tessera.sinks import stores, text
+from tessera.sinks.repository import Repository
 from tessera.operators.quads import SCHEMA
-from tessera.streaming import stateful
+from tessera.streaming import state_table, stateful
 
 SCHEMA_IN = "member_id long, version_of long, ts timestamp_ntz, arrival_seq long, hash string"
 
@@ -52,7 +53,7 @@ def test_pipeline_in_batch_and_on_a_stream(spark, tmp_path):
     (tmp_path / "in" / "d").mkdir(parents=True)
     (tmp_path / "in" / "d" / "a.nq").write_text('<http://e/a> <http://e/p> "1" .\n_:b <http://e/p> "2" .\n')
     Pipeline.parse(config(tmp_path)).run(spark)
-    rows = spark.read.parquet(str(tmp_path / "repo" / "v00000000")).collect()
+    rows = Repository(spark, str(tmp_path / "repo")).read().collect()
     assert {(r.p, r.o) for r in rows} == {("http://e/renamed", "1"), ("http://e/renamed", "2")} and all(r.s_kind == "iri" for r in rows)
     p = Pipeline.parse(config(tmp_path))
     p.start(spark, str(tmp_path / "cp"), once=True).awaitTermination(120)
@@ -64,6 +65,79 @@ def test_pipeline_in_batch_and_on_a_stream(spark, tmp_path):
         p.move(Status.RUNNING)
 
 
+RAN = []
+
+
+@component(OUTPUTS, "Seen")
+def _seen(q, s):
+    RAN.append(sorted(r.model_id.rpartition("/")[2] for r in q.select("model_id").distinct().collect()))
+
+
+def test_changes_are_remembered_between_batches_and_over_a_restart(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    raw = {
+        "name": "changes",
+        "input": {"name": "ArchiveFileIn", "config": {"archive-root-dir": str(tmp_path / "in")}, "adapter": {"name": "RdfAdapter"}},
+        "transformers": [{"name": "Any:ChangeDetectionFilter"}],
+        "outputs": [{"name": "Seen"}],
+    }
+    RAN.clear()
+    for n, value in enumerate(["1", "1", "2", "1"]):
+        (tmp_path / "in" / f"{n}.nq").write_text(f'<http://e/a> <http://e/p> "{value}" .\n')
+        p = Pipeline.parse(raw)  # each start is a restart from the checkpoint
+        p.start(spark, str(tmp_path / "cp"), once=True).awaitTermination(120)
+        assert p.query.exception() is None and p.counts["in"] == 1
+    assert RAN == [["0.nq"], [], ["2.nq"], ["3.nq"]]
+
+
+def test_state_tables_merge_and_replay(spark, tmp_path):
+    state = state_table.StateTable(spark, str(tmp_path / "s"))
+    ddl = "member_id string, version_of string, ts timestamp_ntz, arrival_seq long"
+    for n in range(20):
+        members = spark.createDataFrame([(f"m{n % 3}", "v", pd.Timestamp("2024-01-01") + pd.Timedelta(hours=n * 7 % 5), n)], ddl)
+        for _ in range(2):  # run again as after a failure
+            passed = state_table.exactly_once(members, state, n, arrival="arrival_seq").count()
+            assert passed == (n < 3)
+    assert len(state.tables(99)) < 20 and state.before(99, spark.createDataFrame([("m1",), ("x",)], "key string")).collect() == [("m1", "1")]
+    later, best = state_table.StateTable(spark, str(tmp_path / "l")), None
+    for n in range(6):
+        hours = n * 7 % 5
+        members = spark.createDataFrame([("m", "v", pd.Timestamp("2024-01-01") + pd.Timedelta(hours=hours), n)], ddl)
+        assert state_table.latest_state(members, later, n, arrival="arrival_seq").count() == (best is None or hours > best)
+        best = max(hours, best if best is not None else hours)
+
+
+def test_an_error_halts_and_can_be_resumed(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.nq").write_text("broken\n")
+    m = Manager(spark, str(tmp_path / "cp"))
+    m.create({"name": "bad", "input": {"name": "ArchiveFileIn", "config": {"archive-root-dir": str(tmp_path / "in")}, "adapter": {"name": "RdfAdapter"}}, "outputs": [{"name": "NoopOut"}]})
+    q = m.start("bad")
+    with pytest.raises(Exception, match="not a statement"):
+        q.awaitTermination(120)
+    assert m.statuses() == {"bad": "HALTED"}
+    (tmp_path / "in" / "a.nq").write_text("<a:a> <b:b> <c:c> .\n")
+    again = m.resume("bad")
+    again.processAllAvailable()
+    assert m.statuses() == {"bad": "RUNNING"} and m.counts("bad") == {"in": 1, "out": 1}
+    m.delete("bad")
+
+
+def test_repository_waits_for_a_batch(spark, tmp_path):
+    now = [1e12]
+    repo = Repository(spark, str(tmp_path / "r"), lambda: now[0])
+    model = lambda n, v: spark.createDataFrame([(f"m{n}", None, f"http://e/{n}", "iri", "http://e/p", v, "literal", None, None)], SCHEMA)
+    now[0] = 0
+    assert repo.add(model(1, "a"), 0, size=2, timeout=1e9) is None and repo.read().count() == 0
+    assert repo.add(model(1, "a"), 0, size=2, timeout=1e9) is None  # the same micro-batch again
+    assert repo.add(model(2, "b"), 1, size=2, timeout=1e9) == "v00000000" and repo.read().count() == 2
+    assert repo.add(model(1, "c"), 2, size=9, timeout=1e9) is None
+    now[0] = 1e12
+    assert repo.add(model(3, "d"), 3, size=9) == "v00000001"
+    assert sorted((r.s[-1], r.o) for r in repo.read().collect()) == [("1", "c"), ("2", "b"), ("3", "d")]
+    assert sorted((r.s[-1], r.o) for r in stores.upsert(model(1, "a"), model(1, "z")).collect()) == [("1", "z")]
+
+
 def test_settings_and_registry(spark, tmp_path):
     s = Settings({"auth": {"Api-Key": "k"}, "urls": ["a", "b"], "flag": True})
     assert s.get("AUTH.apikey") == "k" and s.list("urls") == ["a", "b"] and s.flag("flag")
@@ -84,6 +158,9 @@ def test_settings_and_registry(spark, tmp_path):
     assert later.restore() == ["kept"] and later.delete("kept") and Manager(spark, "", str(tmp_path / "saved")).restore() == []
     assert m.statuses() == {"copy": "INIT"} and m.delete("copy") and not m.delete("copy")
     assert "LdesClient" in catalog()["inputs"] and "RmlAdapter" in catalog()["adapters"]
+    assert "HttpEnricher" in catalog()["transformers"] and "AmqpOut" in catalog()["outputs"]
+    with pytest.raises(ValueError, match="unknown component"):
+        find(OUTPUTS, "XNoopOut")
 
 
 def test_frame(spark):
