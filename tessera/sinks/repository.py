@@ -20,7 +20,7 @@ from tessera.operators.quads import COLUMNS, SCHEMA
 from tessera.sinks import stores
 
 BUCKETS = 64
-_MANIFEST = "_manifest.json"
+_MANIFEST = "manifest.json"
 
 
 def _bucket(subject: str = "s"):

@@ -86,6 +86,10 @@ def select_rows(quads: DataFrame, query: str, types: Mapping[str, str] | None =
     return found.select(*[cast(c).alias(c) for c in cols])
 
 
+#: Characters of a key of text in the table that rows are taken from.
+KEY_LENGTH = 4000
+
+
 def rdb_out(rows: DataFrame, url: str, table: str, properties: Mapping[str, str], ignore_duplicates: bool = False, keys: Sequence[str] = (), batch_size: int = 1000) -> None:
     """Append rows by JDBC. With ``ignore_duplicates`` rows whose ``keys`` are in the table, or repeat, are left out.
 
@@ -96,7 +100,10 @@ def rdb_out(rows: DataFrame, url: str, table: str, properties: Mapping[str, str]
         rows.write.option("batchsize", batch_size).jdbc(url, table, "append", dict(properties))
         return
     staged = f"{table}_new_{uuid.uuid4().hex[:12]}"
-    rows.dropDuplicates(list(keys) or None).write.option("batchsize", batch_size).jdbc(url, staged, "overwrite", dict(properties))
+    # as text of any length, keys couldn't be compared in some databases
+    comparable = ", ".join(f"`{k}` VARCHAR({KEY_LENGTH})" for k, kind in rows.dtypes if k in keys and kind == "string")
+    fresh = rows.dropDuplicates(list(keys) or None).write.option("batchsize", batch_size)
+    (fresh.option("createTableColumnTypes", comparable) if comparable else fresh).jdbc(url, staged, "overwrite", dict(properties))
     try:
         _execute(rows.sparkSession, url, properties, insert_sql(table, rows.columns, staged, keys))
     finally:

@@ -367,6 +367,7 @@ def test_times_keep_the_wall_clock(spark):
 def test_tables_by_jdbc(spark):
     url, driver = "jdbc:derby:memory:out;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
     rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2)], "k string, n int")
+    stores._execute(spark, url, driver, 'CREATE TABLE t ("k" VARCHAR(100), "n" INT)')
     stores.rdb_out(rows.limit(1), url, "t", driver)
     stores.rdb_out(rows, url, "t", driver, ignore_duplicates=True, keys=["k"])
     assert sorted((r.k or r.K, r.n) for r in spark.read.jdbc(url, "t", properties=driver).toDF("k", "n").collect()) == [("a", 1), ("b", 2)]
