@@ -26,7 +26,7 @@ def mix_targets(counted: DataFrame) -> dict[str, dict[str, float]]:
 def with_topics(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """The columns in ``keep`` with n_tokens and topic."""
     sized = docs.withColumn("n_tokens", mixing.n_tokens(F.col("text").cast("string")))
-    return topics.assign(sized, topics.fit(docs), (*keep, "n_tokens"))
+    return topics.with_topics(sized, (*keep, "n_tokens"))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -432,24 +432,24 @@ def test_topics_cut_across_languages(spark):
         langs.append(lang)
         wanted.append(topic)
     docs = make(spark, [*texts, None, "", "??? !", "x " * 100_000], [*langs, "x", None, "y", "z"])
-    model = topics.fit(docs.repartition(5), 4)
-    got = {r.doc_id: r.topic for r in topics.assign(docs, model, ("doc_id", "lang", "k")).collect()}
+    model, bags = topics.fit(docs.repartition(5), 4, ("doc_id", "lang", "k"))
+    got = {r.doc_id: r.topic for r in topics.assign(bags, model).collect()}
     assert len(got) == 604 and got[600] is None and got[601] is None and got[602] is None
     for t in range(4):  # one topic for the most part, in each language
         for lang in "xyz":
             found = Counter(got[i] for i in range(600) if wanted[i] == t and langs[i] == lang)
             assert found.most_common(1)[0][1] > 0.9 * sum(found.values())
     assert len({got[i] for i in range(600)}) == 4
-    again = topics.fit(docs.repartition(3), 4)
+    again, _ = topics.fit(docs.repartition(3), 4)
     assert np.array_equal(again.centres, model.centres)
     # one round by brute force: each centre is the direction of its members' vectors less their languages' means
-    vectors = {i: (model.bag(t), model.group(x)) for i, (t, x) in enumerate(zip(texts, langs, strict=True))}
     dense = np.zeros((len(texts), len(model.vocabulary)))
-    for i, (bag, group) in vectors.items():
-        dense[i, bag] = model.vector(bag)
-        dense[i] -= model.means[group]
+    for i, (t, x) in enumerate(zip(texts, langs, strict=True)):
+        bag = model.bag(t)
+        dense[i, bag] = model.weights[bag] / np.linalg.norm(model.weights[bag])
+        dense[i] -= model.means[model.group(x)]
     assert all(got[i] == f"t{int((model.centres @ dense[i]).round(9).argmax())}" for i in range(600))
-    assert topics.fit(docs.limit(0)) is None and topics.assign(docs.limit(3), None, ("doc_id",)).where("topic IS NULL").count() == 3
+    assert topics.fit(docs.limit(0)) == (None, None) and topics.with_topics(docs.where("doc_id >= 600 AND doc_id < 602"), ("doc_id",)).where("topic IS NULL").count() == 2
 
 
 def test_mixing_by_brute_force(spark):
