@@ -78,4 +78,5 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     fits = hashed.join(ruled, "prefix").where(F.col("digest") == F.col("rule_digest"))
     best = fits.groupBy("host", "path").agg(F.max(F.struct(F.char_length("rule").alias("n"), "rule", "ruled")).alias("m"))
     best = stash(best.select("host", "path", F.col("m.rule").alias("rule"), F.col("m.ruled").alias("ruled")), "url-rules")
-    return parsed.join(best, ["host", "path"], "left").select(id_column, "host", "path", "rule", F.coalesce("ruled", F.lit(default)).alias("verdict"))
+    # as many rows as there are different ruled URLs: never sent whole to every executor
+    return parsed.join(best.hint("merge"), ["host", "path"], "left").select(id_column, "host", "path", "rule", F.coalesce("ruled", F.lit(default)).alias("verdict"))
