@@ -40,11 +40,11 @@ def fetcher(options: Mapping[str, str]) -> Callable[[str, str, str | None, list[
     return fetch
 
 
-def http_enrich(quads: DataFrame, fetch: Callable[[str, str, str | None, list[str]], tuple[int, str, str]], url_path: str, **paths: str) -> DataFrame:
+def http_enrich(quads: DataFrame, fetch: Callable[[str, str, str | None, list[str]], tuple[int, str, str]], url_path: str, one_task: bool = False, **paths: str | None) -> DataFrame:
     """Unite each model with what its URL returns.
 
     ``fetch(method, url, body, headers)`` gives (status, mime type, content). Each different request
-    is made once. Failures and statuses other than 2xx leave a model as it is.
+    is made once, by ``one_task`` where a rate limit has to hold for all. Failures and statuses other than 2xx leave a model as it is.
     """
     wanted = requests_of(quads, url_path, **paths)
     keys = ["method", "url", "body", "headers"]
@@ -62,7 +62,8 @@ def http_enrich(quads: DataFrame, fetch: Callable[[str, str, str | None, list[st
             cols = list(zip(*rows, strict=True)) or [()] * len(COLUMNS)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=list(COLUMNS))
 
-    answers = wanted.select(key.alias("k"), *keys).dropDuplicates(["k"]).transform(map_batches, run, SCHEMA).withColumnRenamed("model_id", "k")
+    asked = wanted.select(key.alias("k"), *keys).dropDuplicates(["k"])
+    answers = (asked.coalesce(1) if one_task else asked).transform(map_batches, run, SCHEMA).withColumnRenamed("model_id", "k")
     added = wanted.select("model_id", key.alias("k")).join(answers, "k").drop("k")
     return as_set(union(quads, added))
 

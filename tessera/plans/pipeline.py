@@ -24,6 +24,8 @@ from tessera.plans import rml, sparql
 from tessera.sinks import stores, text
 from tessera.sinks.repository import Repository
 from tessera.sources import json_adapters, ldes, messages, rdf_text
+from tessera.sources.contexts import CAPACITY, RemoteContexts
+from tessera.sources.http import limited
 from tessera.sources.schedule import trigger_interval
 from tessera.streaming import state_table
 from tessera.streaming.state_table import StateTable
@@ -180,12 +182,14 @@ def _amqp_in(spark: SparkSession, s: Settings, streaming: bool) -> DataFrame:
 
 @component(ADAPTERS, "RdfAdapter")
 def _rdf(df: DataFrame, s: Settings) -> DataFrame:
-    return rdf_text.adapt(df)
+    """Contexts that JSON-LD names are fetched and kept, max-jsonld-cache-capacity at once."""
+    return rdf_text.adapt(df, RemoteContexts(s.values, s.number("max-jsonld-cache-capacity", CAPACITY)))
 
 
 @component(ADAPTERS, "JsonToLdAdapter")
 def _json(df: DataFrame, s: Settings) -> DataFrame:
-    return json_adapters.json_to_ld(df, s.get("context") or s.need("core-context"), force=s.flag("force-content-type"))
+    remote = RemoteContexts(s.values, s.number("max-jsonld-cache-capacity", CAPACITY))
+    return json_adapters.json_to_ld(df, s.get("context") or s.need("core-context"), remote, force=s.flag("force-content-type"))
 
 
 @component(ADAPTERS, "NgsiV2ToLdAdapter")
@@ -228,7 +232,7 @@ def _geojson(q: DataFrame, s: Settings) -> DataFrame:
 def _enriched(q: DataFrame, s: Settings) -> DataFrame:
     """Unite each model with what the URL at the end of a property path answers."""
     paths = {"body_path": s.get("body-property-path"), "header_path": s.get("header-property-path"), "method_path": s.get("http-method-property-path")}
-    return enrich.http_enrich(q, enrich.fetcher(s.values), s.need("url-property-path"), **paths)
+    return enrich.http_enrich(q, enrich.fetcher(s.values), s.need("url-property-path"), limited(s.values), **paths)
 
 
 @component(TRANSFORMERS, "ChangeDetectionFilter")

@@ -17,7 +17,7 @@ from tessera.operators.quads import COLUMNS, as_set, nquads_line, union
 from tessera.operators.versions import timestamps
 from tessera.plans import sparql
 from tessera.sinks.text import EXTENSIONS, serialise
-from tessera.sources.http import Request, executor_from
+from tessera.sources.http import Request, executor_from, limited
 
 # paths and names
 
@@ -170,7 +170,8 @@ def update_text(quads: DataFrame, delete: str | None, graph: str | None = None,
 
 
 def http_out(contents: DataFrame, url: str, mime_type: str, options: Mapping[str, str] | None = None, continue_on_fail: bool = True) -> DataFrame:
-    """POST each (model_id, content); gives (model_id, status), -1 for no answer. Empty contents are skipped."""
+    """POST each (model_id, content); gives (model_id, status), -1 for no answer. Empty contents are skipped.
+    With a rate limit one task sends them all."""
     chosen = dict(options or {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +190,8 @@ def http_out(contents: DataFrame, url: str, mime_type: str, options: Mapping[str
                 done.append((m, status))
             yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int32())], names=["model_id", "status"])
 
-    return contents.select("model_id", "content").transform(map_batches, run, "model_id string, status int")
+    sent = contents.select("model_id", "content")
+    return (sent.coalesce(1) if limited(chosen) else sent).transform(map_batches, run, "model_id string, status int")
 
 
 def kafka_rows(contents: DataFrame, mime_type: str, quads: DataFrame | None = None, key_path: str | None = None) -> DataFrame:

@@ -141,6 +141,11 @@ def with_rate_limit(execute: Executor, limit: int = 500, period: float = 60.0, s
     return run
 
 
+def limited(options: Mapping[str, str]) -> bool:
+    """Whether requests have a rate limit. It holds in one process, so such requests are left to one task."""
+    return options.get("rate-limit.enabled", "false").lower() == "true"
+
+
 def follow_redirects(execute: Executor, request: Request) -> Response:
     """The first answer that isn't a redirect; a loop raises."""
     seen = {request.url}
@@ -199,7 +204,7 @@ def executor_from(options: Mapping[str, str]) -> Executor:
     if options.get("connector.token-url"):
         plain = run
         run = connector_executor(plain, options.get("connector.public-url", ""), options.get("connector.url", ""), lambda: connector_token(plain, options), options.get("connector.header", "Authorization"))
-    if options.get("rate-limit.enabled", "false").lower() == "true":
+    if limited(options):
         run = with_rate_limit(run, int(options.get("rate-limit.limit", 500)), float(options.get("rate-limit.period", 60)))
     if options.get("retries.enabled", "true").lower() == "true":
         statuses = tuple(int(x) for x in options.get("retries.statuses-to-retry", "").split(",") if x.strip())

@@ -17,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 
 from tessera.operators.closure import reach, subgraph
 from tessera.operators.quads import COLUMNS
-from tessera.sources.http import Executor, Request, Response, executor_from, follow_redirects
+from tessera.sources.http import Executor, Request, Response, executor_from, follow_redirects, limited
 from tessera.sources.rdf_text import parse
 from tessera.sources.spool import Spool
 from tessera.vocabulary import DCT, LDES, RDF_TYPE, TREE
@@ -232,6 +232,14 @@ class _Urls(InputPartition):
         self.urls = urls
 
 
+def timestamp_path(execute: Executor, options: Mapping[str, str]) -> str | None:
+    """The option of that name; ``auto`` takes what the event stream says of itself."""
+    path = options.get("timestamp-path")
+    if path != "auto":
+        return path
+    return stream_properties(execute, options["urls"].split(",")[0].strip(), options.get("source-format", "application/n-quads")).get("timestampPath")
+
+
 def client_status(offset: Mapping[str, str]) -> str:
     """What the client does, by a stream's offset: it replicates until every node has been visited once,
     then synchronises, and is done when no node can change any more."""
@@ -243,7 +251,7 @@ class LdesReader(DataSourceReader):
     """Batch: the driver follows relations to find the pages, some at a time; executors fetch them again and give their members."""
 
     def __init__(self, options: dict[str, str]):
-        self.options = options
+        self.options, self.path = options, options.get("timestamp-path")
 
     def pages(self) -> list[str]:
         """Every page that relations lead to, found level by level with the requests of a level side by side."""
@@ -260,14 +268,17 @@ class LdesReader(DataSourceReader):
         return seen
 
     def partitions(self) -> list[InputPartition]:
+        self.path = timestamp_path(executor_from(self.options), self.options)
         urls, size = self.pages(), max(1, int(self.options.get("pages-per-task", 16)))
+        if limited(self.options):
+            size = max(1, len(urls))
         return [_Urls(urls[i : i + size]) for i in range(0, len(urls), size)] or [_Urls([])]
 
     def read(self, partition: _Urls) -> Iterator[tuple]:
         execute = executor_from(self.options)
         for url in partition.urls:
             page = fetch_page(execute, url, self.options.get("source-format", "application/n-quads"))
-            yield from _rows(page, page.members(self.options.get("timestamp-path")))
+            yield from _rows(page, page.members(self.path))
 
 
 class LdesStream(SimpleDataSourceStreamReader):
@@ -291,10 +302,10 @@ class LdesStream(SimpleDataSourceStreamReader):
         if (kept := self.spool.get(start["n"])) is not None:
             return iter(kept[0]), kept[1]
         execute, f = executor_from(self.options), Frontier(json.loads(start["frontier"]))
-        limit, rows, visits = int(self.options.get("pages-per-batch", 32)), [], 0
+        limit, rows, visits, path = int(self.options.get("pages-per-batch", 32)), [], 0, timestamp_path(execute, self.options)
         while visits < limit and (url := f.due(self.clock())) is not None:
             page = fetch_page(execute, url, self.options.get("source-format", "application/n-quads"), f.nodes[url]["etag"])
-            rows += _rows(page, f.visited(page, self.clock(), self.options.get("timestamp-path")))
+            rows += _rows(page, f.visited(page, self.clock(), path))
             visits += 1
         if not visits:
             return iter(()), start
@@ -312,7 +323,7 @@ class LdesStream(SimpleDataSourceStreamReader):
 class LdesDataSource(DataSource):
     """``spark.read.format("ldes")`` and ``spark.readStream.format("ldes")``.
 
-    Options: urls (comma-separated), source-format (mime type), timestamp-path, pages-per-task,
+    Options: urls (comma-separated), source-format (mime type), timestamp-path (a predicate or ``auto``), pages-per-task,
     crawl-threads, pages-per-batch, spool, and the options of the HTTP executor.
     """
 

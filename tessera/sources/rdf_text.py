@@ -149,7 +149,7 @@ class JsonLd:
     lists, sets, graphs, reverse properties and language maps."""
 
     def __init__(self, remote: Mapping[str, Any] | None = None, base: str = ""):
-        self.remote, self.base, self.count, self.rows = remote or {}, base, 0, []
+        self.remote, self.base, self.count, self.rows = remote if remote is not None else {}, base, 0, []
 
     def blank(self) -> tuple:
         self.count += 1

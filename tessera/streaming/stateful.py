@@ -65,10 +65,30 @@ class _Changed(StatefulProcessor):
         pass
 
 
-def exactly_once(members: DataFrame, key: str = "member_id", watermark: tuple[str, str] | None = None) -> DataFrame:
-    """Each member once; with a watermark (column, delay) the state is bounded by the delay."""
+class _First(StatefulProcessor):
+    """Remembers that a key has been met; passes its first row."""
+
+    def __init__(self, arrival: str):
+        self.arrival = arrival
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("met", StructType([StructField("v", StringType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows), ignore_index=True).sort_values(self.arrival, kind="stable")
+        met = self.state.exists()
+        self.state.update(("1",))
+        yield frame.iloc[: 0 if met else 1]
+
+    def close(self) -> None:
+        pass
+
+
+def exactly_once(members: DataFrame, key: str = "member_id", watermark: tuple[str, str] | None = None, arrival: str = "arrival_seq") -> DataFrame:
+    """The first arrival of each member; with a watermark (column, delay) any one of those in a micro-batch,
+    and the state is bounded by the delay."""
     if watermark is None:
-        return members.dropDuplicates([key])
+        return members.groupBy(key).transformWithStateInPandas(_First(arrival), members.schema, "Append", "None")
     return members.withWatermark(*watermark).dropDuplicatesWithinWatermark([key])
 
 

@@ -1,5 +1,6 @@
 """IRIs of the public vocabularies in use."""
 
+# Names that the vocabularies define.
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 TREE = "https://w3id.org/tree#"

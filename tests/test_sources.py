@@ -10,7 +10,7 @@ from tessera.operators.quads import SCHEMA
 from tessera.plans import rml
 from tessera.sinks import stores, text
 from tessera.sources import http as client
-from tessera.sources import json_adapters, ldes, messages, rdf_text, schedule
+from tessera.sources import contexts, json_adapters, ldes, messages, rdf_text, schedule
 from tessera.vocabulary import GEOJSON, TREE
 
 
@@ -202,6 +202,39 @@ def test_queues_and_polls_give_a_restart_what_they_took(tmp_path, server):
     assert timed.read({"n": 0})[1] == {"n": 1}
 
 
+def test_contexts_are_fetched_once_and_the_oldest_forgotten():
+    asked = []
+
+    def fake(r):
+        asked.append(r.url)
+        return client.Response(404 if r.url.endswith("none") else 200, {}, b'{"@context": {"n": "http://e/n"}}', r.url)
+
+    contexts.clear()
+    remote = contexts.RemoteContexts(capacity=2, given={"urn:own": '{"@context": {"n": "http://own/n"}}'}, execute=fake)
+    rows = [rdf_text.parse_json_ld('{"@context": "%s", "n": 1}' % c, remote) for c in ("http://a", "http://a", "urn:own")]
+    assert [r[0][3] for r in rows] == ["http://e/n", "http://e/n", "http://own/n"] and asked == ["http://a"]
+    for name in ("http://b", "http://c", "http://a"):
+        assert remote[name]
+    assert asked == ["http://a", "http://b", "http://c", "http://a"]
+    with pytest.raises(ValueError, match="answered 404"):
+        remote["http://none"]
+    with pytest.raises(ValueError, match="not registered"):
+        rdf_text.parse_json_ld('{"@context": "urn:other", "n": 1}', remote)
+
+
+def test_rate_limits_hold_for_all_requests(spark, server):
+    base, _ = server
+    rows = spark.range(8).selectExpr("cast(id AS string) AS model_id", "'x' AS content").repartition(4)
+    assert stores.http_out(rows, base + "/in", "text/plain", {"rate-limit.enabled": "true"}).rdd.getNumPartitions() == 1
+
+
+def test_timestamp_path_from_the_stream():
+    text_ = f"<http://s> a <{ldes.LDES}EventStream> ; <{ldes.LDES}timestampPath> <http://e/t> ."
+    run = lambda r: client.Response(200, {"Content-Type": "text/turtle"}, text_.encode(), r.url)
+    assert ldes.timestamp_path(run, {"timestamp-path": "auto", "urls": "http://s"}) == "http://e/t"
+    assert ldes.timestamp_path(run, {"timestamp-path": "http://own"}) == "http://own" and ldes.timestamp_path(run, {}) is None
+
+
 def test_client_status():
     f = ldes.Frontier()
     f.add("u")

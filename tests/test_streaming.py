@@ -4,10 +4,11 @@ import pandas as pd
 import pytest
 
 from tessera.operators import versions
-from tessera.plans.pipeline import OUTPUTS, Manager, Pipeline, Settings, Status, catalog, component, find, resolve
+from tessera.plans.pipeline import OUTPUTS, Manager, Pipeline, Settings, Status, catalog, component, filtered, find, member_filters, resolve
 from tessera.sinks import stores, text
 from tessera.sinks.repository import Repository
 from tessera.operators.quads import SCHEMA
+from tessera.sources import ldes
 from tessera.streaming import state_table, stateful
 
 SCHEMA_IN = "member_id long, version_of long, ts timestamp_ntz, arrival_seq long, hash string"
@@ -109,6 +110,37 @@ def test_state_tables_merge_and_replay(spark, tmp_path):
         best = max(hours, best if best is not None else hours)
 
 
+def member_rows(spark, rows):
+    """Rows as the ldes source gives them: (member, entity, time)."""
+    out = []
+    for member, entity, time in rows:
+        own = [("http://purl.org/dc/terms/isVersionOf", entity, "iri", None), ("http://e/t", time, "literal", None)]
+        out += [(member, time, "http://page", member, None, member, "iri", p, o, k, dt, None) for p, o, k, dt in own]
+    return spark.createDataFrame(out, ldes._SCHEMA)
+
+
+def test_member_filters_of_the_client(spark, tmp_path):
+    day = lambda n: f"2024-01-0{n}T00:00:00Z"
+    batches = [[("http://e/a1", "http://e/a", day(1)), ("http://e/a3", "http://e/a", day(3))], [("http://e/a3", "http://e/a", day(3)), ("http://e/a2", "http://e/a", day(2)), ("http://e/a4", "http://e/a", day(4))]]
+
+    def passed(config, name):
+        out = []
+        for n, rows in enumerate(batches):
+            s = Settings(config)
+            s.batch = n
+            got = filtered(member_rows(spark, rows), s, lambda kind: state_table.StateTable(spark, str(tmp_path / name / kind)))
+            out.append(sorted({(r.model_id, r.s) for r in got.collect()}))
+        return out
+
+    a = lambda n: f"http://e/a{n}"
+    assert passed({}, "once") == [[(a(1), a(1)), (a(3), a(3))], [(a(2), a(2)), (a(4), a(4))]]
+    assert passed({"enable-exactly-once": "false"}, "all") == [[(a(1), a(1)), (a(3), a(3))], [(a(2), a(2)), (a(3), a(3)), (a(4), a(4))]]
+    latest = passed({"materialisation": {"enabled": "true"}}, "latest")
+    assert latest == [[(a(1), "http://e/a"), (a(3), "http://e/a")], [(a(4), "http://e/a")]]
+    with pytest.raises(ValueError):
+        member_filters(Settings({"enable-exactly-once": "true", "materialisation.enabled": "true"}))
+
+
 def test_an_error_halts_and_can_be_resumed(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.nq").write_text("broken\n")
