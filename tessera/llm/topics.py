@@ -26,8 +26,8 @@ from tessera.llm.storage import stash
 
 TOPICS = 8
 VOCABULARY = 4096
-#: Share of the documents that hold a word of the vocabulary at most, and documents at least.
-MOST, LEAST = 0.2, 5
+#: Share of the documents that hold a word of the vocabulary at most and at least, and documents at least.
+MOST, RARE, LEAST = 0.2, 1e-4, 5
 #: Languages with a mean of their own, the largest; all others share one.
 LANGUAGES = 50
 ROUNDS = 6
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, topics: int = TOPICS, keep: tuple[str, ...] = ()) -> tu
     texts = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text"), F.col("lang").cast("string").alias("__lang"))
     n = texts.count()
     counts = texts.select("__text").transform(map_batches, _count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    band = counts.where((F.col("n") >= min(LEAST, max(1, n // 20))) & (F.col("n") <= max(MOST * n, 1))).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    band = counts.where((F.col("n") >= max(RARE * n, min(LEAST, max(1, n // 20)))) & (F.col("n") <= max(MOST * n, 1))).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     if not band:
         return None, None
     langs = texts.groupBy("__lang").count().where("__lang IS NOT NULL").orderBy(F.desc("count"), "__lang").limit(LANGUAGES).collect()
@@ -165,7 +165,10 @@ def fit(docs: DataFrame, topics: int = TOPICS, keep: tuple[str, ...] = ()) -> tu
     total, members = _summed(model, bags, len(languages) + 1, False)
     model.means = total / np.maximum(members.sum(axis=1, keepdims=True), 1)
 
-    seeds = bags.orderBy(F.xxhash64("__bag", F.lit(5)), "__grp").limit(SEEDS).collect()
+    # tasks offer few more than are wanted, however many tasks there are
+    draw = F.pmod(F.xxhash64("__bag", F.lit(6)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    offered = bags.where(draw < min(1.0, 4 * SEEDS / max(1, n)))
+    seeds = offered.orderBy(F.xxhash64("__bag", F.lit(5)), "__grp").limit(SEEDS).collect() or bags.limit(1).collect()
     owner, place, values = model.vectors([np.frombuffer(r["__bag"], dtype=np.uint16) for r in seeds])
     rest = -model.means[[r["__grp"] for r in seeds]]
     rest[owner, place] += values
