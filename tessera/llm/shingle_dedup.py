@@ -1,7 +1,11 @@
 """Near-duplicates by exact Jaccard similarity of five-word shingles.
 
-A text is the set of its shingles. Texts with one set are one member. All shingles have one order,
-common ones (as met in a sample) last; two sets of similarity 0.8 or more share one of their first
+A text is the set of its shingles. Texts with one set are one member. Members whose 64-bit SimHash
+of the set is the same or differs in at most 3 bits meet by anchor-point covering (see simhash) and
+are compared first. Similar sets may lie further apart than that, by some 10 bits at the limit, and
+no bounded radius holds all; so the members that covering hasn't joined go through a prefix filter.
+
+All shingles have one order, common ones (as met in a sample) last; two sets of similarity 0.8 or more share one of their first
 n - ceil(0.8 n) + 1 shingles, so members that meet at such a shingle are proposed, if their sizes
 and positions there leave similarity 0.8 possible, and no pair is missed. A set's parities over
 ``BITS`` classes of shingles differ from another's in at most as many places as the sets differ in
@@ -23,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.arrow import map_batches
+from tessera.llm import simhash
 from tessera.llm.components import connected_components
 from tessera.llm.simhash import _LOWER, SEED
 from tessera.llm.storage import stash
@@ -64,6 +69,15 @@ def parities(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount((shingles % np.uint64(BITS)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
 
 
+def fingerprint(shingles: np.ndarray) -> int:
+    """64-bit SimHash of a set, as a signed long: the bits that over half of its shingles have; 0 for none."""
+    counts = np.zeros(64, dtype=np.int64)
+    for lo in range(0, len(shingles), 65536):
+        some = shingles[lo : lo + 65536].astype("<u8")
+        counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(shingles), bitorder="little").view("<i8")[0])
+
+
 def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first shingles of a set, of which any set of enough similarity holds one among its own first."""
     n = len(shingles)
@@ -97,7 +111,7 @@ def _marking(common: np.ndarray, counts: np.ndarray) -> Callable:
         for batch in batches:
             sets = [shingle_set(x) for x in batch.column(1).to_pylist()]
             firsts = pa.array([prefix(s, common, counts).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([mark_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), firsts, pa.array([parities(s) for s in sets], pa.binary())], names=["doc_id", "mark", "n", "firsts", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([mark_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), firsts, pa.array([parities(s) for s in sets], pa.binary()), pa.array([fingerprint(s) for s in sets], pa.int64())], names=["doc_id", "mark", "n", "firsts", "bits", "fp"])
 
     return run
 
@@ -197,6 +211,15 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), names=["a", "b"]).filter(pa.array(keep))
 
 
+def _covered(cards: DataFrame) -> DataFrame:
+    """(a, b): marks whose fingerprints are one or linked by their anchors, a spanning forest of them."""
+    heads = stash(cards.groupBy("fp").agg(F.min("mark").alias("head")), "shingle-heads")
+    head = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}"))
+    apart = simhash.links(heads.select("fp")).distinct().join(head("a"), "a").join(head("b"), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    same = cards.join(heads, "fp").where("mark != head").select(F.col("head").alias("a"), F.col("mark").alias("b"))
+    return apart.unionByName(same)
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, members: DataFrame, cards: DataFrame) -> DataFrame:
     """The pairs of marks whose whole sets have enough similarity."""
     card = lambda c: cards.select(F.col("mark").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
@@ -210,6 +233,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, members: DataFrame, cards: Dat
     return pairs.join(one, "a").join(two, "b").select("a", "b", "s_a", "s_b").transform(map_batches, _confirm, "a long, b long")
 
 
+def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(mark, doc_id, root) of every member."""
+    roots = connected_components(links).withColumnRenamed("v", "mark")
+    return stash(members.join(roots, "mark", "left").select("mark", "doc_id", F.coalesce("root", "mark").alias("root")), "shingle-roots")
+
+
 def near_duplicates(docs: DataFrame, crowd: int = CROWD, hubs: int = HUBS) -> DataFrame:
     """(doc_id, mark, root) for every row of ``docs``: rows have one root if and only if linked.
 
@@ -219,19 +248,20 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD, hubs: int = HUBS) -> Da
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     common, counts = _common(docs)
     bodies = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("body"))
-    marks = stash(bodies.transform(map_batches, _marking(common, counts), "doc_id long, mark long, n int, firsts array<long>, bits binary"), "shingle-marks")
+    marks = stash(bodies.transform(map_batches, _marking(common, counts), "doc_id long, mark long, n int, firsts array<long>, bits binary, fp long"), "shingle-marks")
     members = stash(marks.groupBy("mark").agg(F.min("doc_id").alias("doc_id")), "shingle-members")
-    cards = stash(marks.join(members, ["mark", "doc_id"], "left_semi").select("mark", "n", "bits").dropDuplicates(["mark"]), "shingle-cards")
-    own = marks.join(members, ["mark", "doc_id"], "left_semi").select("mark", "n", F.posexplode("firsts").alias("pos", "h"))
-    first = stash(_met(own.withColumn("root", F.col("mark")), crowd, hubs), "shingle-pairs")
-    links = stash(_confirmed(stash(first.where("crowded IS NULL").select("a", "b").distinct(), "shingle-distinct-pairs"), docs, members, cards), "shingle-links")
-    roots = connected_components(links)
+    cards = stash(marks.join(members, ["mark", "doc_id"], "left_semi").select("mark", "n", "bits", "fp").dropDuplicates(["mark"]), "shingle-cards")
+    links = stash(_confirmed(stash(_covered(cards), "shingle-covered"), docs, members, cards), "shingle-links")
+    rooted = _rooted(members, links)
+    own = marks.join(rooted, ["mark", "doc_id"]).select("mark", "n", "root", F.posexplode("firsts").alias("pos", "h"))
+    first = stash(_met(own, crowd, hubs), "shingle-pairs")
+    more = stash(first.where("crowded IS NULL").select("a", "b").distinct(), "shingle-distinct-pairs")
+    links = stash(links.unionByName(_confirmed(more, docs, members, cards)), "shingle-links")
+    rooted = _rooted(members, links)
     crowds = stash(first.where("crowded IS NOT NULL").select(F.col("crowded").alias("h")).distinct(), "shingle-crowds")
     if not crowds.isEmpty():
-        left = own.join(crowds, "h", "left_semi").join(roots.withColumnRenamed("v", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+        left = own.drop("root").join(crowds, "h", "left_semi").join(rooted.select("mark", "root"), "mark")
         more = stash(_met(left, crowd, None).select("a", "b").distinct(), "shingle-more-pairs")
         if not more.isEmpty():
-            links = stash(links.unionByName(_confirmed(more, docs, members, cards)), "shingle-links")
-            roots = connected_components(links)
-    rooted = stash(members.join(roots.withColumnRenamed("v", "mark"), "mark", "left").select("mark", F.coalesce("root", "mark").alias("root")), "shingle-roots")
-    return marks.select("doc_id", "mark").join(rooted, "mark").select("doc_id", "mark", "root")
+            rooted = _rooted(members, stash(links.unionByName(_confirmed(more, docs, members, cards)), "shingle-links"))
+    return marks.select("doc_id", "mark").join(rooted.select("mark", "root"), "mark").select("doc_id", "mark", "root")

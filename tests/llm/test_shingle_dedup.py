@@ -70,3 +70,20 @@ def test_stage_keeps_different_texts_of_one_id(spark, sf):
     docs = make(spark, [*texts, texts[1]]).withColumn("doc_id", corpus_pipeline.F.expr("CASE doc_id WHEN 3 THEN 9 WHEN 2 THEN 1 ELSE 1 END"))
     got = corpus_pipeline.drop_near_duplicates(spark, docs.unionByName(docs), sf).collect()
     assert sorted((r.doc_id, r.text) for r in got) == sorted((1, t) for t in texts)
+
+
+def test_covering_proposes_before_the_prefix_filter(spark, monkeypatch):
+    rng = random.Random(9)
+    words = prose(rng, 400).split()
+    bits = lambda t: shingle_dedup.fingerprint(shingle_dedup.shingle_set(t.encode()))
+    apart = lambda t: ((bits(t) ^ bits(" ".join(words))) & (2**64 - 1)).bit_count()
+    edits = [" ".join([*words[:i], "new", *words[i + 1 :]]) for i in range(len(words))]
+    close, far = next(t for t in edits if 0 < apart(t) <= 3), next(t for t in edits if apart(t) > 3)
+    texts = [" ".join(words), close, close.upper(), far, prose(rng, 400), "", None]
+    docs, met = make(spark, texts), shingle_dedup._met
+    monkeypatch.setattr(shingle_dedup, "_met", lambda rows, *_: met(rows.limit(0), 1, 1))
+    roots = [r.root for r in sorted(shingle_dedup.near_duplicates(docs).collect())]
+    assert roots[0] == roots[1] == roots[2] and roots[5] == roots[6] and len(set(roots)) == 4
+    monkeypatch.undo()
+    roots = [r.root for r in sorted(shingle_dedup.near_duplicates(docs).collect())]
+    assert roots[0] == roots[1] == roots[2] == roots[3] and len(set(roots)) == 3
