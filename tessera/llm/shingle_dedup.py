@@ -12,8 +12,11 @@ and positions there leave similarity 0.8 possible, and no pair is missed. A set'
 shingles; a pair that differs in too many is passed over, which loses none either. Each pair left
 is then compared on the whole sets.
 
-A shingle with many members first proposes pairs with a few hubs; afterwards it proposes all pairs
-that the confirmed links have not joined yet. The sample only sets the order, never a verdict.
+A shingle with many members first proposes pairs with a few hubs. What the confirmed links have not
+joined then is compared by parities where its members meet, so that only likely links become rows:
+a spanning forest of them, again in another order where one was refuted, until a round finds no new
+link; last, all likely pairs that are still apart. A pair that isn't likely is no link, so none is
+lost. The sample only sets the order, never a verdict.
 """
 
 from __future__ import annotations
@@ -122,6 +125,34 @@ def _possible(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray) ->
     return (NUM + DEN) * most >= NUM * (n1 + n2)
 
 
+def _array(column: pa.Array) -> np.ndarray:
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), -1)
+    return np.asarray(column).astype(np.int64)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of one or more whole groups of rows sorted by the first column. Rows of one group are held."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = tuple(_array(c) for c in batch.columns)
+        last = np.flatnonzero(cols[0] != cols[0][-1])
+        if held and held[-1][0][-1] != cols[0][0]:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held = []
+        if len(last):
+            cut = int(last[-1]) + 1
+            held.append(tuple(c[:cut] for c in cols))
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held = [tuple(c[cut:] for c in cols)]
+        else:
+            held.append(cols)
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def _propose(crowd: int, hubs: int | None) -> Callable:
     """Pairs of members of one shingle, whose rows (h, mark, n, pos, root) come sorted by h and mark.
 
@@ -159,24 +190,49 @@ def _propose(crowd: int, hubs: int | None) -> Callable:
         return pa.RecordBatch.from_arrays([pa.array([*ends[:, 0].tolist(), *nulls], pa.int64()), pa.array([*ends[:, 1].tolist(), *nulls], pa.int64()), pa.array([None] * len(ends) + crowded, pa.int64())], names=["a", "b", "crowded"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = tuple(np.asarray(c).astype(np.int64) for c in batch.columns)
-            last = np.flatnonzero(cols[0] != cols[0][-1])
-            if held and held[-1][0][-1] != cols[0][0]:
-                yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                held = []
-            if len(last):
-                cut = int(last[-1]) + 1
-                held.append(tuple(c[:cut] for c in cols))
-                yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                held = [tuple(c[cut:] for c in cols)]
-            else:
-                held.append(cols)
-        if held:
-            yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        for columns in _whole(batches):
+            yield from pairs(*columns)
+
+    return run
+
+
+def _likely(salt: int, every: bool) -> Callable:
+    """Pairs of a crowded shingle that have two roots and may be links by their parities.
+
+    Rows (h, mark, n, pos, root, bits) come sorted by h and mark. A pair that joins what earlier
+    pairs of the shingle haven't is returned, in an order that ``salt`` sets; all with ``every``.
+    """
+
+    def pairs(mark: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, label, size = np.unique(root, return_inverse=True, return_counts=True)
+        mixed = (mark.view(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+        order = np.argsort(mixed ^ (mixed >> np.uint64(29)), kind="stable")
+        left, right = [], []
+        # members of the largest part are only met by the others
+        for i in order[label[order] != np.argmax(size)].tolist():
+            other = np.flatnonzero(label != label[i])
+            other = other[_possible(n[i], pos[i], n[other], pos[other])]
+            apart = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            over = apart * (NUM + DEN) - (DEN - NUM) * (n[other] + n[i])
+            near = np.argsort(over, kind="stable")  # the likeliest first
+            for j in other[near[over[near] <= 0]].tolist():
+                if label[j] != label[i]:
+                    left.append(i)
+                    right.append(j)
+                    if not every:
+                        label[label == label[j]] = label[i]
+        return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, mark, *more in _whole(batches):
+            cuts = np.flatnonzero(np.diff(h)) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(h)], strict=True):
+                x, y = pairs(mark[s:e], *(c[s:e] for c in more))
+                x, y = mark[s:e][x], mark[s:e][y]
+                ends = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+                for lo in range(0, len(ends), 100_000):
+                    part = ends[lo : lo + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array(np.full(len(part), h[s]))], names=["a", "b", "h"])
 
     return run
 
@@ -259,9 +315,21 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD, hubs: int = HUBS) -> Da
     links = stash(links.unionByName(_confirmed(more, docs, members, cards)), "shingle-links")
     rooted = _rooted(members, links)
     crowds = stash(first.where("crowded IS NOT NULL").select(F.col("crowded").alias("h")).distinct(), "shingle-crowds")
-    if not crowds.isEmpty():
-        left = own.drop("root").join(crowds, "h", "left_semi").join(rooted.select("mark", "root"), "mark")
-        more = stash(_met(left, crowd, None).select("a", "b").distinct(), "shingle-more-pairs")
-        if not more.isEmpty():
-            rooted = _rooted(members, stash(links.unionByName(_confirmed(more, docs, members, cards)), "shingle-links"))
+    held = stash(own.select("h", "mark", "n", "pos").join(crowds, "h", "left_semi"), "shingle-crowded")
+    salt, every = 0, False
+    while not crowds.isEmpty():
+        left = stash(held.join(crowds, "h", "left_semi").join(rooted.select("mark", "root"), "mark"), "shingle-crowded-roots")
+        mixed = left.groupBy("h").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("h")
+        rows = left.join(mixed, "h", "left_semi").join(cards.select("mark", "bits"), "mark").select("h", "mark", "n", "pos", "root", "bits")
+        met = stash(rows.repartition("h").sortWithinPartitions("h", "mark").transform(map_batches, _likely(salt, every), "a long, b long, h long"), "shingle-likely-pairs")
+        new = stash(_confirmed(met.select("a", "b").distinct(), docs, members, cards), "shingle-new-links")
+        found = not new.isEmpty()
+        if found:
+            links = stash(links.unionByName(new), "shingle-links")
+            rooted = _rooted(members, links)
+        if every:
+            break
+        # forests whose links all hold are whole
+        crowds = stash(met.join(new, ["a", "b"], "left_anti").select("h").distinct(), "shingle-crowds")
+        salt, every = salt + 1, not found
     return marks.select("doc_id", "mark").join(rooted.select("mark", "root"), "mark").select("doc_id", "mark", "root")

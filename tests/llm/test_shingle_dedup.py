@@ -87,3 +87,21 @@ def test_covering_proposes_before_the_prefix_filter(spark, monkeypatch):
     monkeypatch.undo()
     roots = [r.root for r in sorted(shingle_dedup.near_duplicates(docs).collect())]
     assert roots[0] == roots[1] == roots[2] == roots[3] and len(set(roots)) == 3
+
+
+def test_proposals_of_a_large_group_do_not_grow_with_its_square(spark, monkeypatch):
+    rng = random.Random(11)
+    base, size = prose(rng, 100).split(), 200
+    texts = []
+    for i in range(size):  # most are apart from most others, and many are linked over a few
+        words = list(base)
+        for k in range(rng.randrange(1, 4)):
+            words[rng.randrange(len(words))] = f"n{i}_{k}"
+        texts.append(" ".join(words))
+    proposed, confirmed = [], shingle_dedup._confirmed
+    monkeypatch.setattr(shingle_dedup, "_confirmed", lambda pairs, *rest: proposed.append(pairs.count()) or confirmed(pairs, *rest))
+    low = {}
+    got = sorted(shingle_dedup.near_duplicates(make(spark, texts)).collect())
+    for r in got:
+        low.setdefault(r.root, r.doc_id)
+    assert [low[r.root] for r in got] == brute(texts) and sum(proposed) < 10 * size
