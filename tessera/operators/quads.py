@@ -2,11 +2,14 @@
 
 A model is a set of statements; every operator keeps models apart by having ``model_id`` in each
 of its keys. ``g`` is null for the default graph; ``o_dt`` and ``o_lang`` are set for literals only.
+
+Models of bounded size may also be held as rows, (model_id, statements): an array of statements
+without repeats, ``model_id`` in one row only. What is done within a model then needs no exchange.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +19,8 @@ from tessera.vocabulary import RDF_TYPE, XSD_STRING
 
 COLUMNS = ("model_id", "g", "s", "s_kind", "p", "o", "o_kind", "o_dt", "o_lang")
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
+#: Bytes of a table's files for each partition of the models that are made of it.
+PARTITION_BYTES = 1 << 20
 #: The type of a term column: value, kind ('iri', 'bnode', 'literal'), datatype, language.
 TERM = T.StructType([T.StructField(c, T.StringType()) for c in ("v", "k", "dt", "lang")])
 
@@ -60,6 +65,27 @@ def as_set(quads: DataFrame) -> DataFrame:
     return quads.select(*COLUMNS).dropDuplicates()
 
 
+def held(df: DataFrame) -> bool:
+    """Are the models held as rows?"""
+    return "statements" in df.columns
+
+
+def statements(df: DataFrame) -> DataFrame:
+    """Quads of models held as rows; quads stay as they are."""
+    return df.select("model_id", F.inline("statements")).select(*COLUMNS) if held(df) else df
+
+
+def distinct_statements(array: Column) -> Column:
+    """An array of statements, sorted, without repeats; ``array_distinct`` would compare each with each."""
+    others = lambda found: F.filter(found, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(found, i - 1)))
+    return F.get(F.transform(F.array(F.sort_array(array)), others), F.lit(0))
+
+
+def once(models: DataFrame, array: Column) -> DataFrame:
+    """Models held as rows with other statements. Exploding an array of one keeps what stands above from repeating the work."""
+    return models.select("model_id", F.explode(F.array(array)).alias("statements"))
+
+
 def union(*parts: DataFrame) -> DataFrame:
     out = parts[0].select(*COLUMNS)
     for p in parts[1:]:
@@ -79,13 +105,48 @@ def lift(df: DataFrame, model_id: Column, subject_iri: Column, properties: Mappi
     return from_terms(rows, iri(F.col("_s")), F.col("_t.p"), F.col("_t.o"))
 
 
+def partitions(table: DataFrame) -> int:
+    """How many partitions hold the models made of a table's rows: their number follows the bytes of its files.
+
+    Adaptive execution would go by bytes of compressed rows, and put ever more models into a task.
+    """
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(table.sparkSession.sparkContext.defaultParallelism, min(-(-size // PARTITION_BYTES), 20_000))
+
+
+def lift_models(rows: DataFrame, model_id: Column, subjects: Callable[[Callable[[str], Column]], Sequence[tuple]], parts: int) -> DataFrame:
+    """Models of a table held as rows. ``subjects`` gets what gives a column by name, and gives
+    (subject IRI, properties, type) as ``lift`` takes them.
+
+    Rows travel to their model as they are, and statements are made there. Rows of one model are united.
+    """
+
+    def pairs(col: Callable[[str], Column]) -> Column:
+        out = []
+        for s, properties, rdf_type in subjects(col):
+            typed = {} if rdf_type is None else {RDF_TYPE: iri(F.lit(rdf_type))}
+            out += [F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o")) for p, o in [*typed.items(), *properties.items()]]
+        return F.array(*out)
+
+    def stated(found: Column) -> Column:
+        whole = F.filter(found, lambda x: x["s"].isNotNull() & x["o"].isNotNull())
+        return F.transform(whole, lambda x: F.struct(F.lit(None).cast("string").alias("g"), x["s"].alias("s"), F.lit("iri").alias("s_kind"), x["p"].alias("p"), x["o"]["v"].alias("o"), x["o"]["k"].alias("o_kind"), x["o"]["dt"].alias("o_dt"), x["o"]["lang"].alias("o_lang")))
+
+    own = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    grouped = rows.select(model_id.cast("string").alias("model_id"), own.alias("_r")).repartition(parts, "model_id").groupBy("model_id").agg(F.collect_list("_r").alias("_rows"))
+    # the first row's statements by themselves, as what stands in a lambda or beside one isn't compiled
+    first = grouped.select("model_id", "_rows", F.explode(F.array(pairs(lambda c: F.col("_rows")[0][c]))).alias("_first"))
+    every = F.flatten(F.transform("_rows", lambda r: pairs(lambda c: r[c])))
+    return once(first, F.when(F.size("_rows") == 1, stated(F.col("_first"))).otherwise(distinct_statements(stated(every))))
+
+
 def _escaped(v: Column) -> Column:
     for plain, code in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         v = F.replace(v, F.lit(plain), F.lit(code))
     return v
 
 
-def nquads_term(t: Column) -> Column:
+def nquads_term(t: Column | Mapping[str, Column]) -> Column:
     text = F.concat(F.lit('"'), _escaped(t["v"]), F.lit('"'))
     tagged = F.when(t["lang"].isNotNull(), F.concat(text, F.lit("@"), t["lang"])).when(
         t["dt"].isNotNull() & (t["dt"] != XSD_STRING), F.concat(text, F.lit("^^<"), t["dt"], F.lit(">"))
@@ -93,7 +154,9 @@ def nquads_term(t: Column) -> Column:
     return F.when(t["k"] == "iri", F.concat(F.lit("<"), t["v"], F.lit(">"))).when(t["k"] == "bnode", F.concat(F.lit("_:"), t["v"])).otherwise(F.coalesce(tagged, text))
 
 
-def nquads_line() -> Column:
-    """One line of N-Quads for each row."""
-    graph = F.when(F.col("g").isNotNull(), F.concat(F.lit(" <"), F.col("g"), F.lit(">"))).otherwise("")
-    return F.concat(nquads_term(subject()), F.lit(" <"), F.col("p"), F.lit("> "), nquads_term(obj()), graph, F.lit(" ."))
+def nquads_line(col: Callable[[str], Column] = F.col) -> Column:
+    """One line of N-Quads for each row, or for what ``col`` gives the parts of."""
+    g, s = col("g"), {"v": col("s"), "k": col("s_kind"), "dt": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")}
+    o = {"v": col("o"), "k": col("o_kind"), "dt": col("o_dt"), "lang": col("o_lang")}
+    graph = F.when(g.isNotNull(), F.concat(F.lit(" <"), g, F.lit(">"))).otherwise("")
+    return F.concat(nquads_term(s), F.lit(" <"), col("p"), F.lit("> "), nquads_term(o), graph, F.lit(" ."))

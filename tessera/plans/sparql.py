@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.closure import reach, subgraph
-from tessera.operators.quads import COLUMNS, TERM, as_set, from_terms, iri, obj, subject, term
+from tessera.operators.quads import COLUMNS, TERM, as_set, from_terms, held, iri, obj, statements, subject, term
 from tessera.plans import sparql_expressions as X
 from tessera.plans.sparql_parser import Query, SparqlError, parse, parse_path
 
@@ -517,9 +517,15 @@ def ask(quads: DataFrame, text: str, services: Mapping[str, DataFrame] | None =
 
 
 def route(quads: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
-    """The quads of the models for which an ASK is true, and those for which it is false."""
-    answers = ask(quads, text)
-    return tuple(quads.join(answers.where(F.col("answer") == flag).select("model_id"), "model_id", "left_semi").select(*COLUMNS) for flag in (True, False))
+    """The quads of the models for which an ASK is true, and those for which it is false; models held as rows stay rows.
+
+    What has no hit is false, so nothing but the hits is looked up.
+    """
+    q = parse(text)
+    hits = Compiler(_dataset(statements(quads), q)).group(q.where).df.select("model_id").distinct()
+    named = quads.where(F.col("model_id").isNotNull())
+    columns = quads.columns if held(quads) else COLUMNS
+    return named.join(hits, "model_id", "left_semi").select(*columns), named.join(hits, "model_id", "left_anti").select(*columns)
 
 
 def construct(quads: DataFrame, text: str, infer: bool = False, split_graphs: bool = True, services: Mapping[str, DataFrame] | None = None) -> DataFrame:

@@ -24,30 +24,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _id(kind: str, key: str):
-    return F.concat(F.lit(f"{BASE}{kind}/"), F.col(key).cast("string"))
+def _id(kind: str, key: str, col=F.col):
+    return F.concat(F.lit(f"{BASE}{kind}/"), col(key).cast("string"))
 
 
-def order_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One model an order: the order, and its customer's segment and nation. An urgent order has a note."""
+def order_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One model an order, held as rows: the order, and its customer's segment and nation. An urgent order has a note."""
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     rows = orders.join(customers, orders["o_custkey"] == customers["c_custkey"])
-    integer = lambda c: Q.literal(F.col(c).cast("string"), XSD + "integer")
-    order = Q.lift(
-        rows,
-        F.col("o_orderkey"),
-        _id("order", "o_orderkey"),
-        {
-            EX + "customer": Q.iri(_id("customer", "o_custkey")),
-            EX + "total": Q.literal(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), XSD + "decimal"),
-            EX + "status": Q.literal(F.col("o_orderstatus")),
-            EX + "date": Q.literal(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), XSD + "dateTime"),
-            EX + "note": Q.when_literal(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderpriority")),
-        },
-        EX + "Order",
-    )
-    customer = Q.lift(rows, F.col("o_orderkey"), _id("customer", "o_custkey"), {EX + "segment": Q.literal(F.col("c_mktsegment")), EX + "nation": Q.iri(_id("nation", "c_nationkey")), EX + "key": integer("c_custkey")}, EX + "Customer")
-    return Q.union(order, customer)
+
+    def subjects(c):
+        order = {
+            EX + "customer": Q.iri(_id("customer", "o_custkey", c)),
+            EX + "total": Q.literal(c("o_totalprice").cast("decimal(18,2)").cast("string"), XSD + "decimal"),
+            EX + "status": Q.literal(c("o_orderstatus")),
+            EX + "date": Q.literal(F.date_format(c("o_orderdate"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), XSD + "dateTime"),
+            EX + "note": Q.when_literal(c("o_orderpriority") == "1-URGENT", c("o_orderpriority")),
+        }
+        customer = {EX + "segment": Q.literal(c("c_mktsegment")), EX + "nation": Q.iri(_id("nation", "c_nationkey", c)), EX + "key": Q.literal(c("c_custkey").cast("string"), XSD + "integer")}
+        return (_id("order", "o_orderkey", c), order, EX + "Order"), (_id("customer", "o_custkey", c), customer, EX + "Customer")
+
+    wanted = ("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderdate", "o_orderpriority", "c_custkey", "c_mktsegment", "c_nationkey")
+    return Q.lift_models(rows.select(*wanted), F.col("o_orderkey"), subjects, Q.partitions(orders))
+
+
+def order_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.statements(order_models(spark, sf_dir))
 
 
 def nation_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -462,7 +464,7 @@ def describe_node(spark, sf_dir):
 
 
 def route_ask(spark, sf_dir):
-    yes, no = sparql.route(order_quads(spark, sf_dir), _PREFIXES + "ASK { ?o ex:note ?n }")
+    yes, no = sparql.route(order_models(spark, sf_dir), _PREFIXES + "ASK { ?o ex:note ?n }")
     return yes.select("model_id").distinct().withColumn("route", F.lit("true")).unionByName(no.select("model_id").distinct().withColumn("route", F.lit("false")))
 
 
