@@ -190,12 +190,16 @@ def page_quads(spark, sf_dir):
     return Q.union(member, nation, detail, a, b)
 
 
+def _order_versions(spark, sf_dir):
+    return versions.create_version_objects(order_models(spark, sf_dir), [EX + "Order"], [EX + "date"], "#")
+
+
 def version_object(spark, sf_dir):
-    return versions.create_version_objects(order_quads(spark, sf_dir), [EX + "Order"], [EX + "date"], "#")
+    return Q.statements(_order_versions(spark, sf_dir))
 
 
 def version_materialise(spark, sf_dir):
-    return versions.materialise_versions(version_object(spark, sf_dir))
+    return Q.statements(versions.materialise_versions(_order_versions(spark, sf_dir)))
 
 
 def restrict_to_members(spark, sf_dir):
