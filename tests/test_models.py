@@ -6,8 +6,7 @@ from tessera import queries as core
 from tessera.operators import quads as Q
 from tessera.operators import versions
 from tessera.plans import sparql
-
-STATEMENT = "model_id string, statements array<struct<g string, s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string>>"
+from tessera.vocabulary import RDF_TYPE, XSD_DATETIME
 
 
 def plan(df):
@@ -57,3 +56,17 @@ def test_materialised_rows_equal_materialised_quads(spark, sf):
     assert rows(versions.materialise_versions(gathered(q))) == wanted
     assert plan(core.version_materialise(spark, sf)).count("Exchange hashpartitioning") <= 2 * 4  # two ways; before, statements were written and travelled three times
     assert "tessera-versions" not in plan(core.version_materialise(spark, sf))
+
+
+def test_version_rows_equal_version_quads(spark, sf):
+    kind, at, stamp = RDF_TYPE, "http://e/at", XSD_DATETIME
+    data = [quad("1", "http://e/b", kind, "http://e/T"), quad("1", "http://e/a", kind, "http://e/T"), quad("1", "http://e/a", at, "2024", "literal", stamp), quad("1", "http://e/b", at, "2023", "literal", stamp), quad("1", "http://e/a", "http://e/p", "http://e/a")]
+    data += [quad("1", "http://e/a/2023", "http://e/p", "http://e/a"), quad("1", "http://e/a/2023", versions.VERSION_OF, "http://e/a")]  # met by what is renamed and stated
+    data += [quad("2", "http://e/c", at, "2024", "literal", stamp), quad("3", "http://e/d", kind, "http://e/T", g="http://e/g"), quad("3", "http://e/d", "http://e/n", "x", "bnode"), quad("3", "x", at, "2022", "literal", stamp, s_kind="bnode")]
+    q = spark.createDataFrame(data, Q.SCHEMA)
+    for path in ((), (at,), ("http://e/n", at)):
+        for of in (versions.VERSION_OF, None):
+            wanted = rows(versions.create_version_objects(q, ["http://e/T"], path, now=F.lit("now"), version_of=of))
+            assert rows(versions.create_version_objects(gathered(q), ["http://e/T"], path, now=F.lit("now"), version_of=of)) == wanted
+    assert "Window" not in plan(core.version_object(spark, sf))
+    assert "HashAggregate(keys=[model_id#" not in plan(core.version_object(spark, sf)).replace("ObjectHashAggregate", "")
