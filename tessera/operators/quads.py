@@ -20,7 +20,7 @@ from tessera.vocabulary import RDF_TYPE, XSD_STRING
 COLUMNS = ("model_id", "g", "s", "s_kind", "p", "o", "o_kind", "o_dt", "o_lang")
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
 #: Bytes of a table's files for each partition of the models that are made of it.
-PARTITION_BYTES = 1 << 20
+PARTITION_BYTES = 1 << 19
 #: The type of a term column: value, kind ('iri', 'bnode', 'literal'), datatype, language.
 TERM = T.StructType([T.StructField(c, T.StringType()) for c in ("v", "k", "dt", "lang")])
 

@@ -362,30 +362,30 @@ def json_to_ld(spark, sf_dir):
 
 
 def nquads_serialise(spark, sf_dir):
-    return text.nquads(order_quads(spark, sf_dir))
+    return text.nquads(order_models(spark, sf_dir))
 
 
 def nquads_round_trip(spark, sf_dir):
-    written = text.nquads(order_quads(spark, sf_dir)).withColumn("mime_type", F.lit("application/n-quads"))
-    return rdf_text.adapt(written)
+    written = text.nquads(order_models(spark, sf_dir)).withColumn("mime_type", F.lit("application/n-quads"))
+    return rdf_text.adapt(written, whole_models=True)
 
 
 def literal_round_trip(spark, sf_dir):
     """Whole texts of documents as literals, written as N-Quads and read back."""
     docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
     q = Q.lift(docs, F.col("doc_id"), _id("document", "doc_id"), {EX + "text": Q.literal(F.col("text"))})
-    back = rdf_text.adapt(text.nquads(q).withColumn("mime_type", F.lit("application/n-quads")))
+    back = rdf_text.adapt(text.nquads(q).withColumn("mime_type", F.lit("application/n-quads")), whole_models=True)
     return back.select("model_id", "s", "p", F.md5("o").alias("o"), "o_dt")
 
 
 def turtle_round_trip(spark, sf_dir):
-    written = text.serialise(order_quads(spark, sf_dir), "text/turtle").withColumn("mime_type", F.lit("text/turtle"))
-    return rdf_text.adapt(written)
+    written = text.serialise(order_models(spark, sf_dir), "text/turtle").withColumn("mime_type", F.lit("text/turtle"))
+    return rdf_text.adapt(written, whole_models=True)
 
 
 def json_ld_round_trip(spark, sf_dir):
-    written = text.serialise(order_quads(spark, sf_dir), "application/ld+json").withColumn("mime_type", F.lit("application/ld+json"))
-    return rdf_text.adapt(written)
+    written = text.serialise(order_models(spark, sf_dir), "application/ld+json").withColumn("mime_type", F.lit("application/ld+json"))
+    return rdf_text.adapt(written, whole_models=True)
 
 
 def http_enrich_lookup(spark, sf_dir):

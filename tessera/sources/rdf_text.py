@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.arrow import map_batches
-from tessera.operators.quads import COLUMNS, SCHEMA, as_set, from_terms, term
+from tessera.operators.quads import COLUMNS, SCHEMA, as_set, nquads_line
 from tessera.plans.sparql_parser import Parser, SparqlError, unescape
 from tessera.vocabulary import LANG_STRING, RDF, RDF_TYPE, XSD, XSD_STRING
 
@@ -54,31 +54,59 @@ def _unescaped(v: Column) -> Column:
     return F.when(F.contains(v, F.lit("\\")), parsed).otherwise(v)
 
 
+def _is_blank(text: Column) -> Column:
+    return F.trim(text).rlike(r"^(#.*)?$")
+
+
+def _parts(text: Column) -> Column:
+    """The parts of a line: one pass of the expression gives all, set apart by a mark that the line no longer holds."""
+    return F.split(F.regexp_replace(_plain(text), _LINE, _MARK + _MARK.join(f"${i}" for i in range(1, 10))), _MARK)
+
+
+def _checked(parts: Column, text: Column) -> Column:
+    wrong = F.raise_error(F.concat(F.lit("not a statement: "), F.substring(text, 1, 200)))
+    return F.when(F.size(parts) == 10, parts).otherwise(wrong.cast("array<string>"))
+
+
+def _statement(parts: Column) -> dict[str, Column]:
+    """The columns of a statement but its model, each said once: a term that is taken apart later would be made for each of its fields."""
+    part = lambda i: F.nullif(F.get(parts, F.lit(i)), F.lit(""))
+    lang, iri, blank = F.lower(part(7)), part(4).isNotNull(), part(5).isNotNull()
+    datatype = F.when(lang.isNotNull(), LANG_STRING).otherwise(F.coalesce(part(8), F.lit(XSD_STRING)))
+    return {
+        "g": part(9),
+        "s": F.when(part(1).isNotNull(), _unescaped(part(1))).otherwise(part(2)),
+        "s_kind": F.when(part(1).isNotNull(), "iri").otherwise("bnode"),
+        "p": part(3),
+        "o": F.when(blank & ~iri, part(5)).otherwise(_unescaped(F.when(iri, part(4)).otherwise(F.get(parts, F.lit(6))))),
+        "o_kind": F.when(iri, "iri").when(blank, "bnode").otherwise("literal"),
+        "o_dt": F.when(~iri & ~blank, datatype),
+        "o_lang": F.when(~iri & ~blank, lang),
+    }
+
+
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Quads of N-Triples or N-Quads lines with a ``model_id``; comments and blank lines give nothing, broken ones raise."""
     text = F.col(column)
-    blank = F.trim(text).rlike(r"^(#.*)?$")
-    # one pass of the expression gives all parts, set apart by a mark that the line no longer holds
-    parts = F.split(F.regexp_replace(_plain(text), _LINE, _MARK + _MARK.join(f"${i}" for i in range(1, 10))), _MARK)
     # exploding an array of one keeps filters above from repeating the work
-    cut = lines.where(~blank).select("model_id", text.alias("_text"), F.explode(F.array(parts)).alias("_p"))
-    wrong = F.raise_error(F.concat(F.lit("not a statement: "), F.substring("_text", 1, 200)))
-    cut = cut.withColumn("_p", F.when(F.size("_p") == 10, F.col("_p")).otherwise(wrong.cast("array<string>")))
-    part = lambda i: F.nullif(F.get("_p", F.lit(i)), F.lit(""))
-    lang = F.lower(part(7))
-    datatype = F.when(lang.isNotNull(), LANG_STRING).otherwise(F.coalesce(part(8), F.lit(XSD_STRING)))
-    o = (
-        F.when(part(4).isNotNull(), term(_unescaped(part(4)), "iri"))
-        .when(part(5).isNotNull(), term(part(5), "bnode"))
-        .otherwise(term(_unescaped(F.get("_p", F.lit(6))), "literal", datatype, lang))
-    )
-    s = F.when(part(1).isNotNull(), term(_unescaped(part(1)), "iri")).otherwise(term(part(2), "bnode"))
-    return from_terms(cut, s, part(3), o, part(9))
-
-
-def parse_line_contents(contents: DataFrame) -> DataFrame:
-    """As ``parse_lines`` for whole documents in ``content``."""
-    return as_set(parse_lines(contents.select("model_id", F.explode(F.split("content", r"\r?\n")).alias("value"))))
+    cut = lines.where(~_is_blank(text)).select("model_id", text.alias("_text"), F.explode(F.array(_parts(text))).alias("_p"))
+    rows = cut.withColumn("_p", _checked(F.col("_p"), F.col("_text"))).select("model_id", *[c.alias(n) for n, c in _statement(F.col("_p")).items()])
+    return rows.where(F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull())
+
+
+def parse_line_contents(contents: DataFrame, whole_models: bool = False) -> DataFrame:
+    """As ``parse_lines`` for whole documents in ``content``; with ``whole_models`` each is all of its model."""
+    if not whole_models:
+        return as_set(parse_lines(contents.select("model_id", F.explode(F.split("content", r"\r?\n")).alias("value"))))
+    lines = F.split("content", r"\r?\n")
+    cut = contents.select("model_id", "content", F.explode(F.array(F.array_distinct(lines))).alias("_l"))
+    as_written = lambda x: F.get(F.transform(F.array(_checked(_parts(x), x)), lambda parts: nquads_line(_statement(parts).__getitem__)), F.lit(0))
+    rewritten = F.transform(F.filter("_l", lambda x: ~_is_blank(x)), as_written)
+    # without other escapes than the writer's, tabs and comments, lines of one statement differ by blanks, case and the datatype of strings at most
+    plain = ~F.col("content").rlike(r'\\[^nrt"\\]|[\t\r\x0b\f]|\. *#')
+    keys = F.transform("_l", lambda x: F.lower(F.replace(F.replace(x, F.lit(" "), F.lit("")), F.lit(f"^^<{XSD_STRING}>"), F.lit(""))))
+    apart = plain & (F.size(F.array_distinct(keys)) == F.size("_l"))
+    return parse_lines(cut.select("model_id", F.explode(F.when(apart, F.col("_l")).otherwise(F.array_distinct(rewritten))).alias("value")))
 
 
 # Turtle and TriG
@@ -132,7 +160,45 @@ def _row(s: tuple, p: str, o: tuple, g: str | None = None) -> tuple:
     return (g, s[1], kinds[s[0]], p, o[1], kinds[o[0]], dt, lang)
 
 
+_NAME = r'<([A-Za-z][A-Za-z0-9+.-]*:[^<>"{}|^`\\\s]*)>'
+_SIMPLE = rf'\s*(?:{_NAME}|(a)(?=\s)|_:([\w.-]*\w)|("[^"\\\n]*)"(?:\^\^{_NAME}|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?|([.;,]))'
+_SIMPLE_ALL, _SIMPLE_ONE = re.compile("(?:" + re.sub(r"\((?!\?)", "(?:", _SIMPLE) + r")*\s*"), re.compile(_SIMPLE)
+
+
+def _simple_turtle(text: str) -> list[tuple] | None:
+    """Rows of Turtle with absolute IRIs, labels and short strings without escapes; None for any other."""
+    if not _SIMPLE_ALL.fullmatch(text):
+        return None
+    rows, place = [], "s"
+    for iri, a, label, value, dt, lang, mark in _SIMPLE_ONE.findall(text):
+        if place == "o":
+            if iri:
+                rows.append((None, s, sk, p, iri, "iri", None, None))
+            elif value:
+                rows.append((None, s, sk, p, value[1:], "literal", LANG_STRING if lang else dt or XSD_STRING, lang.lower() or None))
+            elif label:
+                rows.append((None, s, sk, p, label, "bnode", None, None))
+            else:
+                return None
+            place = ""
+        elif place == "":
+            if not mark:
+                return None
+            place = {".": "s", ";": "p", ",": "o"}[mark]
+        elif place == "p":
+            if not iri and not a:
+                return None
+            p, place = iri or RDF_TYPE, "o"
+        elif iri or label:
+            s, sk, place = iri or label, "iri" if iri else "bnode", "p"
+        else:
+            return None
+    return rows if place == "s" else None
+
+
 def parse_turtle(text: str, base: str = "") -> list[tuple]:
+    if (simple := _simple_turtle(text)) is not None:
+        return list(dict.fromkeys(simple))
     rows = []
     for g, s, p, o in TurtleParser(text, base).statements():
         if p[0] != "iri" or s[0] == "lit":
@@ -323,9 +389,47 @@ class JsonLd:
                     self.emit(g, *((o, p, s) if reverse else (s, p, o)))
 
 
+def _flat_nodes(document: Any) -> list[tuple] | None:
+    """Rows of flattened JSON-LD with absolute names and no context; None for any other."""
+    rows = []
+
+    def absolute(name: Any) -> bool:
+        return isinstance(name, str) and ":" in name and name[0] != "@"
+
+    for node in document if isinstance(document, list) else [document]:
+        if not isinstance(node, dict) or not absolute(s := node.get("@id")):
+            return None
+        s, sk = (s[2:], "bnode") if s.startswith("_:") else (s, "iri")
+        for key, values in node.items():
+            if key == "@id":
+                continue
+            if not isinstance(values, list) or key != "@type" and (not absolute(key) or key.startswith("_:")):
+                return None
+            for v in values:
+                if key == "@type":
+                    name = v
+                elif not isinstance(v, dict):
+                    return None
+                elif "@value" in v:
+                    value, kind, lang = v["@value"], v.get("@type"), v.get("@language")
+                    known = ("@type" in v) + ("@language" in v)
+                    if not isinstance(value, str) or known > 1 or len(v) != 1 + known or "@type" in v and not absolute(kind) or "@language" in v and not (isinstance(lang, str) and lang):
+                        return None
+                    rows.append((None, s, sk, key, value, "literal", LANG_STRING if lang else kind or XSD_STRING, lang.lower() if lang else None))
+                    continue
+                else:
+                    name = v.get("@id") if len(v) == 1 else None
+                if not absolute(name):
+                    return None
+                rows.append((None, s, sk, RDF_TYPE if key == "@type" else key, *((name[2:], "bnode") if name.startswith("_:") else (name, "iri")), None, None))
+    return rows
+
+
 def parse_json_ld(text: str | Any, remote: Mapping[str, Any] | None = None, base: str = "", context: Any = None) -> list[tuple]:
     """Rows of a JSON-LD document; ``context`` is in force before the document's own."""
     document = json.loads(text) if isinstance(text, str) else text
+    if context is None and (flat := _flat_nodes(document)) is not None:
+        return list(dict.fromkeys(flat))
     parser = JsonLd(remote, base)
     start = parser.context({}, context) if context is not None else {}
     for item in document if isinstance(document, list) else [document]:
@@ -366,8 +470,11 @@ def parse_nquads(text: str) -> list[tuple]:
     return list(dict.fromkeys(rows))
 
 
-def adapt(contents: DataFrame, remote: Mapping[str, Any] | None = None, base: str = "") -> DataFrame:
-    """Quads of documents: ``contents`` has model_id, content and mime_type. A document that can't be read raises."""
+def adapt(contents: DataFrame, remote: Mapping[str, Any] | None = None, base: str = "", whole_models: bool = False) -> DataFrame:
+    """Quads of documents: ``contents`` has model_id, content and mime_type. A document that can't be read raises.
+
+    With ``whole_models`` no two documents have one ``model_id``, so repeats are removed document by document.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -377,4 +484,5 @@ def adapt(contents: DataFrame, remote: Mapping[str, Any] | None = None, base: st
 
     lines = F.trim(F.lower(F.substring_index("mime_type", ";", 1))).isin(*LINES)
     parsed = contents.where(~F.coalesce(lines, F.lit(False))).select("model_id", "content", "mime_type").transform(map_batches, run, SCHEMA)
-    return as_set(parsed.unionByName(parse_line_contents(contents.where(lines)).select(*COLUMNS)))
+    parsed = parsed.unionByName(parse_line_contents(contents.where(lines), whole_models).select(*COLUMNS))
+    return parsed if whole_models else as_set(parsed)
