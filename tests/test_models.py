@@ -1,12 +1,16 @@
 """Models held as rows: the same results as quads, without exchanges of statements."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from tessera import queries as core
 from tessera.operators import quads as Q
 from tessera.operators import versions
 from tessera.plans import sparql
-from tessera.vocabulary import RDF_TYPE, XSD_DATETIME
+from tessera.sinks import text
+from tessera.sources import rdf_text
+from tessera.vocabulary import LANG_STRING, RDF_TYPE, XSD_DATETIME, XSD_STRING
 
 
 def plan(df):
@@ -70,3 +74,38 @@ def test_version_rows_equal_version_quads(spark, sf):
             assert rows(versions.create_version_objects(gathered(q), ["http://e/T"], path, now=F.lit("now"), version_of=of)) == wanted
     assert "Window" not in plan(core.version_object(spark, sf))
     assert "HashAggregate(keys=[model_id#" not in plan(core.version_object(spark, sf)).replace("ObjectHashAggregate", "")
+
+
+def test_json_ld_of_rows_and_flat_documents():
+    data = [("http://e/a", "iri", RDF_TYPE, "http://e/T", "iri", None, None), ("b", "bnode", "http://e/p", "x", "bnode", None, None), ("http://e/a", "iri", "http://e/p", 'é"\n\\', "literal", XSD_STRING, None)]
+    data += [("http://e/a", "iri", "http://e/p", "v", "literal", LANG_STRING, "en"), ("http://e/a", "iri", "http://e/p", "v", "literal", XSD_DATETIME, None), ("http://e/a", "iri", "http://e/p", "v", "literal", None, None)]
+    written = text.json_ld(data)
+    assert written == json.dumps(json.loads(written), indent=2, ensure_ascii=False) and text.json_ld([]) == "[]"
+    documents = [written, '{"@id": "http://e/a", "http://e/p": [{"@value": "v", "@language": "EN"}], "http://e/q": []}']
+    odd = ['[{"@id": "a", "http://e/p": [1]}]', '{"@id": "http://e/a", "http://e/p": [{"@value": "v", "@language": null}]}', '{"@id": "http://e/a", "@type": ["T"]}', '{"http://e/p": [{"@value": "v"}]}', '{"@id": "http://e/a", "http://e/p": [{"@value": "v", "@type": "@json"}]}']
+    for d in documents + odd:
+        parser = rdf_text.JsonLd()
+        for item in json.loads(d) if d.startswith("[") else [json.loads(d)]:
+            parser.node(None, item, {})
+        assert rdf_text.parse_json_ld(d) == list(dict.fromkeys(parser.rows))
+        assert (rdf_text._flat_nodes(json.loads(d)) is not None) == (d in documents)
+
+
+def test_lines_of_whole_models_are_a_set(spark, sf):
+    lines = ['<http://e/a> <http://e/p> "v" .', '<http://e/a>  <http://e/p>\t"v"^^<http://www.w3.org/2001/XMLSchema#string> . # again', '<http://e/a> <http://e/p> "\\u0076" .', "", "# none", '<http://e/a> <http://e/p> "v"@EN .', '<http://e/a> <http://e/p> "v"@en .', '_:b <http://e/p> "a\\"b" <http://e/g> .']
+    docs = [("1", "\n".join(lines)), ("2", "\r\n".join(lines[:2])), ("3", lines[0] + "\n" + lines[0].replace(" ", "")), ("4", lines[5] + "\n" + lines[6]), ("5", lines[7] + "\n"), ("6", "")]
+    contents = spark.createDataFrame(docs, "model_id string, content string").withColumn("mime_type", F.lit("application/n-quads"))
+    wanted = rows(rdf_text.adapt(contents))
+    assert rows(rdf_text.adapt(contents, whole_models=True)) == wanted and len(wanted) == 7
+    assert "keys=[model_id" not in plan(core.nquads_round_trip(spark, sf)).replace("ObjectHashAggregate(keys=[model_id", "").replace("SortAggregate(keys=[model_id", "")
+
+
+def test_simple_turtle_equals_the_parser():
+    simple = ['<http://e/a> a <http://e/T> ;\n    <http://e/p> "v", "w"^^<http://e/d>, "x"@En-us, _:b.c .\n_:b.c <http://e/p> "" .', ""]
+    other = ["@prefix e: <http://e/> . e:a e:p 1 .", '<http://e/a> <http://e/p> """x""" .', '<http://e/a> <http://e/p> "\\n" .', "<http://e/a> <http://e/p> <b> .", "<http://e/a> <http://e/p> [ a <http://e/T> ] ; ."]
+    for d in simple + other:
+        parsed = [rdf_text._row(s, p[1], o, g) for g, s, p, o in rdf_text.TurtleParser(d).statements()]
+        assert rdf_text.parse_turtle(d) == list(dict.fromkeys(parsed))
+        assert (rdf_text._simple_turtle(d) is not None) == (d in simple)
+    for broken in ("<http://e/a> <http://e/p> .", '"v" <http://e/p> <http://e/a> .', "<http://e/a> <http://e/p> <http://e/b>"):
+        assert rdf_text._simple_turtle(broken) is None
